@@ -50,12 +50,12 @@ def kmeans_clusters(spark, folder):
 
 
 # Given assignments: the label stands for the cluster, its mean for the centre.
-SQL_ASSIGNED = """components AS (
+SQL_ASSIGNED = """parts AS (
   SELECT vec_id, label AS cluster, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(0, 64)) AS dim FROM embeddings),
-centres AS (SELECT cluster, dim, avg(x) AS c FROM components GROUP BY cluster, dim),
+middles AS (SELECT cluster, dim, avg(x) AS c FROM parts GROUP BY cluster, dim),
 assigned AS (
   SELECT vec_id, cluster, round(sqrt(sum((x - c) * (x - c))), 9) AS distance
-  FROM components JOIN centres USING (cluster, dim) GROUP BY vec_id, cluster),
+  FROM parts JOIN middles USING (cluster, dim) GROUP BY vec_id, cluster),
 turns AS (
   SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY %s, %s) AS turn FROM assigned)""" % (
     sql_units("distance"),

@@ -15,9 +15,9 @@ def class_distribution(spark, folder):
     return ops.class_distribution(samples(spark, folder), "label")
 
 
-@query("class_distribution_large", "SELECT l_shipmode, count(*) AS n FROM lineitem GROUP BY l_shipmode")
+@query("class_distribution_large", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag")
 def class_distribution_large(spark, folder):
-    return ops.class_distribution(table(spark, folder, "lineitem"), "l_shipmode")
+    return ops.class_distribution(table(spark, folder, "lineitem"), "l_returnflag")
 
 
 @query(

@@ -127,21 +127,21 @@ def binary_metrics(spark, folder):
 @query(
     "binary_metrics_by_type",
     f"""WITH predicted AS (
-  SELECT l_shipmode, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
+  SELECT l_linestatus, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
          CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS prediction FROM lineitem),
 counts AS (
-  SELECT l_shipmode, count(*) AS n, count(*) FILTER (label = prediction) AS same,
+  SELECT l_linestatus, count(*) AS n, count(*) FILTER (label = prediction) AS same,
          count(*) FILTER (label = 1 AND prediction = 1) AS tp, count(*) FILTER (label = 0 AND prediction = 1) AS fp,
-         count(*) FILTER (label = 1 AND prediction = 0) AS fn FROM predicted GROUP BY l_shipmode)
-SELECT l_shipmode, n, {SQL_BINARY_COLUMNS} FROM counts""",
+         count(*) FILTER (label = 1 AND prediction = 0) AS fn FROM predicted GROUP BY l_linestatus)
+SELECT l_linestatus, n, {SQL_BINARY_COLUMNS} FROM counts""",
 )
 def binary_metrics_by_type(spark, folder):
     lines = table(spark, folder, "lineitem").select(
-        "l_shipmode",
+        "l_linestatus",
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"),
         F.when(F.col("l_quantity") > 25, 1).otherwise(0).alias("prediction"),
     )
-    by_type = metrics.binary_metrics(lines, "label", "prediction", ["l_shipmode"])
+    by_type = metrics.binary_metrics(lines, "label", "prediction", ["l_linestatus"])
     return rounded(by_type, "accuracy", "precision", "recall", "f1")
 
 
@@ -155,6 +155,18 @@ totals AS (
 SELECT round((s - p * (p + 1) / 2) / (p * n), 6) AS auroc FROM totals"""
 
 
+@query(
+    "metric_suite",
+    f"""WITH {SQL_PREDICTED}, {SQL_BINARY}, scored AS (SELECT label, positive_prob AS score FROM predicted),
+area AS (WITH {sql_auroc('scored')})
+SELECT (SELECT round(avg(-ln(greatest(p_own, 1e-12::DOUBLE))), 6) FROM predicted) AS loss,
+       {SQL_BINARY_COLUMNS}, (SELECT auroc FROM area) AS auroc FROM counts""",
+)
+def metric_suite(spark, folder):
+    suite = metrics.evaluate(probabilities(spark, folder), "vec_id", "label")
+    return rounded(suite, *suite.columns)
+
+
 @query(
     "auroc",
     f"WITH {SQL_PREDICTED}, scored AS (SELECT label, positive_prob AS score FROM predicted), {sql_auroc('scored')}",

@@ -22,16 +22,14 @@ def stratified_split(spark, folder):
 
 @query(
     "stratified_split_large",
-    f"""WITH items AS (
-  SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS line, l_returnflag AS label FROM lineitem),
-{sql_split('items', 'line')}
-SELECT label, split, count(*) AS n FROM parted GROUP BY label, split""",
+    f"""WITH {sql_split('events', 'event_id', 'event_type')}
+SELECT event_type, split, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS checksum FROM parted GROUP BY event_type, split""",
 )
 def stratified_split_large(spark, folder):
     """A few classes of very many rows."""
-    lines = table(spark, folder, "lineitem")
-    items = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"), F.col("l_returnflag").alias("label"))
-    return ops.stratified_split(items, "line", "label").groupBy("label", "split").agg(F.count("*").alias("n"))
+    events = table(spark, folder, "events").select("event_id", "event_type")
+    parted = ops.stratified_split(events, "event_id", "event_type").groupBy("event_type", "split")
+    return parted.agg(F.count("*").alias("n"), F.sum("event_id").alias("checksum"))
 
 
 @query(

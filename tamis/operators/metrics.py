@@ -40,8 +40,8 @@ def binary_metrics(df: DataFrame, label: str, prediction: str, by: Sequence[str]
     )
 
 
-def auroc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Area under the ROC curve (ties count half) of a probability; NULL with one class only.
+def _ranked_points(df: DataFrame, label: str, score: str, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Per group: winning pairs ``_wins``, ``_pos``, ``_neg`` and the sums of further columns.
 
     Rows are first summed per distinct score (9 digits), then ranked within 4096 equal
     ranges of [0, 1] and last over the ranges: no step holds more than a bounded number
@@ -49,28 +49,40 @@ def auroc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> Data
     """
     by = list(by)
     width = SCORE_SCALE // AUROC_RANGES
-    units = score_units(F.when(F.col(score).between(0, 1), F.col(score)).otherwise(F.raise_error(F.lit("score outside [0, 1]"))))
+    inside = F.when(F.col(score).between(0, 1), F.col(score))
+    units = score_units(inside.otherwise(F.raise_error(F.lit("score outside [0, 1]"))))
+    parts = {
+        "_pos": F.when(F.col(label) == 1, 1.0).otherwise(0.0),
+        "_neg": F.when(F.col(label) == 1, 0.0).otherwise(1.0),
+        **{name: column.cast("double") for name, column in sums.items()},
+    }
     points = (
-        df.select(*by, units.alias("_q"), (F.col(label) == 1).alias("_y"))
+        df.select(*by, units.alias("_q"), *[c.alias(name) for name, c in parts.items()])
         .groupBy(*by, "_q")
-        .agg(F.count_if("_y").alias("_pos"), F.count_if(~F.col("_y")).alias("_neg"))
+        .agg(*[F.sum(name).alias(name) for name in parts])
         .withColumn("_range", F.floor(F.col("_q") / width))
     )
     below = Window.partitionBy(*by, "_range").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
-    pos, neg = F.col("_pos").cast("double"), F.col("_neg").cast("double")
+    wins = F.col("_pos") * (F.coalesce(F.sum("_neg").over(below), F.lit(0.0)) + 0.5 * F.col("_neg"))
+    names = ["_wins", *parts]
     ranges = (
-        points.withColumn("_wins", pos * (F.coalesce(F.sum(neg).over(below), F.lit(0.0)) + 0.5 * neg))
-        .groupBy(*by, "_range")
-        .agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in ("_wins", "_pos", "_neg")])
+        points.withColumn("_wins", wins).groupBy(*by, "_range").agg(*[F.sum(name).alias(name) for name in names])
     )
+    # At most 4097 ranges per group are left.
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     lower = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     wins = F.col("_wins") + F.col("_pos") * F.coalesce(F.sum("_neg").over(lower), F.lit(0.0))
-    totals = ranges.withColumn("_wins", wins).groupBy(*by).agg(
-        F.sum("_wins").alias("_wins"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg")
-    )
+    return ranges.withColumn("_wins", wins).groupBy(*by).agg(*[F.sum(name).alias(name) for name in names])
+
+
+def _area() -> Column:
     pairs = F.col("_pos") * F.col("_neg")
-    return totals.select(*by, F.when(pairs > 0, F.col("_wins") / pairs).alias("auroc"))
+    return F.when(pairs > 0, F.col("_wins") / pairs)
+
+
+def auroc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Area under the ROC curve (ties count half) of a probability; NULL with one class only."""
+    return _ranked_points(df, label, score, by, {}).select(*by, _area().alias("auroc"))
 
 
 def cross_entropy(df: DataFrame, label: str, probs: str, by: Sequence[str] = ()) -> DataFrame:
@@ -79,28 +91,47 @@ def cross_entropy(df: DataFrame, label: str, probs: str, by: Sequence[str] = ())
     return df.groupBy(*by).agg(F.avg(loss).alias("loss"))
 
 
-def predictions(df: DataFrame, key: str, label: str, probs: str, positive: int = 1) -> DataFrame:
+def predictions(
+    df: DataFrame, key: str, label: str, probs: str, positive: int = 1, extra: Sequence[str] = ()
+) -> DataFrame:
     """(``key``, ``label``, ``prediction``, ``positive_prob``) from a probability array."""
     return df.select(
         key,
         label,
         argmax_index(probs).alias("prediction"),
         F.element_at(as_col(probs), positive + 1).alias("positive_prob"),
+        *extra,
     )
 
 
 def evaluate(df: DataFrame, key: str, label: str, probs: str = "probs") -> DataFrame:
-    """The whole metric suite in one row: loss, accuracy, precision, recall, f1, auroc."""
-    one = F.lit(0).alias("_one")
-    scored = df.withColumn("prediction", argmax_index(probs)).withColumn(
-        "positive_prob", F.element_at(as_col(probs), 2)
-    ).withColumn("_one", one)
-    parts = (
-        cross_entropy(scored, label, probs, ["_one"])
-        .join(binary_metrics(scored, label, "prediction", ["_one"]), "_one")
-        .join(auroc(scored, label, "positive_prob", ["_one"]), "_one")
+    """The whole metric suite in one row and one pass: loss, accuracy, precision, recall, f1, auroc."""
+    scored = predictions(df.withColumn("_own", own_probability(probs, label)), key, label, probs, extra=("_own",))
+    y, p = F.col(label) == 1, F.col("prediction") == 1
+    count = lambda condition: F.when(condition, 1).otherwise(0)
+    totals = _ranked_points(
+        scored,
+        label,
+        "positive_prob",
+        (),
+        {
+            "_loss": -F.log(F.greatest(F.col("_own"), F.lit(LOG_FLOOR))),
+            "_same": count(F.col(label) == F.col("prediction")),
+            "_tp": count(y & p),
+            "_fp": count(~y & p),
+            "_fn": count(y & ~p),
+        },
+    )
+    n = F.col("_pos") + F.col("_neg")
+    tp, fp, fn = F.col("_tp"), F.col("_fp"), F.col("_fn")
+    return totals.select(
+        F.try_divide(F.col("_loss"), n).alias("loss"),
+        _ratio(F.col("_same"), n).alias("accuracy"),
+        _ratio(tp, tp + fp).alias("precision"),
+        _ratio(tp, tp + fn).alias("recall"),
+        _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
+        _area().alias("auroc"),
     )
-    return parts.select("loss", "accuracy", "precision", "recall", "f1", "auroc")
 
 
 def early_stop(history: DataFrame, run: str, epoch: str, metric: str, patience: int = 5) -> DataFrame:
