@@ -63,12 +63,14 @@ def vector_dim(df: DataFrame, vec: str) -> int:
     return row.d
 
 
-def vector_sums(df: DataFrame, groups: list[str], vec: str, squares: bool = False) -> DataFrame:
+def vector_sums(
+    df: DataFrame, groups: list[str], vec: str, squares: bool = False, dim: int | None = None
+) -> DataFrame:
     """Per group: ``n``, ``sums`` and, on request, ``squares`` per dimension.
 
     Pre-aggregated in every task, so hot groups cost no more than others.
     """
-    dim = vector_dim(df, vec)
+    dim = dim or vector_dim(df, vec)
     powers = {"sums": 1, "squares": 2} if squares else {"sums": 1}
     if dim <= WIDE_DIM:
         # One expression text per array: building it column by column costs more than the job.

@@ -14,6 +14,7 @@ from tamis.functions.vectors import (
     least_confidence,
     margin_uncertainty,
     squared_distance,
+    vector_dim,
 )
 from tamis.operators.label_noise import centroid_probabilities, centroid_table, class_list, wrong_class
 from tamis.operators.metrics import evaluate
@@ -152,9 +153,11 @@ def reveal_labels(
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def centroid_scorer(labeled: DataFrame, label: str, vec: str, classes: Sequence[int]) -> Scorer:
+def centroid_scorer(
+    labeled: DataFrame, label: str, vec: str, classes: Sequence[int], dim: int | None = None
+) -> Scorer:
     """Fit the fixed probe; the scorer adds ``probs`` to any rows."""
-    centroids = centroid_table(labeled, label, vec, list(classes))
+    centroids = centroid_table(labeled, label, vec, list(classes), dim=dim)
     return lambda rows: rows.withColumn("probs", centroid_probabilities(rows, vec, centroids))
 
 
@@ -184,10 +187,13 @@ def active_learning_loop(
     ``fit`` and ``score`` replace the built-in probe and metric row (f1, auroc).
     """
     spark = labeled.sparkSession
-    classes = class_list(labeled.select(label).unionByName(pool.select(label)), label)
-    fit = fit or (lambda rows: centroid_scorer(rows, label, vec, classes))
+    sides = labeled.select(label, F.lit(0).alias("_side")).unionByName(pool.select(label, F.lit(1).alias("_side")))
+    sizes = small_rows(sides.groupBy(label, "_side").count(), "classes")
+    n_seed, n_pool = (sum(r["count"] for r in sizes if r._side == side) for side in (0, 1))
+    if fit is None:
+        classes, dim = sorted({r[label] for r in sizes}), vector_dim(labeled, vec)
+        fit = lambda rows: centroid_scorer(rows, label, vec, classes, dim)
     score = score or (lambda scored: evaluate(scored, key, label))
-    n_seed, n_pool = labeled.count(), pool.count()
     revealed: DataFrame | None = None
     n_revealed = 0
     history: list[tuple] = []
@@ -207,7 +213,8 @@ def active_learning_loop(
         picked = _pick(scorer, left, key, vec, batch_size, strategy, seed + number)
         fresh = reveal_labels(left, picked, key, label, noise_rate, seed).select(key, label)
         revealed = materialise(fresh if revealed is None else revealed.unionByName(fresh))
-        n_revealed = revealed.count()
+        # Every strategy picks a full batch while the pool lasts.
+        n_revealed = min(n_revealed + batch_size, n_pool)
     return local_table(spark, history, HISTORY)
 
 

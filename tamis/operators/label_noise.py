@@ -35,13 +35,15 @@ def class_list(df: DataFrame, label: str) -> list:
     return sorted(r[0] for r in small_rows(df.select(label).distinct(), "classes") if r[0] is not None)
 
 
-def centroid_table(df: DataFrame, label: str, vec: str, classes: list, fold: str | None = None) -> np.ndarray:
+def centroid_table(
+    df: DataFrame, label: str, vec: str, classes: list, fold: str | None = None, dim: int | None = None
+) -> np.ndarray:
     """Class centroids, (folds, classes, dim); with ``fold``, those of all other folds.
 
     A class without rows gets NaN.
     """
     groups = [label] if fold is None else [fold, label]
-    rows = small_rows(vector_sums(df, groups, vec), "class centroids")
+    rows = small_rows(vector_sums(df, groups, vec, dim=dim), "class centroids")
     if not rows:
         raise ValueError("no rows to fit on")
     dim = len(rows[0].sums)

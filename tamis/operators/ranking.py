@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.keyed import SEED, key_code
-from tamis.session import bounded, join_small, local_table, materialise
+from tamis.session import SMALL_ROWS, bounded, join_small, local_table, materialise
 
 Bounds = Callable[[DataFrame], DataFrame]
 
+# More groups than this are not listed on the driver.
+MAX_GROUPS = SMALL_ROWS
 # Prefixes holding at most this many rows are ranked directly.
 DIRECT_ROWS = 200_000
 # Hex digits added per counting pass: 4096 counters per open prefix.
@@ -56,27 +58,34 @@ def rank_band(
     sizes = rows.groupBy("_g", *groups).agg(
         F.count("*").alias("n"), F.min("_code").alias("_lo"), F.max("_code").alias("_hi")
     )
-    small = bounded(sizes)
+    rows = rows.select("_g", "_code")
+    small = bounded(sizes, MAX_GROUPS)
     if small is None:
-        return _rank_band_many_groups(df, code, bounds, groups, out, rows, sizes)
+        return _rank_band_many_groups(df, code, bounds, groups, out, rows, sizes, direct_rows)
     sized = bounds(small).select("_g", "n", "_lo", "_hi", "bounds").collect()
-    cuts = _find_cuts(rows.select("_g", "_code"), sized, direct_rows)
+    cuts = _find_cuts(rows, sized, direct_rows)
+    if groups:
+        return _apply_cuts(df.withColumn("_g", group_key(groups)), code, cuts, out).drop("_g")
+    return df.withColumn(out, _count_below(code, [F.lit(c) for c in cuts.get("", [])]))
+
+
+def _count_below(code: Column, cuts: list[Column]) -> Column:
+    band = F.lit(0)
+    for cut in cuts:
+        band = band + F.when(code > cut, 1).otherwise(0)
+    return band.cast("int")
+
+
+def _apply_cuts(df: DataFrame, code: Column, cuts: dict[str, list[str]], out: str) -> DataFrame:
+    """Rows of the groups in ``cuts`` (by ``_g``) with their band; no row is moved."""
     width = max((len(c) for c in cuts.values()), default=0)
-    if not groups:
-        band = F.lit(0)
-        for cut in cuts.get("", []):
-            band = band + F.when(code > F.lit(cut), 1).otherwise(0)
-        return df.withColumn(out, band.cast("int"))
     padded = [(g, c + [ABOVE_ALL] * (width - len(c))) for g, c in cuts.items()]
     table = local_table(df.sparkSession, padded, "_g string, _cuts array<string>")
-    joined = df.withColumn("_g", group_key(groups)).join(F.broadcast(table), "_g")
     if width <= 32:
-        band = F.lit(0)
-        for i in range(width):
-            band = band + F.when(code > F.col("_cuts")[i], 1).otherwise(0)
+        band = _count_below(code, [F.col("_cuts")[i] for i in range(width)])
     else:
         band = F.size(F.filter("_cuts", lambda cut: cut < code))
-    return joined.withColumn(out, band.cast("int")).drop("_g", "_cuts")
+    return df.join(F.broadcast(table), "_g").withColumn(out, band).drop("_cuts")
 
 
 def codes_at_ranks(
@@ -160,31 +169,41 @@ def _search(rows: DataFrame, wanted: list[tuple], direct_rows: int) -> dict[tupl
 
 
 def _rank_band_many_groups(
-    df: DataFrame, code: Column, bounds: Bounds, groups: list[str], out: str, rows: DataFrame, sizes: DataFrame
+    df: DataFrame,
+    code: Column,
+    bounds: Bounds,
+    groups: list[str],
+    out: str,
+    rows: DataFrame,
+    sizes: DataFrame,
+    direct_rows: int,
 ) -> DataFrame:
     """Same result when the groups themselves are too many for the driver.
 
-    Every (group, code prefix) is ranked apart and shifted by the rows before it.
+    Groups above a size limit are few and get cuts as usual; every other group is small
+    enough to be sorted in one task.
     """
-    prefix = F.substring("_code", 1, PASS_DIGITS).alias("_b")
-    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy("_g", prefix)
-        .agg(F.count("*").alias("_c"))
-        .withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-        .join(bounds(sizes).select("_g", "bounds"), "_g")
-        .select("_g", "_b", "_before", "bounds")
-    )
-    order = Window.partitionBy("_g", "_b").orderBy("_code")
-    return (
-        df.withColumn("_g", group_key(groups))
+    sized = bounds(sizes).select("_g", "n", "_lo", "_hi", "bounds")
+    hot = bounded(sized.filter(F.col("n") > direct_rows), MAX_GROUPS)
+    while hot is None:
+        direct_rows *= 4
+        hot = bounded(sized.filter(F.col("n") > direct_rows), MAX_GROUPS)
+    hot_rows = hot.collect()
+    names = F.broadcast(hot.select("_g"))
+    keyed = df.withColumn("_g", group_key(groups))
+    order = Window.partitionBy("_g").orderBy("_code")
+    calm = (
+        keyed.join(names, "_g", "left_anti")
         .withColumn("_code", code)
-        .withColumn("_b", prefix)
-        .join(offsets, ["_g", "_b"])
-        .withColumn("_rank", F.col("_before") + F.row_number().over(order))
+        .withColumn("_rank", F.row_number().over(order))
+        .join(sized.filter(F.col("n") <= direct_rows).select("_g", "bounds"), "_g")
         .withColumn(out, F.expr("size(filter(bounds, b -> b < _rank))").cast("int"))
-        .drop("_g", "_code", "_b", "_before", "bounds", "_rank")
+        .drop("_code", "_rank", "bounds")
     )
+    if not hot_rows:
+        return calm.drop("_g")
+    cuts = _find_cuts(rows.join(names, "_g", "left_semi"), hot_rows, direct_rows)
+    return calm.unionByName(_apply_cuts(keyed, code, cuts, out)).drop("_g")
 
 
 def fixed_bounds(*bounds: int) -> Bounds:

@@ -50,24 +50,30 @@ def materialise(df: DataFrame) -> DataFrame:
 def bounded(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame | None:
     """``df`` as a local relation, or None when it exceeds the bounds.
 
-    At most ``max_rows + 1`` rows travel to the driver.
+    Rows are taken partition by partition, so a large table costs a few of its
+    partitions and never sends more than a small multiple of ``max_rows``.
     """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows or table.nbytes > max_bytes:
+    rows = df.take(max_rows + 1)
+    if len(rows) > max_rows:
         return None
-    return df.sparkSession.createDataFrame(table, schema=df.schema)
+    table = _arrow(rows, df.schema)
+    return None if table.nbytes > max_bytes else df.sparkSession.createDataFrame(table, df.schema)
+
+
+def _arrow(rows: list, schema: StructType) -> pa.Table:
+    columns = {f.name: [r[i] for r in rows] for i, f in enumerate(schema.fields)}
+    return pa.Table.from_pydict(columns, schema=to_arrow_schema(schema))
 
 
 def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """A driver-held list as a local relation of known size."""
     schema = StructType.fromDDL(ddl)
-    columns = {f.name: [r[i] for r in rows] for i, f in enumerate(schema.fields)}
-    return spark.createDataFrame(pa.Table.from_pydict(columns, schema=to_arrow_schema(schema)), schema)
+    return spark.createDataFrame(_arrow(rows, schema), schema)
 
 
 def small_rows(df: DataFrame, what: str, max_rows: int = SMALL_ROWS) -> list:
     """Rows of a model-sized table (classes, folds, conditions); too many is an error."""
-    rows = df.limit(max_rows + 1).collect()
+    rows = df.take(max_rows + 1)
     if len(rows) > max_rows:
         raise ValueError(f"more than {max_rows} {what}")
     return rows
