@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,22 +12,37 @@ from tamis.operators.cleaning import has_image_suffix
 from tamis.session import local_table
 
 EXPECTED_FILES = 6000
+# The image suffixes in any case, so that other files are dropped at the listing.
+IMAGE_GLOB = "*.{[pP][nN][gG],[jJ][pP][gG],[jJ][pP][eE][gG],[bB][mM][pP]}"
+
+
+def _scan(spark: SparkSession, root: str, *columns: str, glob: str = "*") -> DataFrame:
+    """Columns of every file below ``root``, empty files included.
+
+    Spark's file scans leave out files of length zero. Its listing counts them, so only
+    when the counts differ are the listed names compared with the scanned ones.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.option("pathGlobFilter", glob).load(root)
+    scanned = files.select(*columns)
+    if len(files._jdf.inputFiles()) == files.select("path").count():
+        return scanned
+    # Names as the scan writes them: not URL-encoded, local ones with a single slash.
+    names = [(re.sub(r"^(\w+):///", r"\1:/", unquote(name)),) for name in files.inputFiles()]
+    listed = local_table(spark, names, "path string")
+    empty = listed.join(files.select("path"), "path", "left_anti")
+    blank = {"path": F.col("path"), "length": F.lit(0).cast("bigint"), "content": F.lit(b"")}
+    return scanned.unionByName(empty.select(*[blank[c].alias(c) for c in columns]))
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, length) of every file below ``root``; contents are not read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select("path", "length")
-    )
+    return _scan(spark, root, "path", "length")
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, content) of every image file below ``root``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.filter(has_image_suffix("path")).select("path", "length", "content")
+    return _scan(spark, root, "path", "length", "content", glob=IMAGE_GLOB)
 
 
 def read_pixels(spark: SparkSession, root: str) -> DataFrame:
