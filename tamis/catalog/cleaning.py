@@ -8,6 +8,7 @@ from tamis.catalog import SAMPLES, query, samples, sql_split, table
 from tamis.catalog.files import embedding_files
 from tamis.operators import cleaning as ops
 from tamis.operators.splits import stratified_split
+from tamis.session import materialise
 
 SQL_COPIES = """hashed AS (SELECT doc_id, md5(text) AS content_md5 FROM documents),
 grouped AS (
@@ -95,15 +96,21 @@ def resolve_duplicates(spark, folder):
 SELECT split, label, count(*) AS n FROM parted GROUP BY split, label""",
 )
 def clean_and_split_counts(spark, folder):
-    """Labelled documents, exact copies removed, split 70/15/15: rows per split and class."""
-    clean = ops.resolve_duplicates(samples(spark, folder), "doc_id", "text").select("doc_id", "label")
+    """Labelled documents, exact copies removed, split 70/15/15: rows per split and class.
+
+    Texts are hashed before the join, so they are never shuffled; the narrow rows that
+    the split reads several times are written once.
+    """
+    hashes = ops.content_hashes(table(spark, folder, "documents"), "doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    rows = materialise(hashes.join(labels, "doc_id"))
+    clean = ops.keep_first(rows.select("doc_id", "label"), rows.select("doc_id", "content_md5"), "doc_id")
     return stratified_split(clean, "doc_id", "label").groupBy("split", "label").agg(F.count("*").alias("n"))
 
 
 @query(
     "clean_manifest",
-    f"""WITH good AS (SELECT vec_id, label FROM embeddings WHERE label NOT IN (3, 7, 9)),
-kept AS (SELECT vec_id, label FROM embeddings e WHERE label NOT IN (3, 7, 9) AND vec_id IN (
+    f"""WITH kept AS (SELECT vec_id, label FROM embeddings e WHERE label NOT IN (3, 7, 9) AND vec_id IN (
   SELECT min(vec_id) FROM embeddings WHERE label NOT IN (3, 7, 9) GROUP BY embedding)),
 {sql_split('kept', 'vec_id')}
 SELECT vec_id, label, split FROM parted""",

@@ -179,12 +179,12 @@ def auroc(spark, folder):
 @query(
     "auroc_large",
     f"""WITH scored AS (
-  SELECT CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS label, round(value / 500.0::DOUBLE, 9) AS score FROM events),
+  SELECT CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS label, round(value / (value + 50.0::DOUBLE), 9) AS score FROM events),
 {sql_auroc('scored')}""",
 )
 def auroc_large(spark, folder):
     scored = table(spark, folder, "events").select(
-        F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("label"), (F.col("value") / 500.0).alias("score")
+        F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("label"), (F.col("value") / (F.col("value") + 50.0)).alias("score")
     )
     return rounded(metrics.auroc(scored, "label", "score"), "auroc")
 

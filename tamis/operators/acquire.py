@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,12 +61,15 @@ def cluster(
     from pyspark.ml.functions import array_to_vector
 
     rows = df.select(key, vec, array_to_vector(F.col(vec)).alias("_x"))
+    # Every start and iteration reads the vectors again.
+    vectors = rows.select("_x").persist(StorageLevel.MEMORY_AND_DISK)
     best = None
     for start in range(restarts):
         means = KMeans(featuresCol="_x", predictionCol="cluster", k=k, seed=seed + start, maxIter=max_iter)
-        model = means.fit(rows)
+        model = means.fit(vectors)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
+    vectors.unpersist()
     centres = [(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())]
     table = local_table(df.sparkSession, centres, "cluster int, _centre array<double>")
     return (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tamis.functions.images import resize, rgb
 from tamis.functions.keyed import SEED, key_code, key_uniform
 from tamis.operators.splits import sample_with_replacement
-from tamis.session import join_small
+from tamis.session import join_salted
 
 # Chances and ranges of the augmentation steps; fixed values.
 FLIP_CHANCE = 0.5
@@ -22,8 +23,8 @@ LIGHT_LIMIT = 0.15
 NOISE_CHANCE = 0.3
 NOISE_VARIANCE = (5.0, 20.0)
 IMAGE_SIZE = (224, 224)
-# Source rows are wide; only a few are broadcast.
-WIDE_ROWS = 2_000
+# More copies of one source row than this are made in several tasks.
+COPIES_PER_TASK = 100_000
 
 IMAGE = "aug_key string, height int, width int, nChannels int, data binary"
 
@@ -40,8 +41,13 @@ def naive_oversample(
     source, missing = _needed(df, label, target_label, target_count)
     if missing == 0:
         return df
-    draws = sample_with_replacement(source, key, missing, seed, "oversample").drop("draw")
-    return df.unionByName(join_small(draws, source, key, max_rows=WIDE_ROWS))
+    draws = sample_with_replacement(source, key, missing, seed, "oversample")
+    salts = _salts(missing, target_count - missing)
+    return df.unionByName(join_salted(draws, source, key, "draw", salts).drop("draw"))
+
+
+def _salts(copies: int, sources: int) -> int:
+    return math.ceil(copies / max(1, sources) / COPIES_PER_TASK)
 
 
 def augmentation_plan(
@@ -100,7 +106,9 @@ def apply_augmentation(
     """Render the planned copies as pixel rows (BGR, three channels)."""
     pixels = images.select(F.col(key).alias("source_key"), "height", "width", "nChannels", "data")
     noise_seed = F.conv(F.substring(key_code("aug_key", "noise pixels", seed), 1, 8), 16, 10).cast("bigint")
-    work = join_small(plan, pixels, "source_key", max_rows=WIDE_ROWS).withColumn("noise_seed", noise_seed)
+    wanted = plan.agg(F.count("*").alias("copies"), F.approx_count_distinct("source_key").alias("sources")).first()
+    work = join_salted(plan, pixels, "source_key", "aug_key", _salts(wanted.copies, wanted.sources))
+    work = work.withColumn("noise_seed", noise_seed)
     # A copy grows to size * 3 bytes: hand them out in small batches.
     chunk = max(1, (16 << 20) // (size[0] * size[1] * 3))
 

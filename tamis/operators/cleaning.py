@@ -77,7 +77,12 @@ def resolve_duplicates(df: DataFrame, key: str, content: str, strategy: str = "k
     """Keep the row with the smallest key of every group of equal content."""
     if strategy != "keep_first":
         raise NotImplementedError(f"unknown duplicate strategy {strategy!r}")
-    return drop_listed(df, surplus_copies(content_hashes(df, key, content), key), key)
+    return keep_first(df, content_hashes(df, key, content), key)
+
+
+def keep_first(df: DataFrame, hashes: DataFrame, key: str) -> DataFrame:
+    """``df`` without the surplus copies found in ``hashes`` (``key``, ``content_md5``)."""
+    return drop_listed(df, surplus_copies(hashes, key), key)
 
 
 def validation_summary(inspected: DataFrame) -> DataFrame:
@@ -113,11 +118,10 @@ def align(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
 
 
 def clean_manifest(files: DataFrame, manifest: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """Drop faulty files, then surplus copies among the sound ones, from one inspection pass."""
+    """Drop faulty files, then surplus copies, from one inspection pass over the bytes."""
     inspected = materialise(inspect_files(files, key, content))
     sound = drop_listed(manifest, faulty_files(inspected, key), key)
-    copies = surplus_copies(inspected.select(key, "content_md5"), key)
-    return drop_listed(sound, copies, key)
+    return keep_first(sound, inspected.select(key, "content_md5"), key)
 
 
 def funnel(df: DataFrame, steps: dict[str, Column]) -> DataFrame:

@@ -130,18 +130,18 @@ def run_condition(
     if condition not in CONDITIONS:
         raise ValueError(f"condition must be one of {CONDITIONS}")
     rows = df.select(key, F.col(label).alias("_y"), "split", array_to_vector(F.col(vec)).alias("_x"))
-    train = select_split(rows, "train")
+    train, *held = (select_split(rows, split) for split in ("train", "val", "test"))
     fit = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=max_iter, regParam=reg)
     log = None
     for i in range(n_runs):
         seed = base_seed + i
         model = fit.fit(train.withColumn("_w", bootstrap_weight(key, seed)).filter("_w > 0"))
-        for split in ("val", "test"):
-            scored = model.transform(select_split(rows, split)).select(
+        for split, part in zip(("val", "test"), held):
+            scored = model.transform(part).select(
                 key, "_y", vector_to_array("probability").alias("probs")
             )
             one = metrics_to_long(evaluate(scored, key, "_y"), [], f"{split}_")
-            part = one.select(
+            lines = one.select(
                 F.lit(experiment).alias("experiment"),
                 F.lit(condition).alias("condition"),
                 F.lit(i).alias("run_index"),
@@ -149,7 +149,7 @@ def run_condition(
                 "metric",
                 "value",
             )
-            log = part if log is None else log.unionByName(part)
+            log = lines if log is None else log.unionByName(lines)
     return log
 
 

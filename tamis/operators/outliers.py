@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tamis.functions.keyed import SEED, key_code, score_code, score_of_code
 from tamis.functions.vectors import squared_distance, vector_sums
 from tamis.operators.ranking import codes_at_ranks, first_in_group, tie_code
-from tamis.session import join_small, materialise, small_rows
+from tamis.session import join_by_size, materialise, small_rows
 
 CONTAMINATION = 0.05
 # Forest size and rows per tree of Liu, Ting & Zhou (2008); fixed values.
@@ -21,6 +21,8 @@ TREES = 100
 TREE_ROWS = 256
 # Trees draw their rows from a random pool of this many times their total.
 POOL_FACTOR = 4
+# Centroids are wide: fewer of them are broadcast.
+CENTROID_ROWS = 5_000
 
 TREE = "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, length array<double>"
 
@@ -43,10 +45,11 @@ def centroid_outliers(
 ) -> DataFrame:
     """Add ``distance`` to the own class centroid and mark the top share as outliers."""
     sums = vector_sums(df, [label], vec)
-    means = sums.select(label, F.transform("sums", lambda s: s / F.col("n")).alias("_centroid"))
+    means = sums.select(label, F.col("n").alias("_n"), F.transform("sums", lambda s: s / F.col("n")).alias("_centroid"))
     distance = F.round(F.sqrt(squared_distance(vec, "_centroid")), 9)
-    scored = join_small(df, means, label).withColumn("distance", distance).drop("_centroid")
-    cut = upper_cut(scored.select(key, "distance"), "distance", contamination, key)
+    joined = join_by_size(df, means, label, "_n", max_rows=CENTROID_ROWS)
+    scored = joined.withColumn("distance", distance).drop("_centroid", "_n")
+    cut = upper_cut(materialise(scored.select(key, "distance")), "distance", contamination, key)
     return scored.withColumn("is_outlier", F.col("distance") > F.lit(cut))
 
 

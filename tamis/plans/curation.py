@@ -12,7 +12,7 @@ from tamis.operators import audit, cleaning
 from tamis.operators.acquire import active_learning_loop
 from tamis.operators.balance import append_plan, augmentation_plan
 from tamis.operators.experiments import comparison_table, error_bars, learning_curve, run_condition, run_summary, significance_test
-from tamis.operators.images import normalization_stats
+from tamis.operators.images import NORM_SAMPLE, normalization_stats
 from tamis.operators.label_noise import (
     inject_label_noise,
     label_issues,
@@ -20,8 +20,8 @@ from tamis.operators.label_noise import (
     remove_flagged,
     score_detector,
 )
-from tamis.operators.splits import sample_per_class, seed_pool_split, split_crosstab, stratified_split
-from tamis.session import join_small, materialise
+from tamis.operators.splits import sample_n, sample_per_class, seed_pool_split, split_crosstab, stratified_split
+from tamis.session import join_small, materialise, small_rows
 from tamis.sources.files import read_files, read_pixels, scan_categories, scan_class_dirs
 from tamis.sources.manifests import read_manifest, write_manifest, write_norm_stats
 from tamis.sources.runs import append_runs, read_runs, write_comparison
@@ -45,9 +45,9 @@ def validate_folder(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def baseline_manifest(spark: SparkSession, root: str, classes: Sequence[str], path: str) -> DataFrame:
-    """Class folders, split, written."""
-    manifest = stratified_split(scan_class_dirs(spark, root, class_map(classes)), "path", "label")
-    write_manifest(manifest, path)
+    """Class folders, split, written. The folders are listed once."""
+    manifest = materialise(scan_class_dirs(spark, root, class_map(classes)))
+    write_manifest(stratified_split(manifest, "path", "label"), path)
     return read_manifest(spark, path)
 
 
@@ -55,7 +55,7 @@ def category_manifest(
     spark: SparkSession, root: str, categories: list[str], path: str
 ) -> tuple[DataFrame, DataFrame]:
     """Inspection layout of several categories, split within each, written; with its crosstab."""
-    manifest = scan_categories(spark, root, categories)
+    manifest = materialise(scan_categories(spark, root, categories))
     parted = stratified_split(manifest, "path", "label", within=["category"])
     write_manifest(parted, path)
     stored = read_manifest(spark, path, "path string, label int, defect_type string, category string, mask_path string, split string")
@@ -65,7 +65,7 @@ def category_manifest(
 def cleaned_manifest(spark: SparkSession, root: str, classes: Sequence[str], path: str) -> DataFrame:
     """Class folders without faulty files and surplus copies, split, written."""
     manifest = scan_class_dirs(spark, root, class_map(classes))
-    clean = cleaning.clean_manifest(read_files(spark, root), manifest)
+    clean = materialise(cleaning.clean_manifest(read_files(spark, root), manifest))
     write_manifest(stratified_split(clean, "path", "label"), path)
     return read_manifest(spark, path)
 
@@ -75,11 +75,16 @@ def clean_within_split(files: DataFrame, parted: DataFrame, key: str = "path") -
     return cleaning.clean_manifest(files, parted, key)
 
 
-def preprocessing_stats(spark: SparkSession, root: str, manifest: DataFrame, path: str) -> None:
-    """Normalisation statistics of the train images, written as JSON."""
+def preprocessing_stats(
+    spark: SparkSession, manifest: DataFrame, path: str, sample: int = NORM_SAMPLE
+) -> None:
+    """Normalisation statistics of a sample of train images, written as JSON.
+
+    Only the sampled files are opened.
+    """
     train = cleaning.select_split(manifest, "train").select("path")
-    images = join_small(read_pixels(spark, root), train, "path", "left_semi")
-    write_norm_stats(normalization_stats(images, "path"), path)
+    names = [r.path for r in small_rows(sample_n(train, "path", sample), "sampled files")]
+    write_norm_stats(normalization_stats(read_pixels(spark, names), "path", sample=None), path)
 
 
 def explore(manifest: DataFrame, key: str, label: str, category: str | None = None, kind: str | None = None) -> dict[str, DataFrame]:

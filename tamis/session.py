@@ -91,16 +91,27 @@ def join_small(
     return left.join(right if small is None else F.broadcast(small), on, how)
 
 
-def join_by_size(left: DataFrame, right: DataFrame, on: str, size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_by_size(
+    left: DataFrame,
+    right: DataFrame,
+    on: str,
+    size: str,
+    hot_rows: int = HOT_ROWS,
+    max_rows: int = SMALL_ROWS,
+) -> DataFrame:
     """Inner join of rows to one summary row per ``on``, whose ``size`` counts its rows.
 
-    Groups above ``hot_rows`` are few (n / hot_rows) and are joined by broadcast, so
-    that no group's rows ever meet in one task; the rest goes by shuffle.
+    Few summary rows are broadcast. Otherwise the groups above ``hot_rows`` are few
+    (n / hot_rows) and are joined by broadcast, so that no group's rows ever meet in one
+    task; the rest goes by shuffle.
     """
-    hot = bounded(right.filter(F.col(size) > hot_rows))
+    whole = bounded(right, max_rows)
+    if whole is not None:
+        return left.join(F.broadcast(whole), on)
+    hot = bounded(right.filter(F.col(size) > hot_rows), max_rows)
     while hot is None:
         hot_rows *= 10
-        hot = bounded(right.filter(F.col(size) > hot_rows))
+        hot = bounded(right.filter(F.col(size) > hot_rows), max_rows)
     if hot.isEmpty():
         return left.join(right, on)
     cold = right.filter(F.col(size) <= hot_rows)
@@ -108,5 +119,18 @@ def join_by_size(left: DataFrame, right: DataFrame, on: str, size: str, hot_rows
     return left.join(F.broadcast(hot), on).unionByName(calm.join(cold, on))
 
 
+def join_salted(left: DataFrame, right: DataFrame, on: str, spread: str, salts: int) -> DataFrame:
+    """Inner join to unique but wide rows that are each wanted very often.
+
+    Every right row is repeated ``salts`` times and the left rows are spread over the
+    copies by ``spread``; nothing is broadcast or fetched.
+    """
+    if salts <= 1:
+        return left.join(right, on)
+    numbers = F.sequence(F.lit(0), F.lit(salts - 1))
+    copies = right.withColumn("_salt", F.explode(numbers))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(copies, [on, "_salt"]).drop("_salt")
+
+
 def as_col(column: str | Column) -> Column:
     return F.col(column) if isinstance(column, str) else column

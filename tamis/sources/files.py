@@ -45,15 +45,23 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return _scan(spark, root, "path", "length", "content", glob=IMAGE_GLOB)
 
 
-def read_pixels(spark: SparkSession, root: str) -> DataFrame:
-    """Decoded images: ``path`` and the fields of Spark's image rows; undecodable files are left out."""
+def read_pixels(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """Decoded images: ``path`` and the fields of Spark's image rows; undecodable files are left out.
+
+    ``root`` is a folder or a short list of files.
+    """
+    if isinstance(root, list):
+        root = [re.sub(r"([{}\[\]*?\\,])", r"\\\1", name) for name in root]
     images = (
         spark.read.format("image")
         .option("recursiveFileLookup", "true")
         .option("dropInvalid", "true")
         .load(root)
     )
-    return images.select(F.col("image.origin").alias("path"), "image.*").drop("origin", "mode")
+    # The image source gives URL-encoded names; manifests hold plain ones.
+    plain = F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(plain, r"^(\w+):///", "$1:/")
+    return images.select(path.alias("path"), "image.*").drop("origin", "mode")
 
 
 def class_dirs(listing: DataFrame, class_map: dict[str, int]) -> DataFrame:
@@ -70,9 +78,8 @@ def class_dirs(listing: DataFrame, class_map: dict[str, int]) -> DataFrame:
 
 def scan_class_dirs(spark: SparkSession, root: str, class_map: dict[str, int]) -> DataFrame:
     """Class folders directly below ``root``."""
-    base = list_files(spark, root)
-    depth = F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1) == root.rstrip("/").rsplit("/", 1)[-1]
-    return class_dirs(base.filter(depth), class_map)
+    direct = rf"\Q{re.sub('^[a-z0-9]+:/*', '/', root.rstrip('/'))}\E/[^/]+/[^/]+$"
+    return class_dirs(list_files(spark, root).filter(F.col("path").rlike(direct)), class_map)
 
 
 def category_layout(listing: DataFrame, categories: list[str] | None = None) -> DataFrame:

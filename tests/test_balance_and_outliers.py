@@ -14,9 +14,9 @@ def rows(spark):
     return spark.createDataFrame([(i, int(i >= 90), f"t{i}") for i in range(100)], "key bigint, label int, text string")
 
 
-@pytest.mark.parametrize("wide_rows", [2_000, 3])
-def test_oversample(rows, monkeypatch, wide_rows):
-    monkeypatch.setattr(balance, "WIDE_ROWS", wide_rows)
+@pytest.mark.parametrize("copies_per_task", [100_000, 1])
+def test_oversample(rows, monkeypatch, copies_per_task):
+    monkeypatch.setattr(balance, "COPIES_PER_TASK", copies_per_task)
     more = balance.naive_oversample(rows, "key", "label", 1, 60)
     assert more.count() == 150
     assert more.filter("label = 1").count() == 60

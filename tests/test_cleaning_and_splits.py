@@ -37,11 +37,12 @@ def test_resolve_duplicates_keeps_the_first(spark):
 def test_one_group_may_hold_most_rows(spark, monkeypatch):
     import tamis.session as session
 
-    monkeypatch.setattr(session.join_by_size, "__defaults__", (50,))
-    df = spark.range(1000).select("id", F.when(F.col("id") < 700, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    monkeypatch.setattr(session.join_by_size, "__defaults__", (50, 1))
+    df = spark.range(1000).select("id", F.when(F.col("id") < 700, "same").otherwise((F.col("id") / 2).cast("int").cast("string")).alias("text"))
     members = cleaning.duplicate_members(cleaning.content_hashes(df, "id", "text"), "id")
-    assert members.count() == 700 and members.filter("is_first").first().id == 0
-    assert cleaning.resolve_duplicates(df, "id", "text").count() == 301
+    assert members.count() == 1000 and members.filter("group_size = 700").count() == 700
+    assert members.filter("is_first AND group_size = 700").first().id == 0
+    assert cleaning.resolve_duplicates(df, "id", "text").count() == 151
 
 
 def test_select_split(spark):

@@ -7,7 +7,7 @@ from tamis.functions.images import fault_of
 from tamis.operators.balance import apply_augmentation, augmentation_plan
 from tamis.operators.images import normalization_stats, pixel_stats
 from tamis.plans import curation
-from tamis.sources.files import check_file_count, read_pixels, scan_categories, scan_class_dirs
+from tamis.sources.files import check_file_count, read_files, read_pixels, scan_categories, scan_class_dirs
 from tests.images import png, put
 
 
@@ -122,12 +122,13 @@ def test_channel_order_and_stats(spark, tmp_path):
 
 
 def test_preprocessing_stats_use_train_rows_only(spark, tmp_path):
-    put(tmp_path / "img" / "a.png", png(4, 4, (0, 0, 0)))
+    put(tmp_path / "img" / "a {1}+.png", png(4, 4, (0, 0, 0)))
     put(tmp_path / "img" / "b.png", png(4, 4, (255, 255, 255)))
-    images = read_pixels(spark, str(tmp_path / "img"))
-    split = F.when(name() == "a.png", "train").otherwise("test")
-    manifest = images.select("path", split.alias("split"))
-    curation.preprocessing_stats(spark, str(tmp_path / "img"), manifest, str(tmp_path / "stats"))
+    files = read_files(spark, str(tmp_path / "img"))
+    assert read_pixels(spark, str(tmp_path / "img")).join(files, "path").count() == 2
+    split = F.when(name() == "a {1}+.png", "train").otherwise("test")
+    manifest = files.select("path", split.alias("split"))
+    curation.preprocessing_stats(spark, manifest, str(tmp_path / "stats"))
     assert spark.read.json(str(tmp_path / "stats")).first()["mean"] == [0.0, 0.0, 0.0]
 
 

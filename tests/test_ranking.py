@@ -98,9 +98,9 @@ def test_bounded_refuses_large_tables(rows):
     assert bounded(rows, 3000, max_bytes=10) is None
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 500, 10])
+@pytest.mark.parametrize("hot_rows", [1_000_000, 500, 260, 10])
 def test_join_by_size_with_hot_groups(rows, hot_rows):
     sizes = rows.groupBy("grp").agg(F.count("*").alias("n"))
-    got = join_by_size(rows, sizes, "grp", "n", hot_rows)
+    got = join_by_size(rows, sizes, "grp", "n", hot_rows, max_rows=8)
     assert got.count() == 3000
     assert got.groupBy("grp").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter("c <> n").count() == 0
