@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamis.functions.arrow import once
+
 # File format markers; fixed values.
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 JPEG_START = b"\xff\xd8"
@@ -62,7 +64,7 @@ def _file_fault(content: pd.Series) -> pd.Series:
 
 
 def file_fault(content: Column) -> Column:
-    return _file_fault(content)
+    return once(_file_fault)(content)
 
 
 def rgb(height: int, width: int, channels: int, data: bytes) -> np.ndarray:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis.functions.arrow import once
 from tamis.functions.keyed import SEED, key_code, key_uniform, score_code
 from tamis.functions.vectors import argmax_index, entropy, largest_other, own_probability, vector_sums
 from tamis.operators.cleaning import drop_listed, update_listed
@@ -90,7 +91,7 @@ def centroid_probabilities(
                 out[mine] = e / e.sum(axis=1, keepdims=True)
             yield pd.Series(list(np.round(out, 9)))
 
-    udf = F.pandas_udf(probabilities, "array<double>")
+    udf = once(F.pandas_udf(probabilities, "array<double>"))
     return udf(F.lit(0) if fold is None else F.col(fold), F.col(vec))
 
 

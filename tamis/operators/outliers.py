@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.functions.arrow import once
 from tamis.functions.keyed import SEED, key_code, score_code, score_of_code
 from tamis.functions.vectors import squared_distance, vector_sums
 from tamis.operators.ranking import codes_at_ranks, first_in_group, tie_code
@@ -148,7 +149,7 @@ def isolation_score(df: DataFrame, vec: str, forest: DataFrame, tree_rows: int =
                 depth += length[at]
             yield pd.Series(np.round(np.exp2(-depth / len(shared.value) / scale), 9))
 
-    return F.pandas_udf(score, "double")(F.col(vec))
+    return once(F.pandas_udf(score, "double"))(F.col(vec))
 
 
 def feature_outliers(
