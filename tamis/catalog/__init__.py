@@ -53,7 +53,7 @@ SAMPLES = """samples AS (
 
 
 def sql_code(use: str, *keys: str) -> str:
-    """The sort code of ``key_code`` in SQL."""
+    """The hash of ``key_code`` in SQL."""
     parts = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
     return f"md5(concat_ws('|', '42', '{use}', {parts}))"
 
@@ -64,7 +64,7 @@ def sql_uniform(use: str, *keys: str) -> str:
 
 
 def sql_units(score: str) -> str:
-    return f"CAST(round(({score}) * 1e9::DOUBLE) AS BIGINT)"
+    return f"CAST(floor(({score}) * 1e9::DOUBLE + 0.5::DOUBLE) AS BIGINT)"
 
 
 def sql_split(source: str, key: str = "doc_id", label: str = "label", within: str | None = None) -> str:

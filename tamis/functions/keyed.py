@@ -7,15 +7,22 @@ partitioning, and the same md5 is available in other SQL engines.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEED = 42
-# Scores are compared as integers of 1e-9, shifted to be non-negative, in 12 hex digits.
+# Scores are compared as whole numbers of 1e-9.
 SCORE_SCALE = 1_000_000_000
-SCORE_SHIFT = 1 << 47
-SCORE_WIDTH = 12
+
+
+@dataclass(frozen=True)
+class Order:
+    """A total order of rows: a whole-number ``head``, ties by a text ``tail`` unique per row."""
+
+    head: Column
+    tail: Column
 
 
 def key_code(key: str | Sequence[str], use: str, seed: int = SEED) -> Column:
@@ -36,20 +43,15 @@ def key_uniform(key: str | Sequence[str], use: str, seed: int = SEED) -> Column:
 
 def score_units(score: Column) -> Column:
     """A score as a whole number of 1e-9."""
-    return F.round(score * F.lit(float(SCORE_SCALE))).cast("bigint")
+    return F.floor(score * F.lit(float(SCORE_SCALE)) + F.lit(0.5)).cast("bigint")
 
 
-def score_code(score: Column, descending: bool = False) -> Column:
-    """Fixed-width hex text that sorts as the score does (9 digits after the point)."""
-    units = score_units(score)
-    shifted = F.lit(SCORE_SHIFT) - units if descending else F.lit(SCORE_SHIFT) + units
-    text = F.lpad(F.hex(shifted), SCORE_WIDTH, "0")
-    return F.when(F.abs(units) < SCORE_SHIFT, text).otherwise(
-        F.raise_error(F.lit("score outside the sortable range of +-140000"))
-    )
+def random_order(key: str | Sequence[str], use: str, seed: int = SEED) -> Order:
+    """Keyed random order."""
+    return Order(F.lit(0).cast("bigint"), key_code(key, use, seed))
 
 
-def score_of_code(code: str, descending: bool = False) -> float:
-    """The score that ``score_code`` put at the head of ``code``."""
-    units = int(code[:SCORE_WIDTH], 16) - SCORE_SHIFT
-    return (-units if descending else units) / SCORE_SCALE
+def score_order(score: str | Column, key: str, descending: bool = False, seed: int = SEED) -> Order:
+    """By score to 9 digits; equal scores fall in keyed random order."""
+    units = score_units(F.col(score) if isinstance(score, str) else score)
+    return Order(-units if descending else units, key_code(key, "tie", seed))

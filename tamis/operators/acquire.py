@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamis.functions.keyed import SEED, key_code, key_uniform, score_code
+from tamis.functions.keyed import SEED, Order, key_uniform, random_order, score_order
 from tamis.functions.vectors import (
     entropy,
     least_confidence,
@@ -19,7 +19,7 @@ from tamis.functions.vectors import (
 )
 from tamis.operators.label_noise import centroid_probabilities, centroid_table, class_list, wrong_class
 from tamis.operators.metrics import evaluate
-from tamis.operators.ranking import rank_band, tie_code, top_k
+from tamis.operators.ranking import rank_band, top_k
 from tamis.session import bounded, join_small, local_table, materialise, small_rows
 
 # Defaults of the selection strategies; fixed values.
@@ -47,7 +47,7 @@ def uncertainty(probs: str, method: str = "entropy") -> Column:
 def most_uncertain(df: DataFrame, key: str, probs: str, k: int, method: str = "entropy") -> DataFrame:
     """The ``k`` most uncertain rows: (``key``, ``score``, ``pick``)."""
     scored = df.select(key, uncertainty(probs, method).alias("score"))
-    return top_k(scored, F.concat(score_code(F.col("score"), True), tie_code(key)), k)
+    return top_k(scored, score_order("score", key, descending=True), k)
 
 
 # --- diversity ---------------------------------------------------------------------
@@ -85,9 +85,9 @@ def cluster_representatives(df: DataFrame, key: str, k: int, cycle: bool = False
     One per cluster, ``k`` at most. With ``cycle``, second nearest rows and so on follow
     until there are ``k``. ``df`` has (``key``, ``cluster``, ``distance``).
     """
-    near = F.concat(score_code(F.col("distance")), tie_code(key))
+    near = score_order("distance", key)
     if not cycle:
-        first = F.min(F.struct(near.alias("code"), F.col(key).alias("key")))
+        first = F.min(F.struct(near.head.alias("head"), near.tail.alias("tail"), F.col(key).alias("key")))
         chosen = df.groupBy("cluster").agg(first["key"].alias(key)).withColumn("_turn", F.lit(1))
     else:
         sizes = small_rows(df.groupBy("cluster").agg(F.count("*").alias("n")), "clusters")
@@ -104,10 +104,10 @@ def cluster_representatives(df: DataFrame, key: str, k: int, cycle: bool = False
             "_band",
         ).filter("_band = 0")
         # At most ``depth`` rows per cluster are left.
-        place = F.row_number().over(Window.partitionBy("cluster").orderBy(near))
+        place = F.row_number().over(Window.partitionBy("cluster").orderBy(near.head, near.tail))
         chosen = banded.select(key, "cluster", place.alias("_turn"))
-    order = F.concat(F.lpad(F.hex("_turn"), 12, "0"), F.lpad(F.hex("cluster"), 12, "0"))
-    return top_k(chosen, order, k).select(key, "cluster", "pick")
+    by_turn = Order(F.col("_turn").cast("bigint"), F.lpad(F.hex("cluster"), 12, "0"))
+    return top_k(chosen, by_turn, k).select(key, "cluster", "pick")
 
 
 def hybrid(
@@ -131,7 +131,7 @@ def hybrid(
 
     score = F.lit(uncertainty_weight) * unit("_u") + F.lit(diversity_weight) * unit("_d")
     scored = raw.select(key, score.alias("score"))
-    return top_k(scored, F.concat(score_code(F.col("score"), True), tie_code(key)), k)
+    return top_k(scored, score_order("score", key, descending=True), k)
 
 
 # --- labelling ---------------------------------------------------------------------
@@ -231,7 +231,7 @@ def _pick(
     scorer: Scorer, pool: DataFrame, key: str, vec: str, k: int, strategy: str, seed: int
 ) -> DataFrame:
     if strategy == "random":
-        return top_k(pool.select(key), key_code(key, "random pick", seed), k)
+        return top_k(pool.select(key), random_order(key, "random pick", seed), k)
     if strategy == "diversity":
         grouped = cluster(pool, key, vec, min(CLUSTERS, max(2, k)), seed, restarts=1)
         return cluster_representatives(grouped, key, k, cycle=True)

@@ -56,7 +56,8 @@ def duplicate_groups(hashes: DataFrame, key: str) -> DataFrame:
 def duplicate_members(hashes: DataFrame, key: str) -> DataFrame:
     """Every row of a duplicate group. Groups stay rows, never arrays: one may be huge."""
     hashes = materialise(hashes)
-    return join_by_size(hashes, duplicate_groups(hashes, key), "content_md5", "group_size").select(
+    groups = materialise(duplicate_groups(hashes, key))
+    return join_by_size(hashes, groups, "content_md5", "group_size").select(
         "content_md5", "group_size", key, (F.col(key) == F.col("first_key")).alias("is_first")
     )
 
@@ -82,7 +83,7 @@ def resolve_duplicates(df: DataFrame, key: str, content: str, strategy: str = "k
 
 def keep_first(df: DataFrame, hashes: DataFrame, key: str) -> DataFrame:
     """``df`` without the surplus copies found in ``hashes`` (``key``, ``content_md5``)."""
-    return drop_listed(df, surplus_copies(hashes, key), key)
+    return drop_listed(df, materialise(surplus_copies(hashes, key)), key)
 
 
 def validation_summary(inspected: DataFrame) -> DataFrame:

@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.arrow import once
-from tamis.functions.keyed import SEED, key_code, key_uniform, score_code
+from tamis.functions.keyed import SEED, key_uniform, random_order, score_order
 from tamis.functions.vectors import argmax_index, entropy, largest_other, own_probability, vector_sums
 from tamis.operators.cleaning import drop_listed, update_listed
-from tamis.operators.ranking import global_rank, rank_band, tie_code
+from tamis.operators.ranking import global_rank, rank_band
 from tamis.operators.splits import stratified_kfold
 from tamis.session import join_small, local_table, small_rows
 
@@ -207,12 +207,12 @@ def _pruned_by_noise_rate(df: DataFrame, key: str, label: str, probs: str, joint
     )
     cells = df.select(key, label, own_probability(probs, label).alias("_own"), F.posexplode(probs).alias("_other", "_p"))
     cells = cells.join(F.broadcast(quotas), [label, "_other"]).drop("quota")
-    gap = score_code(F.col("_p") - F.col("_own"), descending=True)
+    largest_gap = score_order(F.col("_p") - F.col("_own"), key, descending=True)
 
     def bounds(sizes: DataFrame) -> DataFrame:
         return sizes.join(F.broadcast(quotas), [label, "_other"]).withColumn("bounds", F.array("quota"))
 
-    banded = rank_band(cells, F.concat(gap, tie_code(key)), bounds, [label, "_other"], "_band")
+    banded = rank_band(cells, largest_gap, bounds, [label, "_other"], "_band")
     return banded.filter("_band = 0").select(key).distinct()
 
 
@@ -220,12 +220,12 @@ def _pruned_by_class(df: DataFrame, key: str, label: str, probs: str, joint: Dat
     """Per label i: as many of its least confident rows as the joint puts off the diagonal."""
     off = F.when(F.col(label) != F.col("suggested"), F.col("calibrated")).otherwise(0.0)
     quotas = joint.groupBy(label).agg(F.floor(F.sum(off) + 0.5).alias("quota"))
-    code = F.concat(score_code(own_probability(probs, label)), tie_code(key))
+    least_sure = score_order(own_probability(probs, label), key)
 
     def bounds(sizes: DataFrame) -> DataFrame:
         return sizes.join(F.broadcast(quotas), label).withColumn("bounds", F.array("quota"))
 
-    banded = rank_band(df.select(key, label, probs), code, bounds, [label], "_band")
+    banded = rank_band(df.select(key, label, probs), least_sure, bounds, [label], "_band")
     return banded.filter("_band = 0").select(key)
 
 
@@ -260,8 +260,8 @@ def label_issues(
             listed = least if listed is None else listed.join(least, key)
         hit = join_small(rows, listed, key, "left_semi")
     hit = hit.filter(argmax_index(probs) != F.col(label)).select(key, label, score.alias("score"))
-    worst = F.concat(score_code(F.col("score"), rank_by == "confidence_weighted_entropy"), tie_code(key))
-    return global_rank(hit, worst, "issue_rank")
+    worst_first = score_order("score", key, descending=rank_by == "confidence_weighted_entropy")
+    return global_rank(hit, worst_first, "issue_rank")
 
 
 # --- correction and validation -----------------------------------------------------
@@ -309,7 +309,7 @@ def inject_label_noise(
     quota = F.when(F.col("_train"), F.floor(F.col("n") * F.lit(fraction))).otherwise(0)
     banded = rank_band(
         df.withColumn("_train", F.coalesce(is_train, F.lit(False))),
-        key_code(key, "noise", seed),
+        random_order(key, "noise", seed),
         lambda sizes: sizes.withColumn("bounds", F.array(quota)),
         ["_train"],
         "_band",

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.arrow import once
-from tamis.functions.keyed import SEED, key_code, score_code, score_of_code
+from tamis.functions.keyed import SCORE_SCALE, SEED, key_code, random_order, score_order
 from tamis.functions.vectors import squared_distance, vector_sums
-from tamis.operators.ranking import codes_at_ranks, first_in_group, tie_code
+from tamis.operators.ranking import cuts_at_ranks, first_in_group
 from tamis.session import join_by_size, materialise, small_rows
 
 CONTAMINATION = 0.05
@@ -36,8 +36,8 @@ def upper_cut(df: DataFrame, score: str, share: float, key: str) -> float:
     at = (n - 1) * (1.0 - share)
     low = min(math.floor(at), n - 1)
     high = min(low + 1, n - 1)
-    code = F.concat(score_code(F.col(score)), tie_code(key))
-    a, b = (score_of_code(c) for c in codes_at_ranks(df, code, [low + 1, high + 1], n))
+    cuts = cuts_at_ranks(df, score_order(score, key), [low + 1, high + 1], n)
+    a, b = (head / SCORE_SCALE for head, _ in cuts)
     return a + (at - low) * (b - a)
 
 
@@ -102,7 +102,7 @@ def isolation_trees(
     the size of the table.
     """
     pool = materialise(
-        first_in_group(df.select(key, vec), key_code(key, "forest pool", seed), POOL_FACTOR * trees * tree_rows)
+        first_in_group(df.select(key, vec), random_order(key, "forest pool", seed), POOL_FACTOR * trees * tree_rows)
     )
     numbered = pool.select(key, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     coded = numbered.withColumn("_code", key_code(["tree", key], "tree", seed))

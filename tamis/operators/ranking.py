@@ -2,33 +2,36 @@
 
 A stratified split, a sample, a fold or a pruning quota all ask the same: which rows
 are the first r of their group in a given order? Sorting a class into one task does
-not scale, so ``rank_band`` finds, per group, the sort code at each wanted rank by
-counting code prefixes (a distributed radix selection), and then compares every row's
-code with those few cuts. Wide rows are never shuffled.
+not scale, so ``rank_band`` finds, per group, the row at each wanted rank by counting
+ranges of the order, ever finer (a distributed selection), and then compares every row
+with those few cuts. Wide rows are never shuffled.
 """
 
 from __future__ import annotations
 
-import os.path
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamis.functions.keyed import SEED, key_code
+from tamis.functions.keyed import Order
 from tamis.session import SMALL_ROWS, bounded, join_small, local_table, materialise
 
 Bounds = Callable[[DataFrame], DataFrame]
+Cut = tuple[int, str]
 
 # More groups than this are not listed on the driver.
 MAX_GROUPS = SMALL_ROWS
-# Prefixes holding at most this many rows are ranked directly.
+# Ranges holding at most this many rows are sorted directly.
 DIRECT_ROWS = 200_000
-# Hex digits added per counting pass: 4096 counters per open prefix.
-PASS_DIGITS = 3
+# Counters per range and pass: parts of a range of heads, or 3 hex digits of the tail.
+PARTS = 4096
+TAIL_DIGITS = 3
 # Up to this many rows, a plain top-k (one heap per task) is used.
 HEAP_ROWS = 10_000
-ABOVE_ALL = "~"
+BELOW_ALL: Cut = (-(1 << 63), "")
+ABOVE_ALL: Cut = ((1 << 63) - 1, "~")
 
 
 def group_key(groups: Sequence[str]) -> Column:
@@ -40,7 +43,7 @@ def group_key(groups: Sequence[str]) -> Column:
 
 def rank_band(
     df: DataFrame,
-    code: Column,
+    order: Order,
     bounds: Bounds,
     groups: Sequence[str] = (),
     out: str = "band",
@@ -48,129 +51,172 @@ def rank_band(
 ) -> DataFrame:
     """Add ``out``: how many of its group's rank bounds lie below the row's rank.
 
-    ``code`` must be unique within a group. ``bounds`` receives one row per group
-    (``groups``, ``n``) and adds an ascending ``bounds ARRAY<BIGINT>``. A row of rank r
-    (from 1) gets the number of bounds b with b < r: with bounds [70, 85] the bands
-    0, 1, 2 hold 70, 15 and the remaining rows.
+    ``bounds`` receives one row per group (``groups``, ``n``) and adds an ascending
+    ``bounds ARRAY<BIGINT>``. A row of rank r (from 1) gets the number of bounds b with
+    b < r: with bounds [70, 85] the bands 0, 1, 2 hold 70, 15 and the remaining rows.
     """
     groups = list(groups)
-    rows = df.select(*groups, group_key(groups).alias("_g"), code.alias("_code"))
+    rows = df.select(*groups, group_key(groups).alias("_g"), order.head.alias("_head"), order.tail.alias("_tail"))
     sizes = rows.groupBy("_g", *groups).agg(
-        F.count("*").alias("n"), F.min("_code").alias("_lo"), F.max("_code").alias("_hi")
+        F.count("*").alias("n"), F.min("_head").alias("_lo"), F.max("_head").alias("_hi")
     )
-    rows = rows.select("_g", "_code")
+    rows = rows.select("_g", "_head", "_tail")
     small = bounded(sizes, MAX_GROUPS)
     if small is None:
-        return _rank_band_many_groups(df, code, bounds, groups, out, rows, sizes, direct_rows)
+        return _rank_band_many_groups(df, order, bounds, groups, out, rows, sizes, direct_rows)
     sized = bounds(small).select("_g", "n", "_lo", "_hi", "bounds").collect()
     cuts = _find_cuts(rows, sized, direct_rows)
     if groups:
-        return _apply_cuts(df.withColumn("_g", group_key(groups)), code, cuts, out).drop("_g")
-    return df.withColumn(out, _count_below(code, [F.lit(c) for c in cuts.get("", [])]))
+        return _apply_cuts(df.withColumn("_g", group_key(groups)), order, cuts, out).drop("_g")
+    return df.withColumn(out, _count_below(order, [(F.lit(h), F.lit(t)) for h, t in cuts.get("", [])]))
 
 
-def _count_below(code: Column, cuts: list[Column]) -> Column:
+def _count_below(order: Order, cuts: list[tuple[Column, Column]]) -> Column:
     band = F.lit(0)
-    for cut in cuts:
-        band = band + F.when(code > cut, 1).otherwise(0)
+    for head, tail in cuts:
+        beyond = (order.head > head) | ((order.head == head) & (order.tail > tail))
+        band = band + F.when(beyond, 1).otherwise(0)
     return band.cast("int")
 
 
-def _apply_cuts(df: DataFrame, code: Column, cuts: dict[str, list[str]], out: str) -> DataFrame:
+def _apply_cuts(df: DataFrame, order: Order, cuts: dict[str, list[Cut]], out: str) -> DataFrame:
     """Rows of the groups in ``cuts`` (by ``_g``) with their band; no row is moved."""
     width = max((len(c) for c in cuts.values()), default=0)
     padded = [(g, c + [ABOVE_ALL] * (width - len(c))) for g, c in cuts.items()]
-    table = local_table(df.sparkSession, padded, "_g string, _cuts array<string>")
-    if width <= 32:
-        band = _count_below(code, [F.col("_cuts")[i] for i in range(width)])
-    else:
-        band = F.size(F.filter("_cuts", lambda cut: cut < code))
-    return df.join(F.broadcast(table), "_g").withColumn(out, band).drop("_cuts")
-
-
-def codes_at_ranks(
-    df: DataFrame, code: Column, ranks: Sequence[int], n: int, direct_rows: int = DIRECT_ROWS
-) -> list[str]:
-    """The sort codes at given ranks (1..n) of the whole table."""
-    rows = df.select(F.lit("").alias("_g"), code.alias("_code"))
-    ends = rows.agg(F.min("_code").alias("lo"), F.max("_code").alias("hi")).first()
-    found = _search(rows, [("", r, n, ends.lo, ends.hi) for r in sorted(set(ranks))], direct_rows)
+    table = local_table(
+        df.sparkSession,
+        [(g, [h for h, _ in c], [t for _, t in c]) for g, c in padded],
+        "_g string, _heads array<bigint>, _tails array<string>",
+    )
+    band = _count_below(order, [(F.col("_heads")[i], F.col("_tails")[i]) for i in range(width)])
+    return df.join(F.broadcast(table), "_g").withColumn(out, band).drop("_heads", "_tails")
+
+
+def cuts_at_ranks(
+    df: DataFrame, order: Order, ranks: Sequence[int], n: int, direct_rows: int = DIRECT_ROWS
+) -> list[Cut]:
+    """Head and tail of the rows at given ranks (1..n) of the whole table."""
+    rows = df.select(F.lit("").alias("_g"), order.head.alias("_head"), order.tail.alias("_tail"))
+    ends = rows.agg(F.min("_head").alias("lo"), F.max("_head").alias("hi")).first()
+    found = _search(rows, [_Target("", r, r, n, ends.lo, ends.hi) for r in sorted(set(ranks))], direct_rows)
     return [found[("", r)] for r in ranks]
 
 
-def _find_cuts(rows: DataFrame, sized: list, direct_rows: int) -> dict[str, list[str]]:
-    wanted = sorted({(s._g, b, s.n, s._lo, s._hi) for s in sized for b in s.bounds if 0 < b < s.n})
-    found = _search(rows, wanted, direct_rows)
+# --- selection ---------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class _Target:
+    """A wanted rank, and the range of the order it is known to lie in."""
+
+    group: str
+    rank: int
+    # Rank among the ``count`` rows of the range: heads lo..hi, and, once they are equal,
+    # tails starting with ``prefix``.
+    left: int
+    count: int
+    lo: int
+    hi: int
+    prefix: str = ""
+
+    @property
+    def range(self) -> tuple:
+        return (self.group, self.lo, self.hi, self.prefix)
+
 
-    def cut(s, b):
+RANGE = "_g string, _lo bigint, _hi bigint, _prefix string"
+RANGE_KEYS = ["_g", "_lo", "_hi", "_prefix"]
+
+
+def _find_cuts(rows: DataFrame, sized: list, direct_rows: int) -> dict[str, list[Cut]]:
+    wanted = {(s._g, b): _Target(s._g, b, b, s.n, s._lo, s._hi) for s in sized for b in s.bounds if 0 < b < s.n}
+    found = _search(rows, list(wanted.values()), direct_rows)
+
+    def cut(s, b) -> Cut:
         if b <= 0:
-            return ""
+            return BELOW_ALL
         return ABOVE_ALL if b >= s.n else found[(s._g, b)]
 
     return {s._g: [cut(s, b) for b in s.bounds] for s in sized}
 
 
-def _search(rows: DataFrame, wanted: list[tuple], direct_rows: int) -> dict[tuple[str, int], str]:
-    """Code at each wanted (group, rank). Targets are few: groups times bounds."""
-    spark = rows.sparkSession
-    found: dict[tuple[str, int], str] = {}
-    # (group, rank, rank within prefix, prefix, rows under prefix)
-    open_ = [(g, r, r, os.path.commonprefix([lo, hi]), n) for g, r, n, lo, hi in wanted]
-
-    def under_prefix(targets):
-        heads = local_table(spark, sorted({(t[0], t[3]) for t in targets}), "_g string, _prefix string")
-        return rows.join(F.broadcast(heads), "_g").filter(F.col("_code").startswith(F.col("_prefix")))
-
-    def target_table(targets):
-        return F.broadcast(
-            local_table(
-                spark,
-                [(g, p, r, left) for g, r, left, p, _ in targets],
-                "_g string, _prefix string, _rank bigint, _left bigint",
-            )
-        )
+def _in_ranges(rows: DataFrame, targets: list[_Target]) -> DataFrame:
+    """Rows within the targets' ranges, with the range; targets are few."""
+    ranges = local_table(rows.sparkSession, sorted({t.range for t in targets}), RANGE)
+    inside = (F.col("_head") >= F.col("_lo")) & (F.col("_head") <= F.col("_hi"))
+    if any(t.prefix for t in targets):
+        inside = inside & F.col("_tail").startswith(F.col("_prefix"))
+    return rows.join(F.broadcast(ranges), "_g").filter(inside)
 
+
+def _wanted(rows: DataFrame, targets: list[_Target]) -> DataFrame:
+    table = [(*t.range, t.rank, t.left) for t in targets]
+    return F.broadcast(local_table(rows.sparkSession, table, RANGE + ", _rank bigint, _left bigint"))
+
+
+def _search(rows: DataFrame, targets: list[_Target], direct_rows: int) -> dict[tuple[str, int], Cut]:
+    """Head and tail at every wanted (group, rank)."""
+    found: dict[tuple[str, int], Cut] = {}
+    by_name = {(t.group, t.rank): t for t in targets}
     while True:
-        crowded = [t for t in open_ if t[4] > direct_rows]
-        if not crowded:
+        wide = [t for t in by_name.values() if t.count > direct_rows and t.lo < t.hi]
+        tied = [t for t in by_name.values() if t.count > direct_rows and t.lo == t.hi]
+        if not wide and not tied:
             break
-        ready = [t for t in open_ if t[4] <= direct_rows]
-        start = F.length("_prefix") + 1
-        counts = (
-            under_prefix(crowded)
-            .groupBy("_g", "_prefix", F.col("_code").substr(start, F.lit(PASS_DIGITS)).alias("_next"))
-            .agg(F.count("*").alias("_c"))
-        )
-        upto = Window.partitionBy("_g", "_prefix").orderBy("_next")
+        for crowded, part in ((wide, _head_part()), (tied, _tail_part())):
+            for hit in _narrow(rows, crowded, part) if crowded else []:
+                name = (hit._g, hit._rank)
+                old = by_name[name]
+                left = hit._left - (hit._cum - hit._c)
+                if old.lo < old.hi:
+                    step = -(-(old.hi - old.lo + 1) // PARTS)
+                    lo = old.lo + int(hit._part) * step
+                    by_name[name] = replace(old, left=left, count=hit._c, lo=lo, hi=min(old.hi, lo + step - 1))
+                elif hit._part == "":
+                    found[name] = (old.lo, old.prefix)
+                    del by_name[name]
+                else:
+                    by_name[name] = replace(old, left=left, count=hit._c, prefix=old.prefix + hit._part)
+    rest = list(by_name.values())
+    if rest:
+        place = F.row_number().over(Window.partitionBy(*RANGE_KEYS).orderBy("_head", "_tail"))
         hits = (
-            counts.withColumn("_cum", F.sum("_c").over(upto))
-            .join(target_table(crowded), ["_g", "_prefix"])
-            .filter((F.col("_cum") >= F.col("_left")) & (F.col("_cum") - F.col("_c") < F.col("_left")))
+            _in_ranges(rows, rest)
+            .withColumn("_left", place.cast("bigint"))
+            .join(_wanted(rows, rest), [*RANGE_KEYS, "_left"])
+            .select("_g", "_rank", "_head", "_tail")
             .collect()
         )
-        open_ = ready
-        for h in hits:
-            if h._next == "":
-                found[(h._g, h._rank)] = h._prefix
-            else:
-                left = h._left - (h._cum - h._c)
-                open_.append((h._g, h._rank, left, h._prefix + h._next, h._c))
-    if open_:
-        order = Window.partitionBy("_g", "_prefix").orderBy("_code")
-        hits = (
-            under_prefix(open_)
-            .withColumn("_left", F.row_number().over(order).cast("bigint"))
-            .join(target_table(open_), ["_g", "_prefix", "_left"])
-            .select("_g", "_rank", "_code")
-            .collect()
-        )
-        found.update({(h._g, h._rank): h._code for h in hits})
+        found.update({(h._g, h._rank): (h._head, h._tail) for h in hits})
     return found
 
 
+def _head_part() -> Column:
+    """Place of the head among ``PARTS`` equal parts of its range."""
+    return F.expr(f"(_head - _lo) div ((_hi - _lo + {PARTS}) div {PARTS})")
+
+
+def _tail_part() -> Column:
+    """The next digits of the tail after its prefix."""
+    return F.col("_tail").substr(F.length("_prefix") + 1, F.lit(TAIL_DIGITS))
+
+
+def _narrow(rows: DataFrame, targets: list[_Target], part: Column) -> list:
+    """The part of its range that holds each target, with rows up to and in the part."""
+    counts = _in_ranges(rows, targets).groupBy(*RANGE_KEYS, part.alias("_part")).agg(F.count("*").alias("_c"))
+    # At most PARTS counters per range.
+    upto = Window.partitionBy(*RANGE_KEYS).orderBy("_part")
+    return (
+        counts.withColumn("_cum", F.sum("_c").over(upto))
+        .join(_wanted(rows, targets), RANGE_KEYS)
+        .filter((F.col("_cum") >= F.col("_left")) & (F.col("_cum") - F.col("_c") < F.col("_left")))
+        .collect()
+    )
+
+
 def _rank_band_many_groups(
     df: DataFrame,
-    code: Column,
+    order: Order,
     bounds: Bounds,
     groups: list[str],
     out: str,
@@ -191,19 +237,21 @@ def _rank_band_many_groups(
     hot_rows = hot.collect()
     names = F.broadcast(hot.select("_g"))
     keyed = df.withColumn("_g", group_key(groups))
-    order = Window.partitionBy("_g").orderBy("_code")
+    place = F.row_number().over(Window.partitionBy("_g").orderBy(order.head, order.tail))
     calm = (
         keyed.join(names, "_g", "left_anti")
-        .withColumn("_code", code)
-        .withColumn("_rank", F.row_number().over(order))
+        .withColumn("_rank", place)
         .join(sized.filter(F.col("n") <= direct_rows).select("_g", "bounds"), "_g")
         .withColumn(out, F.expr("size(filter(bounds, b -> b < _rank))").cast("int"))
-        .drop("_code", "_rank", "bounds")
+        .drop("_rank", "bounds")
     )
     if not hot_rows:
         return calm.drop("_g")
     cuts = _find_cuts(rows.join(names, "_g", "left_semi"), hot_rows, direct_rows)
-    return calm.unionByName(_apply_cuts(keyed, code, cuts, out)).drop("_g")
+    return calm.unionByName(_apply_cuts(keyed, order, cuts, out)).drop("_g")
+
+
+# --- uses --------------------------------------------------------------------------
 
 
 def fixed_bounds(*bounds: int) -> Bounds:
@@ -211,18 +259,19 @@ def fixed_bounds(*bounds: int) -> Bounds:
     return lambda sizes: sizes.withColumn("bounds", F.array(*[F.lit(b).cast("bigint") for b in bounds]))
 
 
-def first_in_group(df: DataFrame, code: Column, n: int, groups: Sequence[str] = ()) -> DataFrame:
+def first_in_group(df: DataFrame, order: Order, n: int, groups: Sequence[str] = ()) -> DataFrame:
     """The first ``n`` rows of every group."""
-    return rank_band(df, code, fixed_bounds(n), groups, "_band").filter("_band = 0").drop("_band")
+    return rank_band(df, order, fixed_bounds(n), groups, "_band").filter("_band = 0").drop("_band")
 
 
-def global_rank(df: DataFrame, code: Column, out: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, order: Order, out: str = "rank") -> DataFrame:
     """Add the exact rank (from 1) of every row over the whole table.
 
     The range-sorted rows are checkpointed, which freezes their partitions; a row's
     rank is its position there plus the rows of earlier partitions.
     """
-    frozen = materialise(df.withColumn("_code", code).orderBy("_code").drop("_code"))
+    keyed = df.withColumns({"_head": order.head, "_tail": order.tail})
+    frozen = materialise(keyed.orderBy("_head", "_tail").drop("_head", "_tail"))
     placed = frozen.withColumn("_id", F.monotonically_increasing_id()).withColumn(
         "_pid", F.shiftright("_id", 33).cast("int")
     )
@@ -242,17 +291,12 @@ def global_rank(df: DataFrame, code: Column, out: str = "rank") -> DataFrame:
     )
 
 
-def top_k(df: DataFrame, code: Column, k: int, out: str = "pick") -> DataFrame:
-    """The first ``k`` rows in code order with their place (from 1)."""
+def top_k(df: DataFrame, order: Order, k: int, out: str = "pick") -> DataFrame:
+    """The first ``k`` rows in order with their place (from 1)."""
     if k <= 0:
         return df.limit(0).withColumn(out, F.lit(0).cast("bigint"))
     if k <= HEAP_ROWS:
-        best = df.withColumn("_code", code).orderBy("_code").limit(k)
-        place = F.row_number().over(Window.orderBy("_code")).cast("bigint")
-        return best.withColumn(out, place).drop("_code")
-    return global_rank(first_in_group(df, code, k), code, out)
-
-
-def tie_code(key: str, seed: int = SEED) -> Column:
-    """Tail that makes a score code unique: ties fall in keyed random order."""
-    return key_code(key, "tie", seed)
+        best = df.withColumns({"_head": order.head, "_tail": order.tail}).orderBy("_head", "_tail").limit(k)
+        place = F.row_number().over(Window.orderBy("_head", "_tail")).cast("bigint")
+        return best.withColumn(out, place).drop("_head", "_tail")
+    return global_rank(first_in_group(df, order, k), order, out)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamis.functions.keyed import SEED, key_code, key_uniform
+from tamis.functions.keyed import SEED, key_uniform, random_order
 from tamis.operators.ranking import first_in_group, global_rank, rank_band
 from tamis.session import join_small
 
@@ -57,7 +57,7 @@ def stratified_split(
         )
         return sized.withColumn("bounds", F.array(F.col("_a"), F.col("_a") + F.col("_b")))
 
-    banded = rank_band(df, key_code(key, "split", seed), bounds, [*within, label], "_band")
+    banded = rank_band(df, random_order(key, "split", seed), bounds, [*within, label], "_band")
     name = F.element_at(F.array(*[F.lit(s) for s in SPLITS]), F.col("_band") + 1)
     return banded.withColumn(out, name).drop("_band")
 
@@ -73,17 +73,17 @@ def stratified_kfold(
         F.sequence(F.lit(1), F.lit(k - 1)),
         lambda i: (i * F.floor(F.col("n") / k) + F.least(i, F.col("n") % k)).cast("bigint"),
     )
-    return rank_band(df, key_code(key, "fold", seed), lambda s: s.withColumn("bounds", bounds), [label], out)
+    return rank_band(df, random_order(key, "fold", seed), lambda s: s.withColumn("bounds", bounds), [label], out)
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
     """``n`` rows without replacement, or all when there are fewer."""
-    return first_in_group(df, key_code(key, "sample", seed), n)
+    return first_in_group(df, random_order(key, "sample", seed), n)
 
 
 def sample_per_class(df: DataFrame, key: str, label: str, n: int = 4, seed: int = SEED) -> DataFrame:
     """Up to ``n`` rows of every class."""
-    return first_in_group(df, key_code(key, "grid", seed), n, [label])
+    return first_in_group(df, random_order(key, "grid", seed), n, [label])
 
 
 def sample_with_replacement(
@@ -97,7 +97,7 @@ def sample_with_replacement(
         return keys.limit(0).select(F.lit(0).cast("bigint").alias("draw"), key)
     if available == 0:
         raise ValueError("nothing to draw from")
-    ranked = global_rank(keys, key_code(key, use, seed), "_rank")
+    ranked = global_rank(keys, random_order(key, use, seed), "_rank")
     hit = F.floor(key_uniform("draw", use, seed) * F.lit(float(available))) + 1
     draws = spark.range(n).withColumnRenamed("id", "draw").withColumn("_rank", hit)
     return join_small(draws, ranked, "_rank").select("draw", key)
@@ -120,7 +120,7 @@ def seed_pool_split(
         share = allocate(F.col("n"), F.col("_all"), F.col("_m"), label, ())
         return sized.withColumn("bounds", F.array(share))
 
-    banded = rank_band(df, key_code(key, "seed", seed), bounds, [label], "_band")
+    banded = rank_band(df, random_order(key, "seed", seed), bounds, [label], "_band")
     return banded.withColumn(out, F.col("_band") == 0).drop("_band")
 
 

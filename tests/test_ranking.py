@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tamis.functions.keyed import key_code, score_code, score_of_code
+from tamis.functions.keyed import SCORE_SCALE, random_order, score_order
 from tamis.operators import ranking
 from tamis.session import bounded, join_by_size
 
@@ -21,10 +21,10 @@ def rows(spark):
     return df.cache()
 
 
-def expected_bands(rows, code, bounds):
+def expected_bands(rows, order, bounds):
     by_group = {}
-    for r in rows.withColumn("_code", code).collect():
-        by_group.setdefault(r.grp, []).append((r._code, r.key))
+    for r in rows.withColumns({"_head": order.head, "_tail": order.tail}).collect():
+        by_group.setdefault(r.grp, []).append(((r._head, r._tail), r.key))
     return {
         key: sum(b < rank for b in bounds)
         for members in by_group.values()
@@ -37,30 +37,27 @@ def expected_bands(rows, code, bounds):
 @pytest.mark.parametrize("max_groups", [1000, 3])
 def test_rank_band_is_exact(rows, monkeypatch, by_score, direct_rows, max_groups):
     monkeypatch.setattr(ranking, "MAX_GROUPS", max_groups)
-    code = key_code("key", "test")
-    if by_score:
-        code = F.concat(score_code(F.col("score"), descending=True), code)
+    order = score_order("score", "key", descending=True) if by_score else random_order("key", "test")
     bounds = [0, 5, 50, 10_000]
-    got = ranking.rank_band(rows, code, ranking.fixed_bounds(*bounds), ["grp"], direct_rows=direct_rows)
-    assert {r.key: r.band for r in got.collect()} == expected_bands(rows, code, bounds)
+    got = ranking.rank_band(rows, order, ranking.fixed_bounds(*bounds), ["grp"], direct_rows=direct_rows)
+    assert {r.key: r.band for r in got.collect()} == expected_bands(rows, order, bounds)
 
 
 def test_rank_band_without_groups(rows):
-    code = key_code("key", "test")
-    got = ranking.first_in_group(rows, code, 100).select("key").collect()
-    want = rows.orderBy(code).limit(100).select("key").collect()
+    order = random_order("key", "test")
+    got = ranking.first_in_group(rows, order, 100).select("key").collect()
+    want = rows.orderBy(order.tail).limit(100).select("key").collect()
     assert {r.key for r in got} == {r.key for r in want}
 
 
 def test_null_groups_are_groups(spark):
     df = spark.createDataFrame([(1, None), (2, None), (3, "a")], "key bigint, grp string")
-    got = ranking.first_in_group(df, key_code("key", "t"), 1, ["grp"]).collect()
+    got = ranking.first_in_group(df, random_order("key", "t"), 1, ["grp"]).collect()
     assert len(got) == 2
 
 
 def test_global_rank_numbers_every_row_once(rows):
-    code = F.concat(score_code(F.col("score")), key_code("key", "tie"))
-    got = ranking.global_rank(rows, code).orderBy("rank").collect()
+    got = ranking.global_rank(rows, score_order("score", "key")).orderBy("rank").collect()
     assert [r["rank"] for r in got] == list(range(1, 3001))
     assert [r.score for r in got] == sorted(r.score for r in got)
 
@@ -68,25 +65,25 @@ def test_global_rank_numbers_every_row_once(rows):
 @pytest.mark.parametrize("heap_rows", [10_000, 5])
 def test_top_k(rows, monkeypatch, heap_rows):
     monkeypatch.setattr(ranking, "HEAP_ROWS", heap_rows)
-    code = F.concat(score_code(F.col("score"), True), key_code("key", "tie"))
-    got = ranking.top_k(rows, code, 30).orderBy("pick").collect()
+    order = score_order("score", "key", descending=True)
+    got = ranking.top_k(rows, order, 30).orderBy("pick").collect()
     assert [r.pick for r in got] == list(range(1, 31))
     best = sorted((r.score for r in rows.collect()), reverse=True)[:30]
     assert [r.score for r in got] == best
-    assert ranking.top_k(rows, code, 0).count() == 0
+    assert ranking.top_k(rows, order, 0).count() == 0
 
 
-def test_codes_at_ranks(rows):
-    code = F.concat(score_code(F.col("score")), key_code("key", "tie"))
+@pytest.mark.parametrize("direct_rows", [200_000, 10, 1])
+def test_cuts_at_ranks(rows, direct_rows):
     scores = sorted(r.score for r in rows.collect())
-    found = ranking.codes_at_ranks(rows, code, [1, 1500, 3000], 3000, direct_rows=10)
-    assert [score_of_code(c) for c in found] == [pytest.approx(scores[i], abs=1e-9) for i in (0, 1499, 2999)]
+    found = ranking.cuts_at_ranks(rows, score_order("score", "key"), [1, 1500, 3000], 3000, direct_rows)
+    assert [head / SCORE_SCALE for head, _ in found] == [pytest.approx(scores[i], abs=1e-9) for i in (0, 1499, 2999)]
 
 
 def test_result_does_not_depend_on_partitioning(rows):
-    code = key_code("key", "test")
+    order = random_order("key", "test")
     one, many = (
-        {r.key: r.band for r in ranking.rank_band(rows.repartition(n), code, ranking.fixed_bounds(9), ["grp"]).collect()}
+        {r.key: r.band for r in ranking.rank_band(rows.repartition(n), order, ranking.fixed_bounds(9), ["grp"]).collect()}
         for n in (1, 7)
     )
     assert one == many
