@@ -19,10 +19,14 @@ SCORE_SCALE = 1_000_000_000
 
 @dataclass(frozen=True)
 class Order:
-    """A total order of rows: a whole-number ``head``, ties by a text ``tail`` unique per row."""
+    """A total order of rows: a whole-number ``head``, ties by a text ``tail`` unique per row.
+
+    A purely random order has the same head everywhere.
+    """
 
     head: Column
     tail: Column
+    is_random: bool = False
 
 
 def key_code(key: str | Sequence[str], use: str, seed: int = SEED) -> Column:
@@ -48,7 +52,7 @@ def score_units(score: Column) -> Column:
 
 def random_order(key: str | Sequence[str], use: str, seed: int = SEED) -> Order:
     """Keyed random order."""
-    return Order(F.lit(0).cast("bigint"), key_code(key, use, seed))
+    return Order(F.lit(0).cast("bigint"), key_code(key, use, seed), is_random=True)
 
 
 def score_order(score: str | Column, key: str, descending: bool = False, seed: int = SEED) -> Order:

@@ -68,15 +68,22 @@ def rank_band(
     cuts = _find_cuts(rows, sized, direct_rows)
     if groups:
         return _apply_cuts(df.withColumn("_g", group_key(groups)), order, cuts, out).drop("_g")
-    return df.withColumn(out, _count_below(order, [(F.lit(h), F.lit(t)) for h, t in cuts.get("", [])]))
+    return _with_band(df, order, [(F.lit(h), F.lit(t)) for h, t in cuts.get("", [])], out)
 
 
-def _count_below(order: Order, cuts: list[tuple[Column, Column]]) -> Column:
+def _with_band(df: DataFrame, order: Order, cuts: list[tuple[Column, Column]], out: str) -> DataFrame:
+    """Add the number of cuts that come before the row."""
     band = F.lit(0)
+    if order.is_random:
+        # The hash is computed once per row, into a column of its own.
+        for _, tail in cuts:
+            band = band + F.when(F.col("_tail") > tail, 1).otherwise(0)
+        return df.withColumn("_tail", order.tail).withColumn(out, band.cast("int")).drop("_tail")
     for head, tail in cuts:
+        # Equal heads are rare, and only they need the hash.
         beyond = (order.head > head) | ((order.head == head) & (order.tail > tail))
         band = band + F.when(beyond, 1).otherwise(0)
-    return band.cast("int")
+    return df.withColumn(out, band.cast("int"))
 
 
 def _apply_cuts(df: DataFrame, order: Order, cuts: dict[str, list[Cut]], out: str) -> DataFrame:
@@ -88,8 +95,8 @@ def _apply_cuts(df: DataFrame, order: Order, cuts: dict[str, list[Cut]], out: st
         [(g, [h for h, _ in c], [t for _, t in c]) for g, c in padded],
         "_g string, _heads array<bigint>, _tails array<string>",
     )
-    band = _count_below(order, [(F.col("_heads")[i], F.col("_tails")[i]) for i in range(width)])
-    return df.join(F.broadcast(table), "_g").withColumn(out, band).drop("_heads", "_tails")
+    pairs = [(F.col("_heads")[i], F.col("_tails")[i]) for i in range(width)]
+    return _with_band(df.join(F.broadcast(table), "_g"), order, pairs, out).drop("_heads", "_tails")
 
 
 def cuts_at_ranks(
@@ -124,10 +131,6 @@ class _Target:
         return (self.group, self.lo, self.hi, self.prefix)
 
 
-RANGE = "_g string, _lo bigint, _hi bigint, _prefix string"
-RANGE_KEYS = ["_g", "_lo", "_hi", "_prefix"]
-
-
 def _find_cuts(rows: DataFrame, sized: list, direct_rows: int) -> dict[str, list[Cut]]:
     wanted = {(s._g, b): _Target(s._g, b, b, s.n, s._lo, s._hi) for s in sized for b in s.bounds if 0 < b < s.n}
     found = _search(rows, list(wanted.values()), direct_rows)
@@ -140,18 +143,17 @@ def _find_cuts(rows: DataFrame, sized: list, direct_rows: int) -> dict[str, list
     return {s._g: [cut(s, b) for b in s.bounds] for s in sized}
 
 
-def _in_ranges(rows: DataFrame, targets: list[_Target]) -> DataFrame:
-    """Rows within the targets' ranges, with the range; targets are few."""
-    ranges = local_table(rows.sparkSession, sorted({t.range for t in targets}), RANGE)
+def _in_ranges(rows: DataFrame, targets: list[_Target]) -> tuple[DataFrame, DataFrame]:
+    """Rows within the targets' ranges, and the targets, both with the range's number ``_r``."""
+    numbers = {r: i for i, r in enumerate(sorted({t.range for t in targets}))}
+    table = [(i, *r) for r, i in numbers.items()]
+    ranges = local_table(rows.sparkSession, table, "_r int, _g string, _lo bigint, _hi bigint, _prefix string")
     inside = (F.col("_head") >= F.col("_lo")) & (F.col("_head") <= F.col("_hi"))
     if any(t.prefix for t in targets):
         inside = inside & F.col("_tail").startswith(F.col("_prefix"))
-    return rows.join(F.broadcast(ranges), "_g").filter(inside)
-
-
-def _wanted(rows: DataFrame, targets: list[_Target]) -> DataFrame:
-    table = [(*t.range, t.rank, t.left) for t in targets]
-    return F.broadcast(local_table(rows.sparkSession, table, RANGE + ", _rank bigint, _left bigint"))
+    wanted = [(numbers[t.range], t.group, t.rank, t.left) for t in targets]
+    wanted_table = local_table(rows.sparkSession, wanted, "_r int, _group string, _rank bigint, _left bigint")
+    return rows.join(F.broadcast(ranges), "_g").filter(inside), F.broadcast(wanted_table)
 
 
 def _search(rows: DataFrame, targets: list[_Target], direct_rows: int) -> dict[tuple[str, int], Cut]:
@@ -165,7 +167,7 @@ def _search(rows: DataFrame, targets: list[_Target], direct_rows: int) -> dict[t
             break
         for crowded, part in ((wide, _head_part()), (tied, _tail_part())):
             for hit in _narrow(rows, crowded, part) if crowded else []:
-                name = (hit._g, hit._rank)
+                name = (hit._group, hit._rank)
                 old = by_name[name]
                 left = hit._left - (hit._cum - hit._c)
                 if old.lo < old.hi:
@@ -179,15 +181,14 @@ def _search(rows: DataFrame, targets: list[_Target], direct_rows: int) -> dict[t
                     by_name[name] = replace(old, left=left, count=hit._c, prefix=old.prefix + hit._part)
     rest = list(by_name.values())
     if rest:
-        place = F.row_number().over(Window.partitionBy(*RANGE_KEYS).orderBy("_head", "_tail"))
+        near, wanted = _in_ranges(rows, rest)
+        place = F.row_number().over(Window.partitionBy("_r").orderBy("_head", "_tail"))
         hits = (
-            _in_ranges(rows, rest)
-            .withColumn("_left", place.cast("bigint"))
-            .join(_wanted(rows, rest), [*RANGE_KEYS, "_left"])
-            .select("_g", "_rank", "_head", "_tail")
+            near.select("_r", "_head", "_tail", place.cast("bigint").alias("_left"))
+            .join(wanted, ["_r", "_left"])
             .collect()
         )
-        found.update({(h._g, h._rank): (h._head, h._tail) for h in hits})
+        found.update({(h._group, h._rank): (h._head, h._tail) for h in hits})
     return found
 
 
@@ -203,12 +204,13 @@ def _tail_part() -> Column:
 
 def _narrow(rows: DataFrame, targets: list[_Target], part: Column) -> list:
     """The part of its range that holds each target, with rows up to and in the part."""
-    counts = _in_ranges(rows, targets).groupBy(*RANGE_KEYS, part.alias("_part")).agg(F.count("*").alias("_c"))
+    near, wanted = _in_ranges(rows, targets)
+    counts = near.groupBy("_r", part.alias("_part")).agg(F.count("*").alias("_c"))
     # At most PARTS counters per range.
-    upto = Window.partitionBy(*RANGE_KEYS).orderBy("_part")
+    upto = Window.partitionBy("_r").orderBy("_part")
     return (
         counts.withColumn("_cum", F.sum("_c").over(upto))
-        .join(_wanted(rows, targets), RANGE_KEYS)
+        .join(wanted, "_r")
         .filter((F.col("_cum") >= F.col("_left")) & (F.col("_cum") - F.col("_c") < F.col("_left")))
         .collect()
     )
