@@ -92,7 +92,7 @@ def test_category_layout(spark, tmp_path):
     assert rows.filter("mask_path IS NOT NULL").count() == 3
     assert rows.filter("defect_type = 'dent' AND mask_path IS NULL").count() == 1
     with pytest.raises(ValueError):
-        scan_categories(spark, str(root), ["screw"])
+        scan_categories(spark, str(root), ["three"])
     stored, table = curation.category_manifest(spark, str(root), ["bolt", "nut"], str(tmp_path / "m.csv"))
     assert stored.count() == 38
     assert [(r.category, r.train, r.val, r.test) for r in table.orderBy("category").collect()] == [
