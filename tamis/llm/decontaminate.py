@@ -8,14 +8,13 @@ block select candidates, and a comparison of all words confirms each occurrence.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.batches import chosen, steps, utf8, words_of
+from tamis.llm.batches import steps, utf8, words_of
 from tamis.session import materialise
 
 WINDOW = 13
@@ -104,71 +103,84 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> lis
     return [[tuple(r) for r in dealt.filter(F.col("part") == p).select("item", "text").toLocalIterator()] for p in range(parts)]
 
 
-def _pass(items: list[tuple], window: int) -> Callable:
+RANGES = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+STATE = "_ranges array<struct<low:bigint,high:bigint>>, _items array<string>, _n_words bigint"
+STATE_NAMES = ["_ranges", "_items", "_n_words"]
+
+
+def _pass(items: list[tuple], window: int, text_at: int) -> Callable:
+    """Add what one block of items hits; the state is the last three columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = searches(items, window)
-        for batch in steps(batches, 1):
+        for batch in steps(batches, text_at):
             totals, ranges, names = [], [], []
-            for text, old_ranges, old_items in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            old = zip(utf8(batch.column(text_at)), batch.column("_ranges").to_pylist(), batch.column("_items").to_pylist())
+            for text, old_ranges, old_items in old:
                 words = words_of(text)
                 own, found = hits(words, tables)
-                pairs = [tuple(r.values()) for r in old_ranges or []]
+                pairs = [(r["low"], r["high"]) for r in old_ranges or []]
                 totals.append(len(words))
                 ranges.append([{"low": a, "high": b} for a, b in merged(own + pairs)])
                 names.append(sorted(found | set(old_items or [])))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ranges, RANGES), pa.array(names, pa.list_(pa.string())), pa.array(totals, pa.int64())],
-                ["id", "text", "ranges", "items", "n_words"],
-            )
+            state = [pa.array(ranges, RANGES), pa.array(names, pa.list_(pa.string())), pa.array(totals, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *state], batch.schema.names)
 
     return run
 
 
-RANGES = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
-
-
 def find_passages(
     docs: DataFrame,
     benchmark: DataFrame,
-    id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
     item_text: str = "text",
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """One row per document: id, n_words, ``ranges`` of hit words, ``items`` that occur.
+    """``docs`` with ``_n_words``, ``_ranges`` of hit words and ``_items`` that occur.
 
     The items are searched for ``block_bytes`` at a time, so a worker's tables are bounded;
     with more than one block the passes are cut by checkpoints. Null and empty texts have no
     words and no hits; repeated documents give repeated rows; an item with a null id marks
-    words but is not listed; without items nothing is hit. Other columns are not read.
+    words but is not listed; without items nothing is hit. Columns of those three names are
+    replaced, all others stay.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, text string, ranges array<struct<low:bigint,high:bigint>>, items array<string>, n_words bigint"
     blocks = _blocks(benchmark, item_col, item_text, block_bytes)
-    state = chosen(docs, id_col, text_col).withColumns(
-        {"ranges": F.lit(None).cast("array<struct<low:bigint,high:bigint>>"), "items": F.lit(None).cast("array<string>")}
-    )
+    state = docs.drop(*STATE_NAMES)
+    for definition in STATE.split(", "):
+        name, kind = definition.split(" ", 1)
+        state = state.withColumn(name, F.lit(None).cast(kind))
     for at, items in enumerate(blocks):
-        state = state.select("id", "text", "ranges", "items").mapInArrow(_pass(items, window), schema)
+        state = state.mapInArrow(_pass(items, window, docs.drop(*STATE_NAMES).columns.index(text_col)), state.schema)
         if at + 1 < len(blocks):
             state = materialise(state)
-    return state.drop("text").withColumnRenamed("id", id_col)
+    return state
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256 and whether it is contaminated.
+def n_hit() -> Column:
+    """Words inside the hit ranges."""
+    return F.aggregate("_ranges", F.lit(0).cast("bigint"), lambda s, r: s + r["high"] - r["low"])
 
-    Contaminated means that a twentieth of the words, and at least one, are hit.
-    """
-    found = find_passages(docs, benchmark, id_col, **options)
-    n_hit = F.aggregate("ranges", F.lit(0).cast("bigint"), lambda s, r: s + r["high"] - r["low"])
-    return found.select(id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256")).withColumn(
-        "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+def contaminated() -> Column:
+    """A twentieth of the words, and at least one, are hit."""
+    return (n_hit() > 0) & (20 * n_hit() >= F.col("_n_words"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per document: n_words, n_hit, n_items, items_sha256 and whether it is contaminated."""
+    found = find_passages(docs.select(id_col, text_col), benchmark, text_col, **options)
+    return found.select(
+        id_col,
+        F.col("_n_words").alias("n_words"),
+        n_hit().alias("n_hit"),
+        F.size("_items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("_items")), 256).alias("items_sha256"),
+        contaminated().alias("contaminated"),
     )
 
 
-def digest(items: list[str]) -> str:
-    """The digest of a list of item ids."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their columns."""
+    return find_passages(docs, benchmark, text_col, **options).filter(~contaminated()).select(docs.columns)

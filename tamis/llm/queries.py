@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import chat, decontaminate, licences, pii, sharding, simhash, token_files
+from tamis.llm import chat, decontaminate, langid, licences, neighbours, pieces, pii, sharding, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,6 +45,12 @@ def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+@_query()
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return pieces.round_trip(_table(spark, folder, "documents"))
+
+
 @_query()
 def op4_shards(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 40 shards of near-equal bytes."""
@@ -93,6 +99,39 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(_table(spark, folder, "documents"), public_tokenizers.path(token_files.VOCABULARY))
 
 
+def held_out() -> Column:
+    """Whether a document belongs to the third that nothing is learned from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+
+
+@_query()
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from two thirds of the labelled ones."""
+    docs = _table(spark, folder, "documents")
+    model = langid.fit(docs.filter(~held_out()))
+    return langid.classify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query(
+    """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])),
+                          lambda a, b: a + b)) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 10"""
+)
+def op8_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest of all vectors for every hundredth."""
+    vectors = _table(spark, folder, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 @_query()
 def op9_licences(spark: SparkSession, folder: str) -> DataFrame:
     """Licence phrases and tags of every document."""

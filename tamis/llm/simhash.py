@@ -264,6 +264,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each component is kept."""
-    first = near_duplicates(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(first, id_col, "left_semi")
+    """``docs`` with one document of each component: the one with the smallest id.
+
+    Of rows that repeat the kept id, one stays; rows with a null id all stay. The ids to remove
+    are broadcast if they are few by count, otherwise both sides are shuffled.
+    """
+    found = near_duplicates(docs, id_col, text_col).filter(F.col(id_col).isNotNull())
+    ids = materialise(found.groupBy(id_col).agg(F.first("component_id").alias("component_id"), F.count("*").alias("n")))
+    rest = join_small(docs, ids.filter(F.col(id_col) != F.col("component_id")).select(id_col), id_col, "left_anti")
+    repeated = ids.filter((F.col(id_col) == F.col("component_id")) & (F.col("n") > 1)).select(id_col)
+    if repeated.isEmpty():
+        return rest.select(docs.columns)
+    once = join_small(rest, repeated, id_col, "left_anti")
+    return once.unionByName(join_small(rest, repeated, id_col, "left_semi").dropDuplicates([id_col])).select(docs.columns)
