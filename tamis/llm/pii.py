@@ -13,6 +13,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -132,8 +133,14 @@ _LOOKALIKE = re.compile("[" + "".join(map(re.escape, _TABLE)) + "]")
 
 
 def lookalikes(text: str) -> list[tuple[int, int, str]]:
-    if text.isascii():
-        return []
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        pass
+    else:
+        # of the characters of Latin-1 only the soft hyphen is in the table
+        if "\xad" not in text:
+            return []
     return [(m.start(), m.end(), _TABLE[m[0]]) for m in _LOOKALIKE.finditer(text)]
 
 
@@ -148,38 +155,56 @@ SIGN_WORDS = {"plus": "+", "más": "+", "dot": ".", "point": ".", "punkt": ".",
 # Digit names in a row that are read as a number; fewer are prose.
 MIN_DIGIT_WORDS = 4
 
-_NAMES = "|".join(sorted(DIGIT_WORDS | SIGN_WORDS, key=len, reverse=True))
-_NUMBER_WORD = re.compile(rf"(?<![^\W_])(?:{_NAMES})(?![^\W_])", re.IGNORECASE)
-_SOME_DIGIT_WORD = re.compile(rf"(?i:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})[ ,.-]{{1,2}}(?i:{_NAMES})")
 _BETWEEN = re.compile(r"[ ,.-]{1,2}|[ -]?[0-9][ -]?|")
 
 
+def _name_finder() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for name in DIGIT_WORDS | SIGN_WORDS:
+        found.add_word(name, name)
+    found.make_automaton()
+    return found
+
+
+_NAMES = _name_finder()
+
+
+def lowered(text: str) -> str:
+    """Lower case, character by character, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def spelled_digits(text: str) -> list[tuple[int, int, str]]:
     """Runs of digit names become digits; signs named between them become signs."""
-    if not _SOME_DIGIT_WORD.search(text):
+    low = lowered(text)
+    names: list[tuple[int, int, str]] = []
+    for last, name in _NAMES.iter(low):
+        start, end = last + 1 - len(name), last + 1
+        if not (start and low[start - 1].isalnum()) and not (end < len(low) and low[end].isalnum()):
+            names.append((start, end, name))
+    if len(names) < MIN_DIGIT_WORDS:
         return []
     changes: list[tuple[int, int, str]] = []
-    run: list[re.Match] = []
+    run: list[tuple[int, int, str]] = []
 
     def close() -> None:
-        while run and SIGN_WORDS.get(run[-1][0].lower()):
+        while run and run[-1][2] in SIGN_WORDS:
             run.pop()
-        while run and SIGN_WORDS.get(run[0][0].lower(), "+") != "+":
+        while run and SIGN_WORDS.get(run[0][2], "+") != "+":
             run.pop(0)
-        if sum(m[0].lower() in DIGIT_WORDS for m in run) >= MIN_DIGIT_WORDS:
-            for at, m in enumerate(run):
-                name = m[0].lower()
-                high = run[at + 1].start() if at + 1 < len(run) else m.end()
-                kept = _DIGIT.findall(text[m.end() : high])
-                changes.append((m.start(), high, DIGIT_WORDS.get(name) or SIGN_WORDS[name]))
-                if kept:
-                    changes[-1] = (m.start(), high, changes[-1][2] + "".join(kept))
+        if sum(name in DIGIT_WORDS for _, _, name in run) >= MIN_DIGIT_WORDS:
+            for at, (start, end, name) in enumerate(run):
+                high = run[at + 1][0] if at + 1 < len(run) else end
+                # written digits between names stay
+                kept = "".join(_DIGIT.findall(text[end:high]))
+                changes.append((start, high, (DIGIT_WORDS.get(name) or SIGN_WORDS[name]) + kept))
         run.clear()
 
-    for m in _NUMBER_WORD.finditer(text):
-        if run and (m.start() - run[-1].end() > 3 or not _BETWEEN.fullmatch(text, run[-1].end(), m.start())):
+    for start, end, name in names:
+        if run and (start - run[-1][1] > 3 or not _BETWEEN.fullmatch(text, run[-1][1], start)):
             close()
-        run.append(m)
+        run.append((start, end, name))
     close()
     return changes
 
@@ -192,8 +217,8 @@ _AT = re.compile(rf"{_OPEN}(?:at|@|arroba){_CLOSE}|\x20(?:at|arroba|@)\x20", re.
 _DOT = re.compile(rf"{_OPEN}(?:dot|\.|punkt|punto|point){_CLOSE}|\x20(?:dot|punkt|punto|point)\x20|\.", re.IGNORECASE)
 _LABEL = re.compile(r"[A-Za-z0-9-]{1,63}")
 _LOCAL_DOT = re.compile(rf"[A-Za-z0-9_%+-]{{1,64}}({_DOT.pattern[:-3]})[A-Za-z0-9_%+-]{{1,64}}\Z", re.IGNORECASE)
-_SOME_AT = re.compile(r"[\[({<\x20](?:at|@|arroba)[\])}>\x20]|@", re.IGNORECASE)
-_SOME_DISGUISE = re.compile(r"[\[({<][\x20]?(?:at|@|arroba|dot|\.|punkt|punto|point)|\x20(?:dot|punkt|punto|point)\x20|\x20@\x20", re.IGNORECASE)
+_BRACKETED = re.compile(r"[\[({<][\x20]?(?:at|@|arroba|dot|\.|punkt|punto|point)[\x20]?[\])}>]", re.IGNORECASE)
+_BARE = (" dot ", " punkt ", " punto ", " point ", " @ ")
 _TOP = frozenset(TOP_DOMAINS.split())
 
 
@@ -203,8 +228,10 @@ def at_dot(text: str) -> list[tuple[int, int, str]]:
     Bare words count only where the address ends in a known top domain and at least one dot
     is disguised; anything in brackets counts before letters of any top domain.
     """
-    if not _SOME_DISGUISE.search(text) or not _SOME_AT.search(text):
-        return []
+    if not _BRACKETED.search(text):
+        low = lowered(text)
+        if not any(sign in low for sign in _BARE) or not any(sign in low for sign in (" at ", "@", " arroba ")):
+            return []
     changes: list[tuple[int, int, str]] = []
     last = 0
     for at in re.finditer(f"{_AT.pattern}|@", text, re.IGNORECASE):
