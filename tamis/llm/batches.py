@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Bytes of text that one step of a worker holds as Python objects (one longer text is one step).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def steps(batches: Iterable[pa.RecordBatch], column: int, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -54,3 +54,28 @@ WORD_TABLE = bytes(
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a UTF-8 text."""
     return text.translate(WORD_TABLE).split()
+
+
+class Remembered:
+    """Codes of strings that were met before, in bounded memory.
+
+    Two generations of at most ``limit`` strings (and one step's): a string that is met again
+    moves to the young one, and the old one is dropped when the young one is full.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], limit: int) -> None:
+        self._learn, self._limit = learn, limit
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def joined(self, lists: list[list[str]]) -> list[bytes]:
+        """The codes of the strings of each list, one after the other."""
+        if len(self._young) > self._limit:
+            self._old, self._young = self._young, {}
+        missing = set().union(*lists) - self._young.keys()
+        for key in missing & self._old.keys():
+            self._young[key] = self._old[key]
+        new = sorted(missing - self._old.keys())
+        self._young.update(zip(new, self._learn(new)))
+        code = self._young.__getitem__
+        return [b"".join(map(code, keys)) for keys in lists]

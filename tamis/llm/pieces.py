@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,8 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tamis.llm.batches import steps, strings
-from tamis.llm.token_files import ragged
+from tamis.llm.batches import Remembered, steps, strings
 from tamis.session import materialise
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -38,7 +38,8 @@ BLANK = "▁"
 CHUNK = 1 << 15
 # Longer words go over the lattice, whose cost is in proportion to their length.
 LONG_WORD = 256
-REMEMBERED = 400_000
+# Words whose ids a worker remembers.
+REMEMBERED = 200_000
 
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 Piece = tuple[int, int]  # start and end in the normalised text
@@ -219,31 +220,30 @@ def lattice_word(text: str, words: Vocabulary) -> list[int]:
     return [i for a, b in _path(text, goal, values, ending, 0, words) for i in words.ids_of(text[a:b])]
 
 
-def backtrace(text: str, low: int, high: int, state_in: int, state_out: int, encoder: WordEncoder) -> np.ndarray:
+def backtrace(text: str, low: int, high: int, state_in: int, state_out: int, encoder: WordEncoder) -> bytes:
     """Ids of the pieces that start in the chunk, given its states' numbers at both ends."""
     words = encoder.words
     entries, exits = across(text, low, words), across(text, high, words)
     entry, goal = entries[state_in] if entries else None, exits[state_out]
     if entry == goal:
-        return np.zeros(0, np.uint32)
+        return b""
     begin = entry[1] if entry else low
     where = word_starts(text, low, high)
     seed = [entry] if entry else []
 
-    def flat(path: list[Piece]) -> list[int]:
-        return [i for a, b in path for i in words.ids_of(text[a:b])]
+    def flat(path: list[Piece]) -> bytes:
+        return array("I", [i for a, b in path for i in words.ids_of(text[a:b])]).tobytes()
 
     if where is None:
         values, ending = forward(text, low, high, seed, words)
-        return np.array(flat(_path(text, goal, values, ending, begin, words)), np.uint32)
+        return flat(_path(text, goal, values, ending, begin, words))
     first, last = where
-    front: list[int] = []
+    front = b""
     if begin < first:
         values, ending = forward(text, low, first, seed, words)
         front = flat(_path(text, next(p for p in ending[first] if p != entry), values, ending, begin, words))
     values, ending = forward(text, last, high, [], words)
-    back = flat(_path(text, goal, values, ending, last, words))
-    return np.concatenate([np.array(front, np.uint32), encoder.encode([text[first:last]])[0], np.array(back, np.uint32)])
+    return front + encoder.encode([text[first:last]])[0] + flat(_path(text, goal, values, ending, last, words))
 
 
 class WordEncoder:
@@ -251,35 +251,23 @@ class WordEncoder:
 
     def __init__(self, path: str) -> None:
         self.words = vocabulary(path)
-        self._forget()
+        self.known = Remembered(self._learn, REMEMBERED)
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        short = [w for w in new if len(w) <= LONG_WORD]
-        # the model puts one blank in front itself
+    def _learn(self, new: list[str]) -> list[bytes]:
+        # the model puts one blank in front itself, except of nothing
+        short = [w for w in new if 1 < len(w) <= LONG_WORD]
         ids = dict(zip(short, self.words.model.encode([w[1:].replace(BLANK, " ") for w in short], num_threads=1)))
-        for word in short:
-            if len(word) == 1:
-                ids[word] = self.words.ids_of(word)
-        rows = [ids[w] if w in ids else lattice_word(w, self.words) for w in new]
-        for i, word in enumerate(new, len(self.known)):
-            self.known[word] = i
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        self.flat = np.concatenate([self.flat, np.fromiter((t for r in rows for t in r), np.uint32, int(sizes.sum()))])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of normalised texts."""
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        split = [_WORDS.findall(t) for t in texts]
-        new = set().union(*split) - self.known.keys()
-        if new:
-            self._learn(sorted(new))
-        return [ragged(self.flat, self.ends, np.fromiter(map(self.known.__getitem__, s), np.int64, len(s))) for s in split]
+        return [array("I", ids[w] if w in ids else lattice_word(w, self.words)).tobytes() for w in new]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of normalised texts, as little-endian unsigned 32-bit numbers."""
+        return self.known.joined([_WORDS.findall(t) for t in texts])
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """A worker's encoder, kept from task to task."""
+    return WordEncoder(path)
 
 
 def decode(ids: np.ndarray, words: Vocabulary) -> bytes:
@@ -382,9 +370,9 @@ def encode(
     names = [*base.drop("text").columns, "row", "chunk", "ids"]
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         for batch in steps(batches, 1):
-            ids = [x.tobytes() for x in encoder.encode([normalised(t) for t in strings(batch.column(1))])]
+            ids = encoder.encode([normalised(t) for t in strings(batch.column(1))])
             n = batch.num_rows
             columns = [batch.column(0), *batch.columns[2:], pa.nulls(n, pa.int64()), pa.array(np.zeros(n, np.int32)), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -419,10 +407,10 @@ def encode(
     placed = chunks.join(materialise(_states(materialise(matrices))).drop("span"), ["row", "chunk"])
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         for batch in steps(batches, 4):
             parts = [c.to_pylist() for c in (batch.column(n) for n in ("window", "low", "high", "state_in", "state_out"))]
-            ids = [backtrace(*values, encoder).tobytes() for values in zip(*parts)]
+            ids = [backtrace(*values, encoder) for values in zip(*parts)]
             columns = [batch.column(n) for n in names[:-1]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names)
 

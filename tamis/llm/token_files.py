@@ -9,7 +9,8 @@ run again. A block holds whole documents in ascending id order.
 
 from __future__ import annotations
 
-import zlib
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,68 +19,83 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from tamis.llm.batches import chosen, steps, strings
+from tamis.llm.batches import Remembered, chosen, steps, strings
 from tamis.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 # Ids of a block; a longer document is a block of its own.
-BLOCK_IDS = 1 << 19
+BLOCK_IDS = 1 << 17
 # Ids of one file's range of documents.
 FILE_IDS = 16 << 20
-# Pieces of text whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+# Pre-tokens whose ids a worker remembers; the memory is emptied when full.
+REMEMBERED = 250_000
+
+
+# A text of these characters alone, in which neither composition nor case depends on neighbours,
+# is cut here into the tokenizer's own pre-tokens; "<|" may begin a special token.
+SIMPLE = re.compile(r"(?:(?!<\|)[\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ])*+\Z")
+PRE_TOKENS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+")
+# Pre-tokens that the library gets at once.
+LEARN_ROWS = 4096
 
 
 class Encoder:
-    """Whole-text ids of a tokenizer that drops white space, piece by piece.
+    """Whole-text ids of a tokenizer that drops white space, pre-token by pre-token.
 
-    A text's ids are the ids of its blank-separated pieces, one after the other, since the
-    tokenizer's pre-tokens never hold white space; pieces that were met before are looked up.
+    A text's ids are those of its pre-tokens, one after the other; pre-tokens that were met
+    before are looked up. Blank-separated pieces with other than simple characters go through
+    the tokenizer's own normalisation and splitting instead; no pre-token holds white space.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.ends = np.zeros(1, np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        new = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        for i, piece in enumerate(pieces, len(self.known)):
-            self.known[piece] = i
-        sizes = np.fromiter(map(len, new), np.int64, len(new))
-        ids = np.fromiter((t for ids in new for t in ids), np.uint32, int(sizes.sum()))
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, ids])
-
-    def encode(self, texts: list[str], last: int | None) -> list[np.ndarray]:
-        """The ids of each text, with ``last`` appended."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.flat, self.ends = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        split = [t.translate(_BLANKS).split(" ") for t in texts]
-        unknown = set().union(*split) - self.known.keys()
-        if unknown:
-            self._learn(sorted(unknown))
-        tail = np.array([] if last is None else [last], np.uint32)
-        out = []
-        for pieces in split:
-            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-            out.append(np.concatenate([ragged(self.flat, self.ends, at), tail]))
-        return out
-
-
-_BLANKS = {9: " ", 10: " ", 13: " "}
-
-
-def ragged(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The concatenated rows of a ragged table (row r is flat[ends[r]:ends[r + 1]])."""
-    low = ends[rows]
-    sizes = ends[rows + 1] - low
-    before = np.cumsum(sizes) - sizes
-    return flat[np.repeat(low - before, sizes) + np.arange(int(sizes.sum()))]
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.wide = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.known = Remembered(self._learn, REMEMBERED)
+
+    def _learn(self, keys: list[str]) -> list[bytes]:
+        """A key is a pre-token, or a blank and a whole piece."""
+        kind = "H" if self.wide == "<u2" else "I"
+        found: dict[str, list[int]] = {}
+        # printable ASCII is its own byte-level form, so the model takes it as it is
+        plain = self.tokenizer.model.tokenize
+        for whole, tokenizer in ((True, self.tokenizer), (False, self.bare)):
+            part = [k for k in keys if (k[0] == " ") == whole and (whole or not k.isascii())]
+            for at in range(0, len(part), LEARN_ROWS):
+                some = part[at : at + LEARN_ROWS]
+                coded = tokenizer.encode_batch_fast([k[whole:] for k in some], add_special_tokens=False)
+                found |= {k: e.ids for k, e in zip(some, coded)}
+        return [array(kind, found[k] if k in found else [t.id for t in plain(k)]).tobytes() for k in keys]
+
+    def encode(self, texts: list[str], last: int | None) -> list[bytes]:
+        """The ids of each text as little-endian numbers (two bytes each if all ids of the
+        vocabulary fit, else four), with ``last`` appended."""
+        tail = b"" if last is None else np.array([last], self.wide).tobytes()
+        return [ids + tail for ids in self.known.joined([keys_of(t) for t in texts])]
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, kept from task to task."""
+    return Encoder(path)
+
+
+def keys_of(text: str) -> list[str]:
+    """The pre-tokens of a text, and its other pieces with a blank in front."""
+    ascii_alone = text.isascii() and "<|" not in text and text.replace("\n", " ").isprintable()
+    if ascii_alone or SIMPLE.match(text):
+        return PRE_TOKENS.findall(text.lower())
+    keys: list[str] = []
+    for piece in text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" "):
+        if SIMPLE.match(piece):
+            keys += PRE_TOKENS.findall(piece.lower())
+        else:
+            keys.append(" " + piece)
+    return keys
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -111,23 +127,18 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID, id_col
     """(id, n_tokens, ids) per row: little-endian ids of the whole text, two bytes each if all
     ids of the vocabulary fit, else four. Null texts are empty; repeated rows stay."""
     kind = docs.schema[id_col].dataType.simpleString()
-    wide = _width(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
+        size = np.dtype(encoder.wide).itemsize
         for batch in steps(batches, 1):
             ids = encoder.encode(strings(batch.column(1)), end_id)
-            sizes = pa.array([len(x) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([x.astype(wide).tobytes() for x in ids], pa.binary())], ["id", "n_tokens", "ids"])
+            sizes = pa.array([len(x) // size for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
 
     return chosen(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary")
 
 
-@lru_cache(maxsize=4)
-def _width(vocabulary: str) -> str:
-    return "<u2" if Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-
-
 def frequencies(encoded: DataFrame, wide: str) -> DataFrame:
     """(token, n) over all documents; each task sums its own rows before the shuffle."""
 
@@ -157,7 +168,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = END_
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    wide = _width(vocabulary)
+    wide = encoder_of(vocabulary).wide
     encode(docs, vocabulary, end_id, id_col, text_col).write.parquet(f"{path}/encoded")
     encoded = spark.read.parquet(f"{path}/encoded")
     # at most one row per vocabulary entry
@@ -238,7 +249,3 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
     path = scratch_path(docs.sparkSession, "token-files")
     write(docs, path, vocabulary or public_tokenizers.path(VOCABULARY), END_ID, id_col, text_col)
     return read(docs.sparkSession, path).select(F.col("id").alias(id_col), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
