@@ -19,7 +19,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 from tamis.llm.batches import Remembered, chosen, steps, strings
 from tamis.session import scratch_path
@@ -31,7 +31,7 @@ BLOCK_IDS = 1 << 17
 # Ids of one file's range of documents.
 FILE_IDS = 16 << 20
 # Pre-tokens whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 
 
 # A text of these characters alone, in which neither composition nor case depends on neighbours,
@@ -42,6 +42,16 @@ PRE_TOKENS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß
 LEARN_ROWS = 4096
 
 
+# The byte-level alphabet: visible Latin-1 bytes stand for themselves, the others in turn for
+# the characters from U+0100.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTE_LEVEL = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+
+
+def byte_level(text: str) -> str:
+    return text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(_BYTE_LEVEL)
+
+
 class Encoder:
     """Whole-text ids of a tokenizer that drops white space, pre-token by pre-token.
 
@@ -52,8 +62,6 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.bare = Tokenizer(self.tokenizer.model)
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.wide = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.known = Remembered(self._learn, REMEMBERED)
 
@@ -61,15 +69,13 @@ class Encoder:
         """A key is a pre-token, or a blank and a whole piece."""
         kind = "H" if self.wide == "<u2" else "I"
         found: dict[str, list[int]] = {}
-        # printable ASCII is its own byte-level form, so the model takes it as it is
+        whole = [k for k in keys if k[0] == " "]
+        for at in range(0, len(whole), LEARN_ROWS):
+            some = whole[at : at + LEARN_ROWS]
+            coded = self.tokenizer.encode_batch_fast([k[1:] for k in some], add_special_tokens=False)
+            found |= {k: e.ids for k, e in zip(some, coded)}
         plain = self.tokenizer.model.tokenize
-        for whole, tokenizer in ((True, self.tokenizer), (False, self.bare)):
-            part = [k for k in keys if (k[0] == " ") == whole and (whole or not k.isascii())]
-            for at in range(0, len(part), LEARN_ROWS):
-                some = part[at : at + LEARN_ROWS]
-                coded = tokenizer.encode_batch_fast([k[whole:] for k in some], add_special_tokens=False)
-                found |= {k: e.ids for k, e in zip(some, coded)}
-        return [array(kind, found[k] if k in found else [t.id for t in plain(k)]).tobytes() for k in keys]
+        return [array(kind, found[k] if k in found else [t.id for t in plain(byte_level(k))]).tobytes() for k in keys]
 
     def encode(self, texts: list[str], last: int | None) -> list[bytes]:
         """The ids of each text as little-endian numbers (two bytes each if all ids of the
