@@ -57,7 +57,7 @@ class Mapping:
 
 # The layouts that are known.
 MAPPINGS = (
-    Mapping("rows", conv="conv_id", number="turn", role="role", text="text", optional=("text", "role", "turn")),
+    Mapping("rows", conv="conv_id", number="turn", role="role", text="text", optional=("text", "role")),
     Mapping("messages", conv="conv_id", turns="messages", role="role", text="content"),
     Mapping("conversations", conv="id", turns="conversations", role="from", text="value"),
     Mapping("prompt", conv="conv_id", fixed=(("user", "prompt"), ("assistant", "response"))),
