@@ -354,13 +354,14 @@ STATE_NAMES = ["row", "span", "chunk", "state_in", "state_out"]
 
 def encode(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), model: str | None = None, chunk: int = CHUNK
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
     """(id, keep..., row, chunk, ids): the model's ids of every whole text, as little-endian
     unsigned 32-bit numbers.
 
-    A text of up to ``chunk`` characters is one row; a longer one has a row per chunk, in
-    order, with a ``row`` number that tells repeated documents apart (null else). Null and
-    empty texts have no ids. Columns not named are not read.
+    The first table has the texts below ``chunk`` characters, a row each (``row`` is null);
+    the second has a row per chunk of the longer ones, in order, with a ``row`` number that
+    tells repeated documents apart. Null and empty texts have no ids. Columns not named are
+    not read.
     """
     path = model or public_tokenizers.path(VOCABULARY)
     margin = vocabulary(path).longest
@@ -415,22 +416,22 @@ def encode(
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names)
 
     order = ["row", "chunk", "low", "high", "window", "id", *keep, "state_in", "state_out"]
-    return whole.unionByName(placed.select(*order).mapInArrow(trace, shape))
+    return whole, placed.select(*order).mapInArrow(trace, shape)
 
 
 def _schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def digests(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """One row per document of ``encode``'s rows: n_tokens, ids_crc32 (of all ids as written),
+def digests(whole: DataFrame, cut: DataFrame, model: str | None = None) -> DataFrame:
+    """One row per document of ``encode``'s two tables: n_tokens, ids_crc32 (of all ids as written),
     n_chars and decoded_crc32 (of the decoded text); other columns are kept.
 
     Chunks of a document are read in order as a stream.
     """
     path = model or public_tokenizers.path(VOCABULARY)
-    keep = [c for c in encoded.columns if c not in ("row", "chunk", "ids")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*keep).schema)
+    keep = [c for c in whole.columns if c not in ("row", "chunk", "ids")]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.select(*keep).schema)
     shape = f"{fields}, n_tokens bigint, ids_crc32 bigint, n_chars bigint, decoded_crc32 bigint"
     names = [*keep, "n_tokens", "ids_crc32", "n_chars", "decoded_crc32"]
     arrow_shape = _schema(shape)
@@ -456,10 +457,9 @@ def digests(encoded: DataFrame, model: str | None = None) -> DataFrame:
         if state is not None:
             yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(state, arrow_shape)], names)
 
-    order = encoded.select("row", "chunk", "ids", *keep)
-    short = order.filter("row IS NULL").mapInArrow(run, shape)
-    giant = order.filter("row IS NOT NULL").repartition("row").sortWithinPartitions("row", "chunk").mapInArrow(run, shape)
-    return short.unionByName(giant)
+    columns = ["row", "chunk", "ids", *keep]
+    ordered = cut.select(*columns).repartition("row").sortWithinPartitions("row", "chunk")
+    return whole.select(*columns).mapInArrow(run, shape).unionByName(ordered.mapInArrow(run, shape))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
@@ -467,6 +467,5 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     decoded_crc32, round_trip). A U+2581 of the source comes back as a blank, by the model's
     format; anything else must come back as it was."""
     source = F.crc32(F.replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(BLANK), F.lit(" ")))
-    encoded = encode(docs.withColumn("_source", source), id_col, text_col, (*keep, "_source"), chunk=chunk)
-    found = digests(encoded)
+    found = digests(*encode(docs.withColumn("_source", source), id_col, text_col, (*keep, "_source"), chunk=chunk))
     return found.withColumn("round_trip", F.col("decoded_crc32") == F.col("_source")).drop("_source").withColumnRenamed("id", id_col)
