@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SEED = 42
 # Scores are compared as whole numbers of 1e-9.
 SCORE_SCALE = 1_000_000_000
+# The place of rows without a score, after all others.
+NO_SCORE = 1 << 61
 
 
 @dataclass(frozen=True)
@@ -56,6 +58,7 @@ def random_order(key: str | Sequence[str], use: str, seed: int = SEED) -> Order:
 
 
 def score_order(score: str | Column, key: str, descending: bool = False, seed: int = SEED) -> Order:
-    """By score to 9 digits; equal scores fall in keyed random order."""
-    units = score_units(F.col(score) if isinstance(score, str) else score)
-    return Order(-units if descending else units, key_code(key, "tie", seed))
+    """By score to 9 digits; equal scores fall in keyed random order, null and NaN come last."""
+    value = (F.col(score) if isinstance(score, str) else score).cast("double")
+    units = score_units(F.when(~F.isnan(value), value))
+    return Order(F.coalesce(-units if descending else units, F.lit(NO_SCORE)), key_code(key, "tie", seed))

@@ -68,21 +68,26 @@ def vector_sums(
 ) -> DataFrame:
     """Per group: ``n``, ``sums`` and, on request, ``squares`` per dimension.
 
-    Pre-aggregated in every task, so hot groups cost no more than others.
+    Vectors of different lengths are an error.     Pre-aggregated in every task, so hot groups cost no more than others.
     """
     dim = dim or vector_dim(df, vec)
     powers = {"sums": 1, "squares": 2} if squares else {"sums": 1}
     if dim <= WIDE_DIM:
         # One expression text per array: building it column by column costs more than the job.
         terms = {1: "sum(double(`{v}`[{i}]))", 2: "sum(double(`{v}`[{i}]) * double(`{v}`[{i}]))"}
+        even = f"min(size(`{vec}`)) = {dim} AND max(size(`{vec}`)) = {dim}"
         arrays = [
-            F.expr(f"array({', '.join(terms[power].format(v=vec, i=i) for i in range(dim))})").alias(name)
+            F.expr(
+                f"CASE WHEN {even} THEN array({', '.join(terms[power].format(v=vec, i=i) for i in range(dim))}) "
+                f"WHEN max(size(`{vec}`)) IS NOT NULL THEN raise_error('vectors of different lengths') END"
+            ).alias(name)
             for name, power in powers.items()
         ]
         return df.groupBy(*groups).agg(F.count("*").alias("n"), *arrays)
     x = F.col("_x").cast("double")
     sums = {"sums": F.sum(x), "squares": F.sum(x * x)}
-    long = df.select(*groups, F.posexplode(vec).alias("_i", "_x")).groupBy(*groups, "_i")
+    even = F.when(F.size(vec) == dim, F.col(vec)).when(F.col(vec).isNotNull(), F.raise_error(F.lit("vectors of different lengths")))
+    long = df.select(*groups, F.posexplode(even).alias("_i", "_x")).groupBy(*groups, "_i")
     long = long.agg(F.count("*").alias("n"), *[sums[name].alias(f"_{name}") for name in powers])
     # One entry per dimension.
     packed = [F.sort_array(F.collect_list(F.struct("_i", f"_{name}"))).alias(name) for name in powers]

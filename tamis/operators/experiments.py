@@ -100,7 +100,8 @@ def bootstrap_weight(key: str, run_seed: int) -> Column:
     """How often a row enters one bootstrap resample: Poisson with mean 1, by key."""
     u = key_uniform(key, "bootstrap", run_seed)
     weight, mass, reached = F.lit(0), 0.36787944117144233, 0.0
-    for times in range(1, 12):
+    # beyond 18 the remaining mass is below the step of the draw, 2^-52
+    for times in range(1, 19):
         reached += mass
         weight = weight + F.when(u >= F.lit(reached), 1).otherwise(0)
         mass /= times

@@ -101,3 +101,26 @@ def test_join_by_size_with_hot_groups(rows, hot_rows):
     got = join_by_size(rows, sizes, "grp", "n", hot_rows, max_rows=8)
     assert got.count() == 3000
     assert got.groupBy("grp").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter("c <> n").count() == 0
+
+
+@pytest.mark.parametrize("heap", [True, False])
+def test_rows_without_a_score_come_last(spark, monkeypatch, heap):
+    from tamis.functions.keyed import score_order
+    from tamis.operators import ranking
+
+    monkeypatch.setattr(ranking, "HEAP_ROWS", 10_000 if heap else 0)
+    scores = [None, float("nan"), None, *[i / 10 for i in range(30)]]
+    df = spark.createDataFrame(list(enumerate(scores)), "id bigint, score double")
+    for descending in (False, True):
+        got = ranking.top_k(df, score_order("score", "id", descending), 10).orderBy("pick").collect()
+        want = sorted(scores[3:], reverse=descending)[:10]
+        assert [r.score for r in got] == want
+    assert ranking.top_k(df, score_order("score", "id"), 32).filter("score IS NULL OR isnan(score)").count() == 2
+
+
+def test_ragged_vectors_are_an_error(spark):
+    from tamis.functions.vectors import vector_sums
+
+    for rows in ([(0, [1.0, 1.0]), (1, [1.0, 1.0, 100.0])], [(0, [1.0] * 300), (1, [1.0] * 301)]):
+        with pytest.raises(Exception, match="different lengths"):
+            vector_sums(spark.createDataFrame(rows, "id int, v array<double>"), [], "v").collect()
