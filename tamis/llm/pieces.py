@@ -39,7 +39,9 @@ CHUNK = 1 << 15
 # Longer words go over the lattice, whose cost is in proportion to their length.
 LONG_WORD = 256
 # Words whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
+# Pairs of neighbours whose stability a worker remembers.
+STABLE_PAIRS = 100_000
 
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 Piece = tuple[int, int]  # start and end in the normalised text
@@ -84,7 +86,7 @@ class Vocabulary:
         if BLANK not in right[0] or left[-1] == BLANK:
             known = self._stable.get((left, right))
             if known is None:
-                if len(self._stable) > 2_000_000:
+                if len(self._stable) > STABLE_PAIRS:
                     self._stable.clear()
                 known = self._stable[left, right] = self.merge(left + right) == [left, right]
             return known
