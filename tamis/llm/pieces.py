@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,6 +44,7 @@ REMEMBERED = 120_000
 STABLE_PAIRS = 100_000
 
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 Piece = tuple[int, int]  # start and end in the normalised text
 
 
@@ -354,6 +355,20 @@ def _states(matrices: DataFrame) -> DataFrame:
 STATE_NAMES = ["row", "span", "chunk", "state_in", "state_out"]
 
 
+def _short(path: str, names: list[str]) -> Step:
+    """The step that encodes whole texts: (id, text, rest...) to rows of ``names``."""
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(path)
+        for batch in steps(batches, 1):
+            ids = encoder.encode([normalised(t) for t in strings(batch.column(1))])
+            n = batch.num_rows
+            columns = [batch.column(0), *batch.columns[2:], pa.nulls(n, pa.int64()), pa.array(np.zeros(n, np.int32)), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return short
+
+
 def encode(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), model: str | None = None, chunk: int = CHUNK
 ) -> tuple[DataFrame, DataFrame]:
@@ -366,25 +381,31 @@ def encode(
     not read.
     """
     path = model or public_tokenizers.path(VOCABULARY)
-    margin = vocabulary(path).longest
+    whole, giant = _by_length(docs, id_col, text_col, keep, chunk)
+    names, shape = _coded(whole)
+    return whole.mapInArrow(_short(path, names), shape), _encode_giant(giant, keep, path, chunk)
+
+
+def _by_length(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...], chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(id, text, keep...) of the texts below ``chunk`` characters, and of the others."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
+    length = F.coalesce(F.length("text"), F.lit(0))
+    return base.filter(length < chunk), base.filter(length >= chunk)
+
+
+def _coded(base: DataFrame) -> tuple[list[str], str]:
+    """Names and types of ``encode``'s rows."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.drop("text").schema)
     shape = f"{fields}, row bigint, chunk int, ids binary"
-    names = [*base.drop("text").columns, "row", "chunk", "ids"]
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
-        for batch in steps(batches, 1):
-            ids = encoder.encode([normalised(t) for t in strings(batch.column(1))])
-            n = batch.num_rows
-            columns = [batch.column(0), *batch.columns[2:], pa.nulls(n, pa.int64()), pa.array(np.zeros(n, np.int32)), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+    return [*base.drop("text").columns, "row", "chunk", "ids"], shape
 
-    length = F.coalesce(F.length("text"), F.lit(0))
-    whole = base.filter(length < chunk).select("id", "text", *keep).mapInArrow(short, shape)
 
-    giant = base.filter(length >= chunk).select(F.monotonically_increasing_id().alias("row"), "text", "id", *keep)
-    chunk_shape = f"{CHUNK_ROW}, {fields}"
+def _encode_giant(texts: DataFrame, keep: tuple[str, ...], path: str, chunk: int) -> DataFrame:
+    """A row per chunk of the texts, by the parallel scan."""
+    margin = vocabulary(path).longest
+    names, shape = _coded(texts)
+    giant = texts.select(F.monotonically_increasing_id().alias("row"), "text", "id", *keep)
+    chunk_shape = f"{CHUNK_ROW}, {shape.split(', row bigint')[0]}"
     chunk_arrow = _schema(chunk_shape)
     split = giant.mapInArrow(lambda b: _split(b, chunk, margin, chunk_arrow), chunk_shape)
     chunks = materialise(split.repartition("row", "chunk"))
@@ -418,7 +439,7 @@ def encode(
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names)
 
     order = ["row", "chunk", "low", "high", "window", "id", *keep, "state_in", "state_out"]
-    return whole, placed.select(*order).mapInArrow(trace, shape)
+    return placed.select(*order).mapInArrow(trace, shape)
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -433,9 +454,15 @@ def digests(whole: DataFrame, cut: DataFrame, model: str | None = None) -> DataF
     """
     path = model or public_tokenizers.path(VOCABULARY)
     keep = [c for c in whole.columns if c not in ("row", "chunk", "ids")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.select(*keep).schema)
+    run, shape = _digest(path, whole.select(*keep).schema)
+    return whole.select("row", "chunk", "ids", *keep).mapInArrow(run, shape).unionByName(_digest_giant(cut, path))
+
+
+def _digest(path: str, kept: StructType) -> tuple[Step, str]:
+    """The step from rows of (row, chunk, ids, kept...) to digests, and the types of its rows."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     shape = f"{fields}, n_tokens bigint, ids_crc32 bigint, n_chars bigint, decoded_crc32 bigint"
-    names = [*keep, "n_tokens", "ids_crc32", "n_chars", "decoded_crc32"]
+    names = [*kept.names, "n_tokens", "ids_crc32", "n_chars", "decoded_crc32"]
     arrow_shape = _schema(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,15 +486,30 @@ def digests(whole: DataFrame, cut: DataFrame, model: str | None = None) -> DataF
         if state is not None:
             yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(state, arrow_shape)], names)
 
-    columns = ["row", "chunk", "ids", *keep]
-    ordered = cut.select(*columns).repartition("row").sortWithinPartitions("row", "chunk")
-    return whole.select(*columns).mapInArrow(run, shape).unionByName(ordered.mapInArrow(run, shape))
+    return run, shape
+
+
+def _digest_giant(cut: DataFrame, path: str) -> DataFrame:
+    keep = [c for c in cut.columns if c not in ("row", "chunk", "ids")]
+    run, shape = _digest(path, cut.select(*keep).schema)
+    ordered = cut.select("row", "chunk", "ids", *keep).repartition("row").sortWithinPartitions("row", "chunk")
+    return ordered.mapInArrow(run, shape)
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
     """Every document encoded and decoded: (id, keep..., n_tokens, ids_crc32, n_chars,
     decoded_crc32, round_trip). A U+2581 of the source comes back as a blank, by the model's
-    format; anything else must come back as it was."""
+    format; anything else must come back as it was.
+
+    Whole texts are encoded and decoded by one worker, so that a task holds the vocabulary once."""
+    path = public_tokenizers.path(VOCABULARY)
     source = F.crc32(F.replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(BLANK), F.lit(" ")))
-    found = digests(*encode(docs.withColumn("_source", source), id_col, text_col, (*keep, "_source"), chunk=chunk))
+    keep = (*keep, "_source")
+    whole, giant = _by_length(docs.withColumn("_source", source), id_col, text_col, keep, chunk)
+    names, _ = _coded(whole)
+    short = _short(path, names)
+    run, shape = _digest(path, whole.drop("text").schema)
+    front = ["row", "chunk", "ids", *names[:-3]]
+    both = whole.mapInArrow(lambda batches: run(b.select(front) for b in short(batches)), shape)
+    found = both.unionByName(_digest_giant(_encode_giant(giant, keep, path, chunk), path))
     return found.withColumn("round_trip", F.col("decoded_crc32") == F.col("_source")).drop("_source").withColumnRenamed("id", id_col)
