@@ -73,13 +73,24 @@ def test_early_stop(spark):
 
 
 @pytest.mark.parametrize(
-    "df, want", [(1, 12.706204736), (2, 4.302652730), (4, 2.776445105), (9, 2.262157163), (30, 2.042272456), (200, 1.971896224)]
+    "df, want", [(1, 12.706204736), (2, 4.302652730), (4, 2.776445105), (9, 2.262157163), (30, 2.042272456), (200, 1.971896224), (1_000_000, 1.959966361)]
 )
 def test_t_quantiles(spark, df, want):
     found = spark.range(1).select(t_critical(F.lit(float(df))).alias("t")).first().t
     assert found == pytest.approx(want, abs=1e-8)
 
 
+def test_far_quantile_and_tail(spark):
+    """One degree of freedom has a closed form: P(|T| > t) = 1 - 2 atan(t) / pi."""
+    want = math.tan(math.pi / 2 * 0.9999)
+    far, tail, zero, nan = spark.range(1).select(
+        t_critical(F.lit(1.0), 0.9999), t_two_sided_p(F.lit(1e9), F.lit(1.0)), t_two_sided_p(F.lit(0.0), F.lit(4.0)), t_two_sided_p(F.lit(float("nan")), F.lit(4.0))
+    ).first()
+    assert far == pytest.approx(want, rel=1e-8)
+    assert tail == pytest.approx(2 / math.pi * math.atan(1e-9), rel=1e-9)
+    assert zero == 1.0 and math.isnan(nan)
+
+
 def tail_by_integration(t, df):
     x = np.linspace(0, abs(t), 200_001)
     scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
@@ -87,10 +98,10 @@ def tail_by_integration(t, df):
 
 
 def test_t_tail(spark):
-    cases = [(2.0, 1), (2.0, 5), (-2.0, 8), (0.0, 3), (3.5, 41), (1.96, 998), (1.96, 5000)]
+    cases = [(2.0, 1), (2.0, 5), (-2.0, 8), (0.0, 3), (3.5, 41), (1.96, 998), (2.5, 1000), (2.5, 1001), (1.96, 5000)]
     df = spark.createDataFrame(cases, "t double, df int")
     for r in df.select("*", t_two_sided_p(F.col("t"), F.col("df").cast("double")).alias("p")).collect():
-        assert r.p == pytest.approx(tail_by_integration(r.t, r.df), abs=1e-4 if r.df > 1000 else 1e-8)
+        assert r.p == pytest.approx(tail_by_integration(r.t, r.df), abs=1e-8)
 
 
 def five_values(mean, std):
