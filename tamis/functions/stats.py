@@ -64,7 +64,9 @@ def t_two_sided_p(t: Column, df: Column) -> Column:
     def probabilities(sizes: pd.Series, dfs: pd.Series) -> pd.Series:
         return pd.Series([tails(s, d) for s, d in zip(sizes, dfs)], dtype=np.float64)
 
-    return F.when(t.isNotNull() & df.isNotNull(), once(F.pandas_udf(probabilities, "double"))(F.abs(t), df))
+    # a NaN in a pandas result would come back as null
+    found = once(F.pandas_udf(probabilities, "double"))(F.abs(t), df)
+    return F.when(F.isnan(t), t).when(t.isNotNull() & df.isNotNull(), found)
 
 
 def t_critical(df: Column, level: float = 0.95) -> Column:
