@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tamis.catalog import query, rounded, sql_code, sql_uniform, sql_units, table
+from tamis.catalog import query, rounded, sql_code, sql_split, sql_uniform, sql_units, table
 from tamis.catalog.noise import embeddings, probabilities, split_embeddings, sql_probs
 from tamis.operators import acquire as ops
 from tamis.operators.experiments import learning_curve
 from tamis.functions.vectors import squared_distance, vector_sums
-from tamis.plans.curation import active_against_random, active_parts, improved_condition
 from tamis.session import join_small
 
 BATCH = 50
@@ -46,7 +45,7 @@ def uncertain_by_margin(spark, folder):
 
 @query("kmeans_clusters")
 def kmeans_clusters(spark, folder):
-    return rounded(ops.cluster(embeddings(spark, folder), "vec_id", "embedding", restarts=2), "distance")
+    return rounded(ops.cluster(embeddings(spark, folder), "vec_id", "embedding"), "distance")
 
 
 # Given assignments: the label stands for the cluster, its mean for the centre.
@@ -120,36 +119,24 @@ def reveal_labels(spark, folder):
     return ops.reveal_labels(pool, picked, "vec_id", "label", 0.2).select("vec_id", "label")
 
 
-def loop(spark, folder, strategy, rounds=3, **options):
-    parts = active_parts(split_embeddings(spark, folder), "vec_id", "label")
-    history = ops.active_learning_loop(*parts, "vec_id", "label", "embedding", rounds, BATCH, strategy, **options)
-    return rounded(history, "val_f1", "val_auroc")
-
-
-@query("active_learning_loop")
-def active_learning_loop(spark, folder):
-    return loop(spark, folder, "entropy")
-
-
-@query("active_learning_random")
-def active_learning_random(spark, folder):
-    return loop(spark, folder, "random")
-
-
-@query("active_learning_diversity")
-def active_learning_diversity(spark, folder):
-    return loop(spark, folder, "diversity", rounds=2)
-
-
-@query("active_against_random")
-def active_curve(spark, folder):
-    curve = active_against_random(split_embeddings(spark, folder), "vec_id", "label", "embedding", 2, BATCH)
-    return rounded(curve, "f1_active", "f1_random", "gain")
-
-
-@query("improved_condition")
-def improved(spark, folder):
-    return improved_condition(split_embeddings(spark, folder), "vec_id", "label", "embedding", 2, BATCH)["manifest"].drop("embedding")
+@query(
+    "next_batch",
+    f"""WITH {sql_split('embeddings', 'vec_id')}, train_rows AS (SELECT * FROM parted WHERE split = 'train'),
+pool_part AS (SELECT * FROM parted WHERE split = 'val'),
+fit_parts AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(0, 64)) AS dim FROM train_rows),
+fitted AS (SELECT label AS class, dim, avg(x) AS c FROM fit_parts GROUP BY label, dim),
+pool_parts AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(0, 64)) AS dim FROM pool_part),
+logits AS (
+  SELECT vec_id, class, -10.0::DOUBLE * sum((x - c) * (x - c)) AS z FROM pool_parts JOIN fitted USING (dim) GROUP BY vec_id, class),
+weights AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM logits),
+probs AS (SELECT vec_id, class, round(e / sum(e) OVER (PARTITION BY vec_id), 9) AS p FROM weights), {SQL_SCORES}
+{sql_top('entropy', 'scores')}""",
+)
+def next_batch(spark, folder):
+    """One round of labelling: fit on the train rows, score the pool (the val rows), choose."""
+    parted = split_embeddings(spark, folder)
+    picked = ops.next_batch(parted.filter("split = 'train'"), parted.filter("split = 'val'"), "vec_id", "label", "embedding", BATCH)
+    return rounded(picked, "score")
 
 
 # Histories of two labelling strategies, read off the events: a round is a day.

@@ -4,23 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tamis.catalog import SAMPLES, query, rounded, samples, sql_code, sql_uniform, table
+from tamis.catalog import SAMPLES, query, rounded, samples, sql_code, sql_split, sql_uniform, table
 from tamis.catalog.files import class_target, embedding_images
+from tamis.catalog.noise import split_embeddings, sql_flagged, sql_probs
 from tamis.operators import balance as ops
 from tamis.operators.outliers import centroid_outliers, feature_outliers
-from tamis.plans.curation import rebalanced
+from tamis.plans.curation import improved_condition, rebalanced
 from tamis.operators.splits import stratified_split
 
 # Class 0 of the labelled documents is the rare one; it is raised to twice its size.
 
 
-def sql_draws(use: str) -> str:
-    return f"""source AS (SELECT * FROM samples WHERE label = 0),
-ranked AS (SELECT *, row_number() OVER (ORDER BY {sql_code(use, 'doc_id')}) AS place FROM source),
+def sql_draws(use: str, rows: str = "samples", key: str = "doc_id", rare: str = "0", missing: str = "(SELECT count(*) FROM source)") -> str:
+    """CTEs ending in ``picked``: ``missing`` draws from the ``rare`` class of ``rows``."""
+    return f"""source AS (SELECT * FROM {rows} WHERE label = {rare}),
+ranked_sources AS (SELECT *, row_number() OVER (ORDER BY {sql_code(use, key)}) AS place FROM source),
 draws AS (
   SELECT draw, 1 + CAST(floor({sql_uniform(use, 'draw')} * (SELECT CAST(count(*) AS DOUBLE) FROM source)) AS BIGINT) AS place
-  FROM (SELECT unnest(range(0, (SELECT count(*) FROM source))) AS draw)),
-picked AS (SELECT d.draw, r.* EXCLUDE (place) FROM draws d JOIN ranked r USING (place))"""
+  FROM (SELECT unnest(range(0, {missing})) AS draw)),
+picked AS (SELECT d.draw, r.* EXCLUDE (place) FROM draws d JOIN ranked_sources r USING (place))"""
+
+
+def sql_rebalanced(manifest: str, key: str) -> str:
+    """CTEs ending in ``picked``: what raises the rarest train class of ``manifest`` to the largest."""
+    draws = sql_draws("augment", "train_part", key, "(SELECT min_by(label, (n, label)) FROM train_sizes)", "(SELECT max(n) - min(n) FROM train_sizes)")
+    return f"""train_part AS (SELECT * FROM {manifest} WHERE split = 'train'),
+train_sizes AS (SELECT label, count(*) AS n FROM train_part GROUP BY label), {draws}"""
+
+
+SQL_COPY = "'aug_' || CAST(label AS VARCHAR) || '_' || CAST(draw AS VARCHAR)"
 
 
 @query(
@@ -59,7 +71,7 @@ def augmentation_plan(spark, folder):
     "augmented_manifest",
     f"""WITH {SAMPLES}, {sql_draws('augment')}
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, label, lang, CAST(NULL AS VARCHAR) AS split FROM samples
-UNION ALL SELECT 'aug_0_' || CAST(draw AS VARCHAR), 0, NULL, 'train' FROM picked""",
+UNION ALL SELECT 'aug_0_' || CAST(draw AS VARCHAR), 0, lang, 'train' FROM picked""",
 )
 def augmented_manifest(spark, folder):
     rows = samples(spark, folder).select("doc_id", "label", "lang").withColumn("split", F.lit(None).cast("string"))
@@ -67,12 +79,30 @@ def augmented_manifest(spark, folder):
     return ops.append_plan(rows, plan, "doc_id", "label")
 
 
-@query("rebalanced_manifest")
+@query(
+    "rebalanced_manifest",
+    f"""WITH {SAMPLES}, {sql_split('samples')}, {sql_rebalanced('parted', 'doc_id')}
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, label, lang, split FROM parted
+UNION ALL SELECT {SQL_COPY}, label, lang, 'train' FROM picked""",
+)
 def rebalanced_manifest(spark, folder):
-    manifest = stratified_split(samples(spark, folder).select("doc_id", "label"), "doc_id", "label")
+    manifest = stratified_split(samples(spark, folder).select("doc_id", "label", "lang"), "doc_id", "label")
     return rebalanced(manifest, "doc_id", "label")
 
 
+@query(
+    "improved_condition",
+    f"""WITH {sql_split('embeddings', 'vec_id')}, train_rows AS (SELECT * FROM parted WHERE split = 'train'),
+{sql_probs('train_rows')}, {sql_flagged('pbnr')},
+corrected AS (SELECT * FROM parted WHERE vec_id NOT IN (SELECT vec_id FROM flagged)), {sql_rebalanced('corrected', 'vec_id')}
+SELECT CAST(vec_id AS VARCHAR) AS vec_id, label, split, round(CAST(embedding[1] AS DOUBLE), 6) AS first_feature FROM corrected
+UNION ALL SELECT {SQL_COPY}, label, 'train', round(CAST(embedding[1] AS DOUBLE), 6) FROM picked""",
+)
+def improved(spark, folder):
+    manifest = improved_condition(split_embeddings(spark, folder), "vec_id", "label", "embedding")
+    return rounded(manifest.withColumn("first_feature", F.col("embedding")[0].cast("double")).drop("embedding"), "first_feature")
+
+
 @query("apply_augmentation")
 def apply_augmentation(spark, folder):
     images = embedding_images(spark, folder)

@@ -165,6 +165,12 @@ def centroid_scorer(
     return lambda rows: rows.withColumn("probs", centroid_probabilities(rows, vec, centroids))
 
 
+def next_batch(labeled: DataFrame, pool: DataFrame, key: str, label: str, vec: str, k: int, method: str = "entropy") -> DataFrame:
+    """The ``k`` rows of the pool to label next: fit on the labelled rows, score, choose."""
+    scorer = centroid_scorer(labeled, label, vec, class_list(labeled, label))
+    return most_uncertain(scorer(pool), key, "probs", k, method)
+
+
 def active_learning_loop(
     labeled: DataFrame,
     pool: DataFrame,

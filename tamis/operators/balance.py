@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from tamis.functions.images import resize, rgb
 from tamis.functions.keyed import SEED, key_code, key_uniform
 from tamis.operators.splits import sample_with_replacement
-from tamis.session import join_salted
+from tamis.session import join_wanted, materialise
 
 # Chances and ranges of the augmentation steps; fixed values.
 FLIP_CHANCE = 0.5
@@ -42,12 +41,7 @@ def naive_oversample(
     if missing == 0:
         return df
     draws = sample_with_replacement(source, key, missing, seed, "oversample")
-    salts = _salts(missing, target_count - missing)
-    return df.unionByName(join_salted(draws, source, key, "draw", salts).drop("draw"))
-
-
-def _salts(copies: int, sources: int) -> int:
-    return math.ceil(copies / max(1, sources) / COPIES_PER_TASK)
+    return df.unionByName(join_wanted(materialise(draws), source, key, "draw", COPIES_PER_TASK).drop("draw"))
 
 
 def augmentation_plan(
@@ -79,8 +73,15 @@ def augmentation_plan(
 
 
 def append_plan(df: DataFrame, plan: DataFrame, key: str, label: str) -> DataFrame:
-    """The manifest with one row per planned copy; other columns of a copy are NULL."""
-    added = plan.select(F.col("aug_key").alias(key), label, "split")
+    """The manifest with one row per planned copy, which carries its source's other columns.
+
+    The key becomes a string. A source that is not in ``df`` has no copies.
+    """
+    taken = {key, label, "split"}
+    sources = df.select(F.col(key).alias("source_key"), *[c for c in df.columns if c not in taken])
+    wanted = materialise(plan.select(F.col("aug_key").alias("_copy"), "source_key", F.col(label).alias("_label"), F.col("split").alias("_split")))
+    copies = join_wanted(wanted, sources, "source_key", "_copy", COPIES_PER_TASK).drop("source_key")
+    added = copies.withColumnsRenamed({"_copy": key, "_label": label, "_split": "split"})
     base = df.withColumn(key, F.col(key).cast("string"))
     return base.unionByName(added, allowMissingColumns=True)
 
@@ -106,8 +107,7 @@ def apply_augmentation(
     """Render the planned copies as pixel rows (BGR, three channels)."""
     pixels = images.select(F.col(key).alias("source_key"), "height", "width", "nChannels", "data")
     noise_seed = F.conv(F.substring(key_code("aug_key", "noise pixels", seed), 1, 8), 16, 10).cast("bigint")
-    wanted = plan.agg(F.count("*").alias("copies"), F.approx_count_distinct("source_key").alias("sources")).first()
-    work = join_salted(plan, pixels, "source_key", "aug_key", _salts(wanted.copies, wanted.sources))
+    work = join_wanted(materialise(plan), pixels, "source_key", "aug_key", COPIES_PER_TASK)
     work = work.withColumn("noise_seed", noise_seed)
     # A copy grows to size * 3 bytes: hand them out in small batches.
     chunk = max(1, (16 << 20) // (size[0] * size[1] * 3))

@@ -137,17 +137,13 @@ def rebalanced(manifest: DataFrame, key: str, label: str, seed: int = SEED) -> D
     balance = audit.imbalance(train, label).first()
     target = train.filter(F.col(label) == balance.majority_class).count()
     plan = augmentation_plan(train, key, label, balance.minority_class, target, seed)
+    # A copy has the features of its source, so that any probe can be fitted on the result.
     return append_plan(manifest, plan, key, label)
 
 
-def improved_condition(
-    manifest: DataFrame, key: str, label: str, vec: str, n_rounds: int, batch_size: int, seed: int = SEED
-) -> dict[str, DataFrame]:
-    """Correct label noise, rebalance, then label in rounds: the manifest and the history."""
-    corrected = noise_corrected(manifest, key, label, vec, seed=seed)
-    parts = active_parts(corrected, key, label)
-    history = active_learning_loop(*parts, key, label, vec, n_rounds, batch_size, seed=seed)
-    return {"manifest": rebalanced(corrected, key, label, seed), "history": history}
+def improved_condition(manifest: DataFrame, key: str, label: str, vec: str, k: int = 5, seed: int = SEED) -> DataFrame:
+    """Likely wrong labels removed from the train rows, then the rarest class raised."""
+    return rebalanced(materialise(noise_corrected(manifest, key, label, vec, k, seed)), key, label, seed)
 
 
 def active_parts(manifest: DataFrame, key: str, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:

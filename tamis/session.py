@@ -119,17 +119,26 @@ def join_by_size(
     return left.join(F.broadcast(hot), on).unionByName(calm.join(cold, on))
 
 
-def join_salted(left: DataFrame, right: DataFrame, on: str, spread: str, salts: int) -> DataFrame:
-    """Inner join to unique but wide rows that are each wanted very often.
+def join_wanted(left: DataFrame, right: DataFrame, on: str, spread: str, per_task: int) -> DataFrame:
+    """Inner join to unique but wide rows, some of which are wanted very often.
 
-    Every right row is repeated ``salts`` times and the left rows are spread over the
-    copies by ``spread``; nothing is broadcast or fetched.
+    Only right rows that are wanted take part. A right row wanted more than ``per_task``
+    times is repeated by its own count, and its left rows are spread over the copies by
+    ``spread``. ``left`` is read twice: pass a materialised one.
     """
-    if salts <= 1:
+    counts = left.groupBy(on).agg(F.count("*").alias("_wanted"))
+    right = join_small(right, counts.select(on), on, "left_semi")
+    hot = bounded(counts.filter(F.col("_wanted") > per_task))
+    while hot is None:
+        per_task *= 10
+        hot = bounded(counts.filter(F.col("_wanted") > per_task))
+    if hot.isEmpty():
         return left.join(right, on)
-    numbers = F.sequence(F.lit(0), F.lit(salts - 1))
-    copies = right.withColumn("_salt", F.explode(numbers))
-    return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(copies, [on, "_salt"]).drop("_salt")
+    copies = hot.select(on, F.ceil(F.col("_wanted") / F.lit(per_task)).cast("int").alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = left.join(F.broadcast(copies), on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
+    repeated = right.join(F.broadcast(copies), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(repeated, [on, "_salt"]).drop("_salt")
 
 
 def as_col(column: str | Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tamis.operators import balance, outliers
 from tamis.operators.splits import stratified_split
 from tamis.plans import curation
+from tamis.session import join_wanted
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +53,19 @@ def test_rebalanced_manifest(rows):
     balanced = curation.rebalanced(parted, "key", "label")
     counts = {r.label: r["count"] for r in balanced.filter("split = 'train'").groupBy("label").count().collect()}
     assert counts == {0: 63, 1: 63}
-    assert balanced.filter("key LIKE 'aug_1_%' AND text IS NULL").count() == 56
+    copies = balanced.filter("key LIKE 'aug_1_%'")
+    assert copies.count() == 56
+    # A copy carries the other columns of a train row of its class.
+    texts = parted.filter("split = 'train' AND label = 1").select("text")
+    assert copies.join(texts, "text", "left_semi").count() == 56
+
+
+def test_a_much_wanted_row_is_spread_by_its_own_count(spark):
+    wanted = spark.range(50).select(F.concat(F.lit("c"), "id").alias("copy"), F.when(F.col("id") < 45, 0).otherwise(F.col("id")).alias("src"))
+    wide = spark.createDataFrame([(i, f"row {i}") for i in range(60)], "src bigint, body string")
+    joined = join_wanted(wanted, wide, "src", "copy", 10)
+    assert joined.columns == ["src", "copy", "body"] and joined.count() == 50
+    assert joined.filter("body = concat('row ', src)").count() == 50
 
 
 def cloud(spark, n=400, strays=8):

@@ -177,12 +177,14 @@ def test_conditions_end_to_end(spark, tmp_path):
     df = spark.createDataFrame(rows, "key bigint, label int, vec array<float>")
     manifest = stratified_split(df, "key", "label").cache()
     path = str(tmp_path / "runs")
-    for condition in ("baseline", "dcai_improved"):
-        summary = curation.log_condition(manifest, condition, "key", "label", "vec", "exp", path, n_runs=2).first()
+    improved = curation.improved_condition(manifest, "key", "label", "vec")
+    assert improved.filter("key LIKE 'aug_%'").count() > 0
+    for condition, rows in (("baseline", manifest), ("dcai_improved", improved)):
+        summary = curation.log_condition(rows, condition, "key", "label", "vec", "exp", path, n_runs=2).first()
         assert summary.n_runs == 2 and summary["mean"] > 0.7
     stored = log.read_runs(spark, path, "exp", "baseline")
     assert stored.count() == 2 * 2 * 6
     result = curation.compare_conditions(spark, path, "exp", str(tmp_path / "table.csv"))
-    assert result["t_test"].first().t_statistic == pytest.approx(0.0)
+    assert result["t_test"].first().condition_b == "dcai_improved"
     with pytest.raises(ValueError):
         experiments.run_condition(manifest, "odd", "key", "label", "vec", "exp")
