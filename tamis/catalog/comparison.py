@@ -285,6 +285,6 @@ def significance_test(spark, folder):
 @query("run_condition")
 def run_condition(spark, folder):
     runs = experiments.run_condition(
-        split_embeddings(spark, folder), "baseline", "vec_id", "label", "embedding", "probe", n_runs=2, max_iter=5
+        split_embeddings(spark, folder), "baseline", "vec_id", "label", "embedding", "probe"
     )
     return rounded(runs, "value")

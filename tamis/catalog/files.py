@@ -14,14 +14,13 @@ from tamis.operators.balance import apply_augmentation, augmentation_plan
 from tamis.operators.cleaning import has_image_suffix, inspect_files, faulty_files, validation_summary
 from tamis.operators.images import normalization_stats, pixel_stats
 from tamis.operators.splits import stratified_split
-from tamis.session import scratch_path
+from tamis.session import scratch_path, small_rows
 from tamis.sources.files import category_layout, class_dirs, enough_files
 from tamis.sources.manifests import read_manifest, write_manifest, write_norm_stats, write_samples
 
 # Suffix a document's listed file gets from its source; others get .png.
 SUFFIXES = {"src0": ".PNG", "src1": ".jpeg", "src2": ".txt", "src3": ".bmp", "src4": ".Jpg", "src5": ".gif"}
 CLASS_MAP = {"en": 0, "de": 1, "fr": 2}
-CATEGORIES = [f"src{i}" for i in range(20)]
 
 SQL_SUFFIX = "CASE source " + " ".join(f"WHEN '{s}' THEN '{x}'" for s, x in SUFFIXES.items()) + " ELSE '.png' END"
 SQL_LISTING = f"""listing AS (
@@ -108,7 +107,8 @@ def category_layout_manifest(spark, folder):
 
 @query("combined_categories_manifest", SQL_LAYOUT)
 def combined_categories_manifest(spark, folder):
-    return category_layout(category_listing(spark, folder), CATEGORIES)
+    found = small_rows(table(spark, folder, "documents").select("source").distinct(), "categories")
+    return category_layout(category_listing(spark, folder), [r.source for r in found])
 
 
 @query(
@@ -252,5 +252,5 @@ def augmented_image_round_trip(spark, folder):
     images = embedding_images(spark, folder)
     plan = augmentation_plan(images, "vec_id", "label", 0, class_target(images))
     path = scratch_path(spark, "augmented")
-    write_samples(apply_augmentation(images, plan, "vec_id", (16, 16)), path)
+    write_samples(apply_augmentation(images, plan, "vec_id"), path)
     return spark.read.parquet(path)

@@ -11,8 +11,6 @@ from tamis.operators.splits import stratified_split
 from tamis.plans.curation import noise_corrected, validate_detector
 from tamis.session import materialise
 
-CLASSES = list(range(10))
-
 
 def sql_probs(source: str = "embeddings") -> str:
     """CTEs ending in ``probs`` (vec_id, label, fold, class, p) for the rows of ``source``."""
@@ -95,9 +93,9 @@ severity AS (
   FROM own JOIN others USING (vec_id) JOIN entropies USING (vec_id))"""
 
 
-def sql_issues(rank_by: str, method: str = "pbnr") -> str:
+def sql_issues(rank_by: str, method: str = "pbnr", source: str = "embeddings") -> str:
     order = "DESC" if rank_by == "confidence_weighted_entropy" else "ASC"
-    return f"""WITH {sql_probs()}, {sql_flagged(method)}, {SQL_SCORES}
+    return f"""WITH {sql_probs(source)}, {sql_flagged(method)}, {SQL_SCORES}
 SELECT vec_id, label, round({rank_by}, 6) AS score,
        row_number() OVER (ORDER BY {sql_units(rank_by)} {order}, {sql_code('tie', 'vec_id')}) AS issue_rank
 FROM severity WHERE vec_id IN (SELECT vec_id FROM flagged)"""
@@ -128,10 +126,24 @@ def oos_probabilities(spark, folder):
     return rounded(long, "p")
 
 
+# Labels that neither count from 0 nor are without gaps.
+SQL_GAPPED = """gapped AS (SELECT vec_id, embedding, CAST(label * label + 3 AS INTEGER) AS label FROM embeddings WHERE label <> 4)"""
+
+
+@query(
+    "label_issues_gapped_labels",
+    sql_issues("self_confidence", source="gapped").replace("WITH ", f"WITH {SQL_GAPPED}, ", 1),
+)
+def label_issues_gapped_labels(spark, folder):
+    rows = embeddings(spark, folder).filter("label <> 4").withColumn("label", (F.col("label") * F.col("label") + 3).cast("int"))
+    scored = materialise(ops.oos_probabilities(rows, "vec_id", "label", "embedding"))
+    return rounded(ops.label_issues(scored, "vec_id", "label"), "score")
+
+
 @query("oos_probabilities_logistic")
 def oos_probabilities_logistic(spark, folder):
     return ops.oos_probabilities_logistic(
-        embeddings(spark, folder), "vec_id", "label", "embedding", max_iter=5
+        embeddings(spark, folder), "vec_id", "label", "embedding"
     )
 
 
@@ -313,6 +325,8 @@ def evaluate_probe(spark, folder):
     from tamis.operators.metrics import predictions
 
     parted = split_embeddings(spark, folder)
-    scorer = centroid_scorer(select_split(parted, "train"), "label", "embedding", CLASSES)
-    scored = predictions(scorer(select_split(parted, "test")), "vec_id", "label", "probs")
+    train = select_split(parted, "train")
+    classes = ops.class_list(train, "label")
+    scorer = centroid_scorer(train, "label", "embedding", classes)
+    scored = predictions(scorer(select_split(parted, "test")), "vec_id", "label", "probs", classes=classes)
     return rounded(scored, "positive_prob")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def margin_uncertainty(probs: str | Column) -> Column:
 
 
 def largest_other(probs: str | Column, label: str | Column) -> Column:
-    """Largest probability among the classes other than ``label``."""
+    """Largest probability among the places other than ``label``."""
     return F.array_max(
         F.transform(as_col(probs), lambda p, j: F.when(j != as_col(label), p))
     )
@@ -43,11 +45,20 @@ def own_probability(probs: str | Column, label: str | Column) -> Column:
     return F.element_at(as_col(probs), as_col(label).cast("int") + 1)
 
 
-def softmax(logits: Column) -> Column:
-    """Normalised exponentials with the usual shift by the maximum."""
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(shifted, lambda x: x / total)
+def place_of(label: str | Column, classes: Sequence) -> Column:
+    """Where in ``classes`` the label is (from 0); NULL for a label that is not among them."""
+    if list(classes) == list(range(len(classes))):
+        place = as_col(label).cast("int")
+        return F.when(place.between(0, len(classes) - 1), place)
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), as_col(label))
+    return F.when(place > 0, place - 1).cast("int")
+
+
+def class_at(place: str | Column, classes: Sequence) -> Column:
+    """The class at a place (from 0)."""
+    if list(classes) == list(range(len(classes))):
+        return as_col(place).cast("int")
+    return F.element_at(F.array(*[F.lit(c) for c in classes]), as_col(place).cast("int") + 1)
 
 
 def squared_distance(a: str | Column, b: str | Column) -> Column:
@@ -68,7 +79,7 @@ def vector_sums(
 ) -> DataFrame:
     """Per group: ``n``, ``sums`` and, on request, ``squares`` per dimension.
 
-    Vectors of different lengths are an error.     Pre-aggregated in every task, so hot groups cost no more than others.
+    Vectors of different lengths are an error. Pre-aggregated in every task, so hot groups cost no more than others.
     """
     dim = dim or vector_dim(df, vec)
     powers = {"sums": 1, "squares": 2} if squares else {"sums": 1}

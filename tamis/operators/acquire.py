@@ -203,6 +203,7 @@ def active_learning_loop(
     if fit is None:
         classes, dim = sorted({r[label] for r in sizes}), vector_dim(labeled, vec)
         fit = lambda rows: centroid_scorer(rows, label, vec, classes, dim)
+        score = score or (lambda scored: evaluate(scored, key, label, classes=classes if 1 in classes else None))
     score = score or (lambda scored: evaluate(scored, key, label))
     revealed: DataFrame | None = None
     n_revealed = 0

@@ -8,20 +8,20 @@ pruning and ranking. Only tables of class size reach the driver.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.arrow import once
 from tamis.functions.keyed import SEED, key_uniform, random_order, score_order
-from tamis.functions.vectors import argmax_index, entropy, largest_other, own_probability, vector_sums
+from tamis.functions.vectors import argmax_index, class_at, entropy, largest_other, own_probability, place_of, vector_sums
 from tamis.operators.cleaning import drop_listed, update_listed
 from tamis.operators.ranking import global_rank, rank_band
 from tamis.operators.splits import stratified_kfold
-from tamis.session import join_small, local_table, small_rows
+from tamis.session import join_small, local_table, materialise, small_rows
 
 # Steepness of the probe's softmax over squared distances.
 SHARPNESS = 10.0
@@ -36,6 +36,20 @@ def class_list(df: DataFrame, label: str) -> list:
     return sorted(r[0] for r in small_rows(df.select(label).distinct(), "classes") if r[0] is not None)
 
 
+def class_places(df: DataFrame, label: str, probs: str, classes: Sequence | None = None) -> list:
+    """The class at every place of ``probs``: those given, else the sorted classes of the rows
+    when there is one for each place, else 0..K-1. Anything else must be given."""
+    if classes is not None:
+        return list(classes)
+    found = class_list(df, label)
+    size = df.agg(F.max(F.size(probs)).alias("k")).first().k
+    if size is None or len(found) == size:
+        return found
+    if set(found) <= set(range(size)):
+        return list(range(size))
+    raise ValueError(f"{len(found)} classes for {size} probabilities: name the classes in order")
+
+
 def centroid_table(
     df: DataFrame, label: str, vec: str, classes: list, fold: str | None = None, dim: int | None = None
 ) -> np.ndarray:
@@ -128,21 +142,25 @@ def oos_probabilities_logistic(
     max_iter: int = 20,
     reg: float = 0.01,
 ) -> DataFrame:
-    """The same with a multinomial logistic regression per fold; labels must be 0..K-1."""
+    """The same with a multinomial logistic regression per fold.
+
+    A class that the rows of a fit lack has probability 0.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     folded = stratified_kfold(df.select(key, label, vec), key, label, k, seed)
-    rows = folded.select(
-        key, F.col(label).alias("_y"), "fold", array_to_vector(F.col(vec)).alias("_x")
-    )
+    classes = class_list(df, label)
+    place = place_of(label, classes).cast("double")
+    # Every fit and every fold reads these rows.
+    rows = materialise(folded.select(key, label, place.alias("_y"), "fold", array_to_vector(F.col(vec)).alias("_x")))
     fit = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=max_iter, regParam=reg, family="multinomial")
     scored = None
     for f in range(k):
-        model = fit.fit(rows.filter(F.col("fold") != f))
-        part = model.transform(rows.filter(F.col("fold") == f)).select(
-            key, F.col("_y").alias(label), "fold", vector_to_array("probability").alias("probs")
-        )
+        model = fit.fit(rows.filter((F.col("fold") != f) & F.col("_y").isNotNull()))
+        absent = F.array_repeat(F.lit(0.0), len(classes) - model.numClasses)
+        probs = F.concat(vector_to_array("probability"), absent)
+        part = model.transform(rows.filter(F.col("fold") == f)).select(key, label, "fold", probs.alias("probs"))
         scored = part if scored is None else scored.unionByName(part)
     return scored
 
@@ -150,10 +168,11 @@ def oos_probabilities_logistic(
 # --- confident learning ------------------------------------------------------------
 
 
-def class_thresholds(df: DataFrame, label: str, probs: str = "probs") -> DataFrame:
-    """Per class: rows and mean own probability (9 digits)."""
-    own = own_probability(probs, label)
-    return df.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(own), 9).alias("threshold"))
+def class_thresholds(df: DataFrame, label: str, probs: str = "probs", classes: Sequence | None = None) -> DataFrame:
+    """Per class: rows and mean own probability (9 digits). Rows without a known label are left out."""
+    place = place_of(label, class_places(df, label, probs, classes))
+    own = own_probability(probs, place)
+    return df.filter(place.isNotNull()).groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(own), 9).alias("threshold"))
 
 
 def suggested_class(probs: str, thresholds: list[float]) -> Column:
@@ -163,29 +182,34 @@ def suggested_class(probs: str, thresholds: list[float]) -> Column:
     return F.when(F.array_max(eligible) >= 0, argmax_index(eligible)).cast("int")
 
 
-def confident_joint(df: DataFrame, label: str, probs: str = "probs") -> DataFrame:
+def _confident(df: DataFrame, label: str, probs: str, classes: list) -> tuple[list, Column]:
+    """Rows of the class table, and the place of the class that a row's probabilities suggest."""
+    found = small_rows(class_thresholds(df, label, probs, classes), "classes")
+    # A class without rows has no threshold and attracts nothing.
+    limits = dict.fromkeys(classes, math.inf) | {r[label]: r.threshold for r in found}
+    return found, suggested_class(probs, [limits[c] for c in classes])
+
+
+def confident_joint(df: DataFrame, label: str, probs: str = "probs", classes: Sequence | None = None) -> DataFrame:
     """(``label``, ``suggested``, ``n``, ``calibrated``, ``quota``) for every cell that holds rows.
 
-    ``calibrated`` scales each label's cells to its true count; ``quota`` rounds it.
+    ``calibrated`` scales each label's cells to its true count; ``quota`` rounds it. The
+    cells, up to the square of the number of classes, stay in Spark.
     """
-    classes = small_rows(class_thresholds(df, label, probs), "classes")
-    size = df.select(F.size(probs).alias("k")).first().k
-    # A class without rows has no threshold and attracts nothing.
-    limits = [math.inf] * size
-    for c in classes:
-        limits[c[label]] = c.threshold
-    cells = df.groupBy(label, suggested_class(probs, limits).alias("suggested")).agg(F.count("*").alias("n"))
-    found = {(r[label], r.suggested): r.n for r in small_rows(cells.filter("suggested IS NOT NULL"), "cells")}
-    table = []
-    for c in classes:
-        i = c[label]
-        mine = {j: n for (own, j), n in found.items() if own == i} or {i: c.n}
-        total = sum(mine.values())
-        for j, n in sorted(mine.items()):
-            calibrated = n / total * c.n
-            table.append((i, j, n, calibrated, math.floor(calibrated + 0.5)))
-    ddl = f"`{label}` int, suggested int, n bigint, calibrated double, quota bigint"
-    return local_table(df.sparkSession, table, ddl)
+    classes = class_places(df, label, probs, classes)
+    found, suggested = _confident(df, label, probs, classes)
+    cells = df.select(label, class_at(suggested, classes).alias("suggested")).filter("suggested IS NOT NULL")
+    cells = materialise(cells.groupBy(label, "suggested").agg(F.count("*").alias("_n")))
+    kind = df.schema[label].dataType.simpleString()
+    sizes = local_table(df.sparkSession, [(r[label], r.n) for r in found], f"`{label}` {kind}, _size bigint")
+    # A label without a confident row stands for itself.
+    filled = F.broadcast(sizes).join(cells, label, "left").select(
+        label, F.coalesce("suggested", F.col(label)).alias("suggested"), F.coalesce("_n", "_size").alias("n"), "_size"
+    )
+    # At most one row per class in a partition.
+    total = F.sum("n").over(Window.partitionBy(label))
+    scaled = filled.withColumn("calibrated", F.col("n") / total * F.col("_size")).drop("_size")
+    return scaled.withColumn("quota", F.floor(F.col("calibrated") + 0.5))
 
 
 def rank_score(label: str, probs: str, rank_by: str) -> Column:
@@ -202,15 +226,18 @@ def rank_score(label: str, probs: str, rank_by: str) -> Column:
 
 def _pruned_by_noise_rate(df: DataFrame, key: str, label: str, probs: str, joint: DataFrame) -> DataFrame:
     """Per (label i, class j): the ``quota`` rows of i with the largest p_j - p_i."""
-    quotas = joint.filter((F.col(label) != F.col("suggested")) & (F.col("quota") > 0)).select(
-        label, F.col("suggested").alias("_other"), "quota"
+    quotas = materialise(
+        joint.filter((F.col(label) != F.col("suggested")) & (F.col("quota") > 0)).select(label, F.col("suggested").alias("_other"), "quota")
     )
-    cells = df.select(key, label, own_probability(probs, label).alias("_own"), F.posexplode(probs).alias("_other", "_p"))
-    cells = cells.join(F.broadcast(quotas), [label, "_other"]).drop("quota")
-    largest_gap = score_order(F.col("_p") - F.col("_own"), key, descending=True)
+    # At most one entry per class; only classes with a quota become rows.
+    others = quotas.groupBy(label).agg(F.collect_list("_other").alias("_others"))
+    own = own_probability(probs, label)
+    gaps = F.transform("_others", lambda j: F.struct(j.alias("_other"), (F.col(probs)[j] - own).alias("_gap")))
+    cells = materialise(join_small(df, others, label).select(key, label, F.inline(gaps)))
+    largest_gap = score_order("_gap", key, descending=True)
 
     def bounds(sizes: DataFrame) -> DataFrame:
-        return sizes.join(F.broadcast(quotas), [label, "_other"]).withColumn("bounds", F.array("quota"))
+        return join_small(sizes, quotas, [label, "_other"]).withColumn("bounds", F.array("quota"))
 
     banded = rank_band(cells, largest_gap, bounds, [label, "_other"], "_band")
     return banded.filter("_band = 0").select(key).distinct()
@@ -223,7 +250,7 @@ def _pruned_by_class(df: DataFrame, key: str, label: str, probs: str, joint: Dat
     least_sure = score_order(own_probability(probs, label), key)
 
     def bounds(sizes: DataFrame) -> DataFrame:
-        return sizes.join(F.broadcast(quotas), label).withColumn("bounds", F.array("quota"))
+        return join_small(sizes, quotas, label).withColumn("bounds", F.array("quota"))
 
     banded = rank_band(df.select(key, label, probs), least_sure, bounds, [label], "_band")
     return banded.filter("_band = 0").select(key)
@@ -236,30 +263,33 @@ def label_issues(
     probs: str = "probs",
     method: str = "pbnr",
     rank_by: str = "self_confidence",
+    classes: Sequence | None = None,
 ) -> DataFrame:
     """Likely mislabelled rows, worst first: (``key``, ``label``, ``score``, ``issue_rank``).
 
-    ``df`` is read several times: pass materialised probabilities.
+    ``classes`` names the class at every place of ``probs``, see ``class_places``. Rows whose
+    label is NULL or not among them are never listed. ``df`` is read several times: pass
+    materialised probabilities.
     """
     if method not in PRUNE_METHODS:
         raise ValueError(f"method must be one of {PRUNE_METHODS}")
-    score = rank_score(label, probs, rank_by)
-    rows = df.select(key, label, probs)
-    joint = confident_joint(rows, label, probs)
+    classes = class_places(df, label, probs, classes)
+    places = list(range(len(classes)))
+    place = "_place"
+    score = rank_score(place, probs, rank_by)
+    rows = df.select(key, place_of(label, classes).alias(place), probs)
     if method == "confident_joint":
-        limits = [math.inf] * rows.select(F.size(probs).alias("k")).first().k
-        for c in small_rows(class_thresholds(rows, label, probs), "classes"):
-            limits[c[label]] = c.threshold
-        hit = rows.filter(suggested_class(probs, limits) != F.col(label))
+        hit = rows.filter(_confident(rows, place, probs, places)[1] != F.col(place))
     else:
+        joint = confident_joint(rows, place, probs, places)
         listed = None
         if method in ("pbnr", "both"):
-            listed = _pruned_by_noise_rate(rows, key, label, probs, joint)
+            listed = _pruned_by_noise_rate(rows, key, place, probs, joint)
         if method in ("pbc", "both"):
-            least = _pruned_by_class(rows, key, label, probs, joint)
+            least = _pruned_by_class(rows, key, place, probs, joint)
             listed = least if listed is None else listed.join(least, key)
         hit = join_small(rows, listed, key, "left_semi")
-    hit = hit.filter(argmax_index(probs) != F.col(label)).select(key, label, score.alias("score"))
+    hit = hit.filter(argmax_index(probs) != F.col(place)).select(key, class_at(place, classes).alias(label), score.alias("score"))
     worst_first = score_order("score", key, descending=rank_by == "confidence_weighted_entropy")
     return global_rank(hit, worst_first, "issue_rank")
 
@@ -272,10 +302,17 @@ def remove_flagged(df: DataFrame, issues: DataFrame, key: str) -> DataFrame:
 
 
 def relabel_flagged(
-    df: DataFrame, issues: DataFrame, scored: DataFrame, key: str, label: str, min_confidence: float | None = None
+    df: DataFrame,
+    issues: DataFrame,
+    scored: DataFrame,
+    key: str,
+    label: str,
+    min_confidence: float | None = None,
+    classes: Sequence | None = None,
 ) -> DataFrame:
     """Give flagged rows their most probable class, on request only when it is sure enough."""
-    best = scored.select(key, argmax_index("probs").alias("_best"), F.array_max("probs").alias("_sure"))
+    classes = class_places(scored, label, "probs", classes)
+    best = scored.select(key, class_at(argmax_index("probs"), classes).alias("_best"), F.array_max("probs").alias("_sure"))
     changes = join_small(best, issues.select(key), key)
     if min_confidence is not None:
         changes = changes.filter(F.col("_sure") >= min_confidence)

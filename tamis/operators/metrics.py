@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.keyed import SCORE_SCALE, score_units
-from tamis.functions.vectors import LOG_FLOOR, argmax_index, own_probability
+from tamis.functions.vectors import LOG_FLOOR, argmax_index, class_at, own_probability, place_of
 from tamis.session import as_col
 
 # Probabilities fall into this many equal ranges; each holds at most ~244,000 distinct values.
@@ -85,28 +85,44 @@ def auroc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> Data
     return _ranked_points(df, label, score, by, {}).select(*by, _area().alias("auroc"))
 
 
-def cross_entropy(df: DataFrame, label: str, probs: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean negative log probability of the given label."""
-    loss = -F.log(F.greatest(own_probability(probs, label), F.lit(LOG_FLOOR)))
+def _own(label: str, probs: str, classes: Sequence | None) -> Column:
+    """The label's probability; a label that is not among the classes has none."""
+    return own_probability(probs, label if classes is None else place_of(label, classes))
+
+
+def cross_entropy(df: DataFrame, label: str, probs: str, by: Sequence[str] = (), classes: Sequence | None = None) -> DataFrame:
+    """Mean negative log probability of the given label.
+
+    ``classes`` names the class at every place of ``probs``, here and below; by default 0..K-1.
+    """
+    loss = -F.log(F.greatest(_own(label, probs, classes), F.lit(LOG_FLOOR)))
     return df.groupBy(*by).agg(F.avg(loss).alias("loss"))
 
 
 def predictions(
-    df: DataFrame, key: str, label: str, probs: str, positive: int = 1, extra: Sequence[str] = ()
+    df: DataFrame,
+    key: str,
+    label: str,
+    probs: str,
+    positive: int = 1,
+    extra: Sequence[str] = (),
+    classes: Sequence | None = None,
 ) -> DataFrame:
     """(``key``, ``label``, ``prediction``, ``positive_prob``) from a probability array."""
+    best = argmax_index(probs)
+    at = positive if classes is None else list(classes).index(positive)
     return df.select(
         key,
         label,
-        argmax_index(probs).alias("prediction"),
-        F.element_at(as_col(probs), positive + 1).alias("positive_prob"),
+        (best if classes is None else class_at(best, classes)).alias("prediction"),
+        F.element_at(as_col(probs), at + 1).alias("positive_prob"),
         *extra,
     )
 
 
-def evaluate(df: DataFrame, key: str, label: str, probs: str = "probs") -> DataFrame:
+def evaluate(df: DataFrame, key: str, label: str, probs: str = "probs", classes: Sequence | None = None) -> DataFrame:
     """The whole metric suite in one row and one pass: loss, accuracy, precision, recall, f1, auroc."""
-    scored = predictions(df.withColumn("_own", own_probability(probs, label)), key, label, probs, extra=("_own",))
+    scored = predictions(df.withColumn("_own", _own(label, probs, classes)), key, label, probs, extra=("_own",), classes=classes)
     y, p = F.col(label) == 1, F.col("prediction") == 1
     count = lambda condition: F.when(condition, 1).otherwise(0)
     totals = _ranked_points(

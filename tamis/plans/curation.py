@@ -14,6 +14,7 @@ from tamis.operators.balance import append_plan, augmentation_plan
 from tamis.operators.experiments import comparison_table, error_bars, learning_curve, run_condition, run_summary, significance_test
 from tamis.operators.images import NORM_SAMPLE, normalization_stats
 from tamis.operators.label_noise import (
+    class_list,
     inject_label_noise,
     label_issues,
     oos_probabilities,
@@ -108,8 +109,9 @@ def explore(manifest: DataFrame, key: str, label: str, category: str | None = No
 def train_issues(manifest: DataFrame, key: str, label: str, vec: str, k: int = 5, seed: int = SEED) -> DataFrame:
     """Likely wrong labels among the train rows."""
     train = manifest.filter(F.col("split") == "train")
-    scored = materialise(oos_probabilities(train, key, label, vec, k, seed))
-    return label_issues(scored, key, label)
+    classes = class_list(train, label)
+    scored = materialise(oos_probabilities(train, key, label, vec, k, seed, classes))
+    return label_issues(scored, key, label, classes=classes)
 
 
 def noise_corrected(manifest: DataFrame, key: str, label: str, vec: str, k: int = 5, seed: int = SEED) -> DataFrame:

@@ -43,6 +43,37 @@ def test_confident_joint_of_the_fixture(obvious):
     assert cells == {(0, 0): (2, 2), (0, 1): (1, 1), (1, 0): (1, 1), (1, 1): (2, 2)}
 
 
+def test_labels_need_not_count_from_zero(spark, obvious):
+    named = obvious.withColumn("label", F.when(F.col("label") == 0, 5).otherwise(9))
+    for method in noise.PRUNE_METHODS:
+        found = noise.label_issues(named, "key", "label", method=method).collect()
+        assert {(r.key, r.label) for r in found} == {(2, 5), (5, 9)}
+    cells = {(r.label, r.suggested): r.quota for r in noise.confident_joint(named, "label").collect()}
+    assert cells == {(5, 5): 2, (5, 9): 1, (9, 5): 1, (9, 9): 2}
+    fixed = noise.relabel_flagged(named, noise.label_issues(named, "key", "label"), named, "key", "label")
+    assert [r.label for r in fixed.orderBy("key").collect()] == [5, 5, 9, 9, 9, 5]
+
+
+def test_a_class_without_rows_and_rows_without_a_label(spark):
+    shape = "key int, label int, probs array<double>"
+    rows = [(0, 1, [0.1, 0.8, 0.1]), (1, 1, [0.1, 0.7, 0.2]), (2, 2, [0.1, 0.1, 0.8]), (3, 2, [0.0, 0.9, 0.1]), (4, None, [0.4, 0.3, 0.3])]
+    df = spark.createDataFrame(rows, shape)
+    assert [r.key for r in noise.label_issues(df, "key", "label", classes=[0, 1, 2]).collect()] == [3]
+    with pytest.raises(ValueError, match="name the classes"):
+        noise.label_issues(df.filter("label = 1").withColumn("label", F.lit(7)), "key", "label")
+
+
+def test_a_thousand_classes(spark):
+    # Row i of class c is sure of c, but every tenth class's second row is sure of the next class.
+    size = 1000
+    base = spark.range(2 * size).select(F.col("id").alias("key"), (F.col("id") % size).cast("int").alias("label"))
+    wrong = (F.col("key") >= size) & (F.col("label") % 10 == 0)
+    sure = F.when(wrong, (F.col("label") + 1) % size).otherwise(F.col("label"))
+    probs = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.when(j == sure, 0.9).otherwise(0.1 / (size - 1)))
+    found = noise.label_issues(base.withColumn("probs", probs), "key", "label").collect()
+    assert {r.key for r in found} == {size + 10 * i for i in range(100)}
+
+
 def test_unknown_options_are_errors(obvious):
     with pytest.raises(ValueError):
         noise.label_issues(obvious, "key", "label", method="other")
