@@ -43,18 +43,32 @@ def _png_fault(data: bytes) -> str | None:
         first, at = False, end
 
 
+def _bmp_fault(data: bytes) -> str | None:
+    if len(data) < 26:
+        return "bad header"
+    number = lambda at, size: int.from_bytes(data[at : at + size], "little", signed=size == 4)
+    width, height, bits, packed = number(18, 4), abs(number(22, 4)), number(28, 2), number(30, 4)
+    if number(14, 4) >= 40 and width > 0 and height > 0 and not packed:
+        # Lines of pixels are padded to four bytes; the size field is not to be relied on.
+        end = number(10, 4) + (width * bits + 31) // 32 * 4 * height
+    else:
+        end = number(2, 4)
+    return None if end <= len(data) else "truncated"
+
+
 def fault_of(data: bytes | None) -> str | None:
-    """Why a file cannot be a whole image, or None."""
+    """Why a file cannot be a whole image, or None. Bytes after an image's end are no fault.
+
+    This looks at structure only; ``sources.files.decodable`` tells whether files decode.
+    """
     if not data:
         return "empty"
     if data.startswith(PNG_SIGNATURE):
         return _png_fault(data)
     if data.startswith(JPEG_START):
-        return None if data.rstrip(b"\x00").endswith(JPEG_END) else "truncated"
+        return None if JPEG_END in data else "truncated"
     if data.startswith(BMP_START):
-        if len(data) < 26:
-            return "bad header"
-        return None if int.from_bytes(data[2:6], "little") == len(data) else "truncated"
+        return _bmp_fault(data)
     return "unrecognised"
 
 

@@ -30,9 +30,19 @@ def label_by_position(df: DataFrame, class_name: str, classes: list[str], out: s
     return df.withColumn(out, F.when(place > 0, place - 1).cast("int"))
 
 
-def inspect_files(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """One pass over file bytes: (``key``, ``content_md5``, ``fault``); sound files have a NULL fault."""
-    return files.select(key, F.md5(content).alias("content_md5"), file_fault(F.col(content)).alias("fault"))
+def inspect_files(files: DataFrame, key: str = "path", content: str = "content", decoded: DataFrame | None = None) -> DataFrame:
+    """One pass over file bytes: (``key``, ``content_md5``, ``fault``); sound files have a NULL fault.
+
+    With ``decoded`` (``key``, ``decoded``), a file that does not decode is faulty whatever its
+    structure, and one that does may have any header, but must be whole.
+    """
+    looked = files.select(key, F.md5(content).alias("content_md5"), file_fault(F.col(content)).alias("fault"))
+    if decoded is None:
+        return looked
+    partial = F.when(F.col("fault").isin("truncated", "bad checksum"), F.col("fault"))
+    fault = F.when(F.col("decoded"), partial).when(~F.col("decoded"), F.coalesce("fault", F.lit("undecodable"))).otherwise(F.col("fault"))
+    # Narrow rows only: names, hashes and faults.
+    return looked.join(decoded, key, "left").select(key, "content_md5", fault.alias("fault"))
 
 
 def faulty_files(inspected: DataFrame, key: str = "path") -> DataFrame:
@@ -118,9 +128,11 @@ def align(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.join(other, key)
 
 
-def clean_manifest(files: DataFrame, manifest: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+def clean_manifest(
+    files: DataFrame, manifest: DataFrame, key: str = "path", content: str = "content", decoded: DataFrame | None = None
+) -> DataFrame:
     """Drop faulty files, then surplus copies, from one inspection pass over the bytes."""
-    inspected = materialise(inspect_files(files, key, content))
+    inspected = materialise(inspect_files(files, key, content, decoded))
     sound = drop_listed(manifest, faulty_files(inspected, key), key)
     return keep_first(sound, inspected.select(key, "content_md5"), key)
 

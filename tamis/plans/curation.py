@@ -23,7 +23,7 @@ from tamis.operators.label_noise import (
 )
 from tamis.operators.splits import sample_n, sample_per_class, seed_pool_split, split_crosstab, stratified_split
 from tamis.session import join_small, materialise, small_rows
-from tamis.sources.files import read_files, read_pixels, scan_categories, scan_class_dirs
+from tamis.sources.files import decodable, read_files, read_pixels, scan_categories, scan_class_dirs
 from tamis.sources.manifests import read_manifest, write_manifest, write_norm_stats
 from tamis.sources.runs import append_runs, read_runs, write_comparison
 
@@ -36,8 +36,8 @@ def class_map(classes: Sequence[str]) -> dict[str, int]:
 
 
 def validate_folder(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Faulty files, members of duplicate groups and a summary, from one read of the bytes."""
-    inspected = materialise(cleaning.inspect_files(read_files(spark, root)))
+    """Faulty files, members of duplicate groups and a summary; files are hashed and decoded once."""
+    inspected = materialise(cleaning.inspect_files(read_files(spark, root), decoded=decodable(spark, root)))
     return {
         "faulty": cleaning.faulty_files(inspected),
         "duplicates": cleaning.duplicate_members(inspected.select("path", "content_md5"), "path"),
@@ -66,14 +66,14 @@ def category_manifest(
 def cleaned_manifest(spark: SparkSession, root: str, classes: Sequence[str], path: str) -> DataFrame:
     """Class folders without faulty files and surplus copies, split, written."""
     manifest = scan_class_dirs(spark, root, class_map(classes))
-    clean = materialise(cleaning.clean_manifest(read_files(spark, root), manifest))
+    clean = materialise(cleaning.clean_manifest(read_files(spark, root), manifest, decoded=decodable(spark, root)))
     write_manifest(stratified_split(clean, "path", "label"), path)
     return read_manifest(spark, path)
 
 
-def clean_within_split(files: DataFrame, parted: DataFrame, key: str = "path") -> DataFrame:
+def clean_within_split(files: DataFrame, parted: DataFrame, key: str = "path", decoded: DataFrame | None = None) -> DataFrame:
     """Clean a manifest that is already split, so that all conditions share their test rows."""
-    return cleaning.clean_manifest(files, parted, key)
+    return cleaning.clean_manifest(files, parted, key, decoded=decoded)
 
 
 def preprocessing_stats(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.operators.cleaning import has_image_suffix
@@ -45,6 +45,17 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return _scan(spark, root, "path", "length", "content", glob=IMAGE_GLOB)
 
 
+def decodable(spark: SparkSession, root: str) -> DataFrame:
+    """(path, decoded): whether each image file below ``root`` decodes; empty files are left out."""
+    reader = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", IMAGE_GLOB)
+    return reader.load(root).select(_plain_name("image.origin").alias("path"), (F.col("image.height") > 0).alias("decoded"))
+
+
+def _plain_name(origin: str) -> Column:
+    """The image source gives URL-encoded names; manifests hold plain ones."""
+    return F.regexp_replace(F.url_decode(F.replace(origin, F.lit("+"), F.lit("%2B"))), r"^(\w+):///", "$1:/")
+
+
 def read_pixels(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """Decoded images: ``path`` and the fields of Spark's image rows; undecodable files are left out.
 
@@ -58,10 +69,7 @@ def read_pixels(spark: SparkSession, root: str | list[str]) -> DataFrame:
         .option("dropInvalid", "true")
         .load(root)
     )
-    # The image source gives URL-encoded names; manifests hold plain ones.
-    plain = F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))
-    path = F.regexp_replace(plain, r"^(\w+):///", "$1:/")
-    return images.select(path.alias("path"), "image.*").drop("origin", "mode")
+    return images.select(_plain_name("image.origin").alias("path"), "image.*").drop("origin", "mode")
 
 
 def class_dirs(listing: DataFrame, class_map: dict[str, int]) -> DataFrame:

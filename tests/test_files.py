@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from tamis.functions.images import fault_of
 from tamis.operators.balance import apply_augmentation, augmentation_plan
+from tamis.operators.cleaning import inspect_files
 from tamis.operators.images import normalization_stats, pixel_stats
 from tamis.plans import curation
-from tamis.sources.files import check_file_count, read_files, read_pixels, scan_categories, scan_class_dirs
+from tamis.sources.files import check_file_count, decodable, read_files, read_pixels, scan_categories, scan_class_dirs
 from tests.images import png, put
 
 
@@ -64,6 +65,43 @@ def test_fault_of_formats():
     assert fault_of(b"hello") == "unrecognised"
 
 
+def encoded(spark, path, kind):
+    """A small image written by the JVM in the given format; its bytes."""
+    image = spark._jvm.java.awt.image.BufferedImage(16, 16, 1)
+    for i in range(16):
+        image.setRGB(i, i, 0x336699 + 7 * i)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    assert spark._jvm.javax.imageio.ImageIO.write(image, kind, spark._jvm.java.io.File(str(path)))
+    return path.read_bytes()
+
+
+def test_sound_and_broken_files_of_every_format(spark, tmp_path):
+    root = tmp_path / "formats"
+    whole = {kind: encoded(spark, root / f"whole.{kind}", kind) for kind in ("png", "jpg", "bmp")}
+    sound = set(f"whole.{kind}" for kind in whole)
+    for kind, data in whole.items():
+        put(root / f"trailing.{kind}", data + b"some more")
+        put(root / f"cut.{kind}", data[: len(data) * 2 // 3])
+        put(root / f"empty.{kind}", b"")
+        put(root / f"text.{kind}", b"not an image at all")
+        sound.add(f"trailing.{kind}")
+    # Another format under an image's name, and a size field that nobody reads.
+    other = encoded(spark, tmp_path / "other" / "x.gif", "gif")
+    put(root / "other.png", other)
+    put(root / "size.bmp", whole["bmp"][:2] + bytes([1, 2, 3, 4]) + whole["bmp"][6:])
+    put(root / "body.jpg", b"\xff\xd8 ... \xff\xd9")
+    sound |= {"other.png", "size.bmp"}
+    inspected = inspect_files(read_files(spark, str(root)), decoded=decodable(spark, str(root)))
+    faults = {r.n: r.fault for r in inspected.select(name().alias("n"), "fault").collect()}
+    assert len(faults) == 18
+    assert {n for n, fault in faults.items() if fault is None} == sound
+    assert {n for n, fault in faults.items() if fault == "empty"} == {f"empty.{k}" for k in whole}
+    assert faults["body.jpg"] == "undecodable"
+    files = read_files(spark, str(root)).select("path").withColumn("split", F.lit("train"))
+    kept = curation.clean_within_split(read_files(spark, str(root)), files, decoded=decodable(spark, str(root)))
+    assert {r.n for r in kept.select(name().alias("n")).collect()} == sound
+
+
 def test_cleaned_manifest(spark, class_folder, tmp_path):
     rows = curation.cleaned_manifest(spark, class_folder, ["ok", "bad"], str(tmp_path / "clean.csv"))
     found = rows.select(name().alias("n"), "label", "split").collect()
