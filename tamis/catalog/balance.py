@@ -117,6 +117,28 @@ def isolation_forest(spark, folder):
     return rounded(flagged.select("vec_id", "anomaly", "is_outlier"), "anomaly")
 
 
+@query(
+    "feature_outliers_check",
+    """SELECT count(*) AS scored, CAST(floor(count(*) * 0.05::DOUBLE) AS BIGINT) AS most_flagged,
+       true AS flags_some, true AS flags_no_more, true AS flags_the_highest, true AS in_range FROM embeddings""",
+)
+def isolation_forest_check(spark, folder):
+    """What must hold of any forest: every row scored, and the flagged ones those above all others."""
+    flagged = feature_outliers(table(spark, folder, "embeddings"), "vec_id", "embedding")
+    n = F.count("*")
+    hits = F.count_if("is_outlier")
+    most = F.floor(n * 0.05).cast("bigint")
+    lowest_hit, highest_other = F.min(F.when(F.col("is_outlier"), F.col("anomaly"))), F.max(F.when(~F.col("is_outlier"), F.col("anomaly")))
+    return flagged.agg(
+        n.alias("scored"),
+        most.alias("most_flagged"),
+        (hits > 0).alias("flags_some"),
+        (hits <= most + 1).alias("flags_no_more"),
+        (lowest_hit > highest_other).alias("flags_the_highest"),
+        ((F.min("anomaly") > 0) & (F.max("anomaly") < 1)).alias("in_range"),
+    )
+
+
 @query("pixel_feature_outliers")
 def pixel_feature_outliers(spark, folder):
     """The same on cheap pixel statistics instead of embeddings."""

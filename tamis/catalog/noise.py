@@ -147,6 +147,19 @@ def oos_probabilities_logistic(spark, folder):
     )
 
 
+@query(
+    "oos_probabilities_logistic_check",
+    f"""WITH {sql_probs()}
+SELECT DISTINCT vec_id, label, fold, CAST((SELECT count(DISTINCT label) FROM embeddings) AS INTEGER) AS n_classes,
+       1.0::DOUBLE AS total FROM probs""",
+)
+def oos_probabilities_logistic_check(spark, folder):
+    """Every row once, in its fold, with a probability for each class that sum to one."""
+    scored = ops.oos_probabilities_logistic(embeddings(spark, folder), "vec_id", "label", "embedding")
+    total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p)
+    return rounded(scored.select("vec_id", "label", "fold", F.size("probs").alias("n_classes"), total.alias("total")), "total")
+
+
 @query(
     "class_thresholds",
     f"""WITH {sql_probs()}, {SQL_JOINT} SELECT class AS label, n, round(t, 6) AS threshold FROM thresholds""",

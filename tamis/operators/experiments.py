@@ -11,6 +11,7 @@ from tamis.functions.keyed import SEED, key_uniform
 from tamis.functions.stats import t_critical, t_two_sided_p
 from tamis.operators.cleaning import select_split
 from tamis.operators.metrics import evaluate
+from tamis.session import materialise
 from tamis.sources.runs import CONDITIONS, metrics_to_long, present
 
 PRIMARY_METRIC = "test_f1"
@@ -130,7 +131,8 @@ def run_condition(
 
     if condition not in CONDITIONS:
         raise ValueError(f"condition must be one of {CONDITIONS}")
-    rows = df.select(key, F.col(label).alias("_y"), "split", array_to_vector(F.col(vec)).alias("_x"))
+    # Every fit and every score reads these rows.
+    rows = materialise(df.select(key, F.col(label).alias("_y"), "split", array_to_vector(F.col(vec)).alias("_x")))
     train, *held = (select_split(rows, split) for split in ("train", "val", "test"))
     fit = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=max_iter, regParam=reg)
     log = None

@@ -11,17 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.arrow import once
-from tamis.functions.keyed import SCORE_SCALE, SEED, key_code, random_order, score_order
+from tamis.functions.keyed import SCORE_SCALE, SEED, score_order
 from tamis.functions.vectors import squared_distance, vector_sums
-from tamis.operators.ranking import cuts_at_ranks, first_in_group
-from tamis.session import join_by_size, materialise, small_rows
+from tamis.operators.ranking import cuts_at_ranks
+from tamis.session import join_by_size, join_small, materialise, small_rows
 
 CONTAMINATION = 0.05
 # Forest size and rows per tree of Liu, Ting & Zhou (2008); fixed values.
 TREES = 100
 TREE_ROWS = 256
-# Trees draw their rows from a random pool of this many times their total.
-POOL_FACTOR = 4
 # Centroids are wide: fewer of them are broadcast.
 CENTROID_ROWS = 5_000
 
@@ -93,23 +91,35 @@ def _grow(points: np.ndarray, rng: np.random.Generator, max_depth: int) -> dict[
     return nodes
 
 
+def tree_samples(df: DataFrame, key: str, seed: int, trees: int, tree_rows: int) -> DataFrame:
+    """(``key``, ``tree``, ``_place``): of every tree the ``tree_rows`` rows with the smallest hash
+    among all rows of the table, or all rows if there are fewer.
+
+    A scan keeps only the pairs of row and tree below a bound that leaves about twice the wanted
+    ones; the bound is raised until no tree is short.
+    """
+    n = df.count()
+    wanted = min(tree_rows, n)
+    numbered = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    code = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "tree", key), 2)
+    share = min(1.0, 2 * (tree_rows + 64) / max(1, n))
+    while True:
+        near = materialise(numbered.withColumn("_code", code).filter(F.col("_code") < F.lit(int(share * (1 << 62)))))
+        filled = near.groupBy("tree").agg(F.count("*").alias("n")).agg(F.count("*").alias("trees"), F.min("n").alias("least")).first()
+        if share >= 1.0 or (filled.trees == trees and filled.least >= wanted):
+            break
+        share = min(1.0, 2 * share)
+    # A small multiple of tree_rows in each partition.
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("_code", key))
+    return near.withColumn("_place", place).filter(F.col("_place") <= tree_rows).drop("_code")
+
+
 def isolation_trees(
     df: DataFrame, key: str, vec: str, seed: int = SEED, trees: int = TREES, tree_rows: int = TREE_ROWS
 ) -> DataFrame:
-    """One row per tree, grown in parallel on its own keyed sample.
-
-    The samples come from a random pool of fixed size, so growing does not depend on
-    the size of the table.
-    """
-    pool = materialise(
-        first_in_group(df.select(key, vec), random_order(key, "forest pool", seed), POOL_FACTOR * trees * tree_rows)
-    )
-    numbered = pool.select(key, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    coded = numbered.withColumn("_code", key_code(["tree", key], "tree", seed))
-    # At most the pool is in each of the groups.
-    place = F.row_number().over(Window.partitionBy("tree").orderBy("_code"))
-    chosen = coded.withColumn("_place", place).filter(F.col("_place") <= tree_rows)
-    rows = chosen.join(pool, key).select("tree", "_place", F.col(vec).alias("_vec"))
+    """One row per tree, grown in parallel on its own keyed sample of the whole table."""
+    chosen = tree_samples(df, key, seed, trees, tree_rows)
+    rows = join_small(df.select(key, vec), chosen, key).select("tree", "_place", F.col(vec).alias("_vec"))
     max_depth = math.ceil(math.log2(tree_rows))
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:

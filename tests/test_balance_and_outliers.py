@@ -91,6 +91,17 @@ def test_isolation_forest_does_not_depend_on_partitioning(spark):
     assert one == many
 
 
+@pytest.mark.parametrize("n", [0, 10, 500, 5000])
+def test_every_row_can_enter_a_tree(spark, n):
+    chosen = outliers.tree_samples(spark.range(n).withColumnRenamed("id", "key"), "key", 1, 30, 50).toPandas()
+    assert (chosen.groupby("tree").size() == min(n, 50)).all() and chosen["tree"].nunique() == (30 if n else 0)
+    assert not chosen.duplicated(["tree", "key"]).any()
+    # 1500 draws of 5000 rows leave about 5000 / e^0.3 unseen; none of the thirds may be passed over.
+    if n == 5000:
+        assert chosen["key"].nunique() > 1200
+        assert (np.histogram(chosen["key"], 3)[0] > 400).all()
+
+
 def test_expected_path_length():
     # c(n) = 2 H(n-1) - 2 (n-1) / n with the harmonic number approximated.
     assert outliers._expected_length(256) == pytest.approx(10.2448, abs=1e-3)
