@@ -55,9 +55,10 @@ def content_hashes(df: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def duplicate_groups(hashes: DataFrame, key: str) -> DataFrame:
-    """One row per group of equal content: size and first (smallest) key."""
+    """One row per group of equal content: size and first (smallest) key. Absent content equals nothing."""
     return (
-        hashes.groupBy("content_md5")
+        hashes.filter("content_md5 IS NOT NULL")
+        .groupBy("content_md5")
         .agg(F.count("*").alias("group_size"), F.min(key).alias("first_key"))
         .filter("group_size > 1")
     )
@@ -111,7 +112,7 @@ def validation_summary(inspected: DataFrame) -> DataFrame:
         total("files").alias("total_files"),
         total("corrupt").alias("n_corrupt"),
         total("unreadable").alias("n_unreadable"),
-        F.count_if(F.col("files") > 1).alias("n_duplicate_groups"),
+        F.count_if((F.col("files") > 1) & F.col("content_md5").isNotNull()).alias("n_duplicate_groups"),
     ).withColumn("is_clean", (F.col("n_corrupt") + F.col("n_unreadable")) == 0)
 
 

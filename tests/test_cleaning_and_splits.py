@@ -45,6 +45,16 @@ def test_one_group_may_hold_most_rows(spark, monkeypatch):
     assert cleaning.resolve_duplicates(df, "id", "text").count() == 151
 
 
+def test_absent_content_is_no_duplicate(spark):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a"), (5, "")], "key int, text string")
+    hashes = cleaning.content_hashes(rows, "key", "text")
+    assert [(r.group_size, r.first_key) for r in cleaning.duplicate_groups(hashes, "key").collect()] == [(2, 3)]
+    assert {r.key for r in cleaning.duplicate_members(hashes, "key").collect()} == {3, 4}
+    assert {r.key for r in cleaning.resolve_duplicates(rows, "key", "text").collect()} == {1, 2, 3, 5}
+    inspected = hashes.withColumn("fault", F.lit(None).cast("string"))
+    assert cleaning.validation_summary(inspected).first().n_duplicate_groups == 1
+
+
 def test_select_split(spark):
     rows = [(f"{i}.png", i % 2, "train" if i < 3 else "val") for i in range(4)]
     df = spark.createDataFrame(rows, "path string, label int, split string")
