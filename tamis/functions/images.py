@@ -20,6 +20,7 @@ from tamis.functions.arrow import once
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 JPEG_START = b"\xff\xd8"
 JPEG_END = b"\xff\xd9"
+JPEG_SCAN = 0xDA
 BMP_START = b"BM"
 
 
@@ -43,6 +44,14 @@ def _png_fault(data: bytes) -> str | None:
         first, at = False, end
 
 
+def _jpeg_fault(data: bytes) -> str | None:
+    """The end marker must follow the header segments, which may hold a whole preview image."""
+    at = len(JPEG_START)
+    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != JPEG_SCAN:
+        at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return None if data.find(JPEG_END, at) >= 0 else "truncated"
+
+
 def _bmp_fault(data: bytes) -> str | None:
     if len(data) < 26:
         return "bad header"
@@ -66,7 +75,7 @@ def fault_of(data: bytes | None) -> str | None:
     if data.startswith(PNG_SIGNATURE):
         return _png_fault(data)
     if data.startswith(JPEG_START):
-        return None if JPEG_END in data else "truncated"
+        return _jpeg_fault(data)
     if data.startswith(BMP_START):
         return _bmp_fault(data)
     return "unrecognised"

@@ -89,6 +89,10 @@ def test_sound_and_broken_files_of_every_format(spark, tmp_path):
     other = encoded(spark, tmp_path / "other" / "x.gif", "gif")
     put(root / "other.png", other)
     put(root / "size.bmp", whole["bmp"][:2] + bytes([1, 2, 3, 4]) + whole["bmp"][6:])
+    # A preview in a header segment ends with the end marker as well.
+    preview = b"\xff\xe1" + (2 + len(whole["jpg"])).to_bytes(2, "big") + whole["jpg"]
+    assert fault_of(whole["jpg"][:2] + preview + whole["jpg"][2:]) is None
+    assert fault_of(whole["jpg"][:2] + preview + whole["jpg"][2:-40]) == "truncated"
     put(root / "body.jpg", b"\xff\xd8 ... \xff\xd9")
     sound |= {"other.png", "size.bmp"}
     inspected = inspect_files(read_files(spark, str(root)), decoded=decodable(spark, str(root)))
