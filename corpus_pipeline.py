@@ -24,8 +24,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies the document with the smallest id stays."""
-    return simhash.one_of_each(docs)
+    """Of each group of near-copies the document with the smallest id stays.
+
+    Documents are near-copies within four bits of their fingerprints, or if their shingles of five
+    words have a Jaccard similarity of 0.8 or more.
+    """
+    return simhash.one_of_each(docs, similarity=0.8, words=5)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

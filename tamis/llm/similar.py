@@ -1,0 +1,151 @@
+"""Pairs of texts whose sets of word shingles are similar, and the groups that they join.
+
+Minimum hashes of the shingles, several to a band, bring similar texts to a common key; the
+bands are so many that a pair at the asked similarity has none in common with a probability of
+at most ``MISS``. Nothing else is estimated: pairs of a key are compared by their whole sets.
+Two rounds suffice for the groups of all such pairs. The first compares one text of each key
+with the others, which joins groups of any size in as many comparisons as they have rows; the
+second compares all pairs of a key that are not in one group yet.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tamis.llm.batches import chosen, steps, utf8
+from tamis.llm.components import components
+from tamis.session import join_by_size, join_small, join_wanted, materialise
+
+SEED = 42
+WORDS = 5
+BAND = 5
+MISS = 1e-7
+# Shingles whose minimum hashes are taken at once.
+HASH_ROWS = 4096
+# Pairs that one copy of a wanted text's shingles serves.
+PAIRS_PER_TASK = 4096
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``words`` words (or of all, if fewer)."""
+    found = text.lower().split()
+    size = min(words, len(found))
+    digest = xxhash.xxh64_intdigest
+    runs = (digest(b" ".join(found[i : i + size]), SEED) for i in range(len(found) - size + 1 if found else 0))
+    return np.unique(np.fromiter(runs, np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets of ``shingles``; empty sets are like nothing."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if both else 0.0
+
+
+def band_count(similarity: float) -> int:
+    return math.ceil(math.log(MISS) / math.log1p(-(similarity**BAND))) if similarity < 1 else 1
+
+
+def band_keys(sets: np.ndarray, bands: int) -> np.ndarray:
+    """A key per band of a set that is not empty."""
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, bands * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(bands * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(sets), HASH_ROWS):
+        np.minimum(least, (sets[at : at + HASH_ROWS, None] * factors).min(axis=0), out=least)
+    return np.array([xxhash.xxh64_intdigest(part.tobytes(), band) for band, part in enumerate(least.reshape(bands, BAND))], np.uint64)
+
+
+def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int) -> DataFrame:
+    """(id, whole, n, keys) of the rows with an id and words; ``whole`` tells the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, 1):
+            sets = [shingles(t, words) for t in utf8(batch.column(1))]
+            kept = [i for i, s in enumerate(sets) if len(s)]
+            columns = [
+                batch.column(0).take(pa.array(kept, pa.int64())),
+                pa.array(np.array([xxhash.xxh64_intdigest(sets[i].tobytes()) for i in kept], np.uint64).view(np.int64)),
+                pa.array([len(sets[i]) for i in kept], pa.int64()),
+                pa.array([band_keys(sets[i], bands).view(np.int64) for i in kept], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "whole", "n", "keys"])
+
+    base = chosen(docs, id_col, text_col).withColumn("id", F.col("id").cast("bigint")).filter("id IS NOT NULL")
+    return base.mapInArrow(run, "id bigint, whole bigint, n bigint, keys array<bigint>")
+
+
+def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b, group_a, group_b; a and b name sets) that are similar."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, 1):
+            made = [shingles(t, words).tobytes() for t in utf8(batch.column(1))]
+            whole = np.array([xxhash.xxh64_intdigest(m) for m in made], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(made, pa.binary())], ["whole", "made"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, 2):
+            left, right = (c.to_pylist() for c in batch.columns[2:])
+            close = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(left, right)]
+            yield batch.select([0, 1]).filter(pa.array(close, pa.bool_()))
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("whole")).distinct()
+    ids = join_small(nodes, wanted, "whole", "left_semi").select("id")
+    base = chosen(docs, id_col, text_col).withColumn("id", F.col("id").cast("bigint"))
+    # a repeated id may have other texts, too: only the sets that are named take part
+    found = materialise(join_small(base, ids, "id", "left_semi").mapInArrow(sets, "whole bigint, made binary").dropDuplicates(["whole"]))
+    one = join_wanted(pairs, found.select(F.col("whole").alias("a"), F.col("made").alias("left")), "a", "b", PAIRS_PER_TASK)
+    two = join_wanted(one, found.select(F.col("whole").alias("b"), F.col("made").alias("right")), "b", "a", PAIRS_PER_TASK)
+    return two.select("group_a", "group_b", "left", "right").mapInArrow(run, "group_a bigint, group_b bigint")
+
+
+def joined_groups(docs: DataFrame, groups: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(node, component): which of the given groups become one by similar texts, and its smallest.
+
+    ``groups`` (id, group) has every id once; a group is named by its smallest id. Texts are
+    similar if the Jaccard similarity of their shingles of ``words`` words is ``similarity`` or
+    more. Texts without words and rows without an id are similar to none.
+    """
+    sketches = materialise(_sketches(docs, id_col, text_col, words, band_count(similarity)))
+    one = sketches.groupBy("whole").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = materialise(one.join(groups, "id"))
+    # equal sets with several groups need no comparison
+    same = sketches.select("id", "whole").join(groups, "id").groupBy("whole").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    every = sketches.select("id", "whole").join(groups, "id").join(same.filter("low < high"), "whole")
+    links = materialise(every.select(F.col("low").alias("a"), F.col("group").alias("b")).filter("a <> b").distinct())
+    small, large = F.least("n", "n_a"), F.greatest("n", "n_a")
+    fits = small >= F.floor(large * F.lit(similarity))
+
+    for last in (False, True):
+        now = _moved(nodes, links)
+        rows = now.select(F.explode("keys").alias("key"), "whole", "n", "group")
+        sizes = rows.groupBy("key").agg(
+            F.count("*").alias("size"), F.min(F.struct("group", "whole", "n")).alias("first"), F.max("group").alias("high")
+        ).filter("first.group < high")
+        keys = materialise(sizes.select("key", "size", F.col("first.whole").alias("a"), F.col("first.n").alias("n_a"), F.col("first.group").alias("group_a")))
+        if keys.isEmpty():
+            break
+        if last:
+            mixed = materialise(join_by_size(rows, keys.select("key", "size"), "key", "size").select("key", "whole", "n", "group"))
+            mine = mixed.select("key", F.col("whole").alias("a"), F.col("n").alias("n_a"), F.col("group").alias("group_a"))
+            met = mixed.join(mine, "key").filter(F.col("group_a") < F.col("group"))
+        else:
+            met = join_by_size(rows, keys, "key", "size").filter(F.col("group_a") < F.col("group"))
+        pairs = met.filter(fits).select("a", F.col("whole").alias("b"), "group_a", F.col("group").alias("group_b")).distinct()
+        close = _similar(docs, nodes, materialise(pairs), id_col, text_col, words, similarity)
+        links = materialise(links.unionByName(close.select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))).distinct())
+    return components(links)
+
+
+def _moved(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` with the smallest group that theirs is linked to."""
+    if links.isEmpty():
+        return nodes
+    moves = components(links).select(F.col("node").alias("group"), "component")
+    return join_small(nodes, moves, "group", "left").withColumn("group", F.coalesce("component", "group")).drop("component")
