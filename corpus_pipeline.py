@@ -44,7 +44,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, with the proof that they decode to it."""
-    return pieces.round_trip(docs, keep=("lang", "source"))
+    return pieces.encode_proved(docs, keep=("lang", "source"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tamis.llm.batches import Remembered, steps, strings
-from tamis.session import materialise
+from tamis.session import join_small, materialise
 
 VOCABULARY = "piece_bpe_32k.model"
 BLANK = "▁"
@@ -352,6 +352,7 @@ def _states(matrices: DataFrame) -> DataFrame:
     return matrices.groupBy("row", "span").cogroup(spans.groupBy("row", "span")).applyInArrow(within, STATE_ROW)
 
 
+PROOF = ["n_tokens", "ids_crc32", "n_chars", "decoded_crc32"]
 STATE_NAMES = ["row", "span", "chunk", "state_in", "state_out"]
 
 
@@ -460,9 +461,8 @@ def digests(whole: DataFrame, cut: DataFrame, model: str | None = None) -> DataF
 
 def _digest(path: str, kept: StructType) -> tuple[Step, str]:
     """The step from rows of (row, chunk, ids, kept...) to digests, and the types of its rows."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    shape = f"{fields}, n_tokens bigint, ids_crc32 bigint, n_chars bigint, decoded_crc32 bigint"
-    names = [*kept.names, "n_tokens", "ids_crc32", "n_chars", "decoded_crc32"]
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} bigint" for n in PROOF)])
+    names = [*kept.names, *PROOF]
     arrow_shape = _schema(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -496,9 +496,13 @@ def _digest_giant(cut: DataFrame, path: str) -> DataFrame:
     return ordered.mapInArrow(run, shape)
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
-    """Every document encoded and decoded: (id, keep..., n_tokens, ids_crc32, n_chars,
-    decoded_crc32, round_trip). A U+2581 of the source comes back as a blank, by the model's
+def encode_proved(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
+    """``encode`` in one table, with the proof beside the ids: (id, keep..., row, chunk, ids,
+    n_tokens, ids_crc32, n_chars, decoded_crc32, round_trip).
+
+    A text below ``chunk`` characters is a row; a longer one is a row per chunk, in order of
+    ``chunk``, whose ``row`` tells repeated documents apart. The proof is that of the whole
+    document on each of its rows. A U+2581 of the source comes back as a blank, by the model's
     format; anything else must come back as it was.
 
     Whole texts are encoded and decoded by one worker, so that a task holds the vocabulary once."""
@@ -506,10 +510,25 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = F.crc32(F.replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(BLANK), F.lit(" ")))
     keep = (*keep, "_source")
     whole, giant = _by_length(docs.withColumn("_source", source), id_col, text_col, keep, chunk)
-    names, _ = _coded(whole)
+    names, shape = _coded(whole)
     short = _short(path, names)
-    run, shape = _digest(path, whole.drop("text").schema)
-    front = ["row", "chunk", "ids", *names[:-3]]
-    both = whole.mapInArrow(lambda batches: run(b.select(front) for b in short(batches)), shape)
-    found = both.unionByName(_digest_giant(_encode_giant(giant, keep, path, chunk), path))
+    run, proof_shape = _digest(path, StructType([]))
+    proof_arrow = _schema(proof_shape)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in short(batches):
+            # a document is a row, so the digests come in the order of the rows
+            found = pa.Table.from_batches(run([batch.select(["row", "chunk", "ids"])]), proof_arrow).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(c.combine_chunks() for c in found.columns)], [*names, *PROOF])
+
+    cut = materialise(_encode_giant(giant, keep, path, chunk))
+    proofs = materialise(_digest_giant(cut.select(F.col("row").alias("_row"), "row", "chunk", "ids"), path))
+    proved = join_small(cut.withColumn("_row", F.col("row")), proofs, "_row").select(*names, *PROOF)
+    found = whole.mapInArrow(both, f"{shape}, {proof_shape}").unionByName(proved)
     return found.withColumn("round_trip", F.col("decoded_crc32") == F.col("_source")).drop("_source").withColumnRenamed("id", id_col)
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
+    """A row per document of ``encode_proved``, without its ids: (id, keep..., n_tokens, ids_crc32,
+    n_chars, decoded_crc32, round_trip)."""
+    return encode_proved(docs, id_col, text_col, keep, chunk).filter("chunk = 0").drop("row", "chunk", "ids")

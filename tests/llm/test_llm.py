@@ -247,6 +247,40 @@ def test_documents_round_trip(hard, empty, chunk):
     assert pieces.round_trip(empty).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [pieces.CHUNK, 1000])
+def test_ids_of_documents_are_returned(spark, hard, empty, chunk):
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    want = sorted((str(i), model.encode(t or "")) for i, t, _, _ in HARD)
+
+    def ids(rows):
+        """The ids of every document, chunks in order."""
+        found = {}
+        for n, r in enumerate(sorted(rows, key=lambda r: r.chunk)):
+            found.setdefault((str(r.doc_id), n if r.row is None else f"giant {r.row}"), []).extend(np.frombuffer(r.ids, "<u4").tolist())
+        return sorted((i, own) for (i, _), own in found.items())
+
+    proved = pieces.encode_proved(hard, keep=("source",), chunk=chunk).collect()
+    assert ids(proved) == want and all(r.round_trip for r in proved)
+    for r in proved:
+        if r.row is None:
+            assert (r.n_tokens, r.ids_crc32) == (len(r.ids) // 4, zlib.crc32(r.ids))
+    whole, cut = pieces.encode(hard, chunk=chunk)
+    assert ids([*whole.withColumnRenamed("id", "doc_id").collect(), *cut.withColumnRenamed("id", "doc_id").collect()]) == want
+    found = pieces.digests(whole, cut).collect()
+    sums = sorted((str(i), len(own), zlib.crc32(np.array(own, "<u4").tobytes())) for i, own in want)
+    assert sorted((str(r.id), r.n_tokens, r.ids_crc32) for r in found) == sums
+    assert pieces.encode_proved(empty).count() == 0
+
+
+def test_queries_return_ids(spark, hard):
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    some = {r.doc_id: r.ids for r in queries.op3_sentencepiece(spark, FOLDER).filter("row IS NULL").collect()}
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    assert some and all(np.frombuffer(own, "<u4").tolist() == model.encode(docs[i]) for i, own in some.items())
+    last = corpus_pipeline.sentencepiece(spark, hard, FOLDER)
+    assert "ids" in last.columns and last.filter("ids IS NULL").isEmpty()
+
+
 # --- shards ----------------------------------------------------------------------------
 
 
