@@ -216,7 +216,7 @@ _OPEN, _CLOSE = r"[\x20]?[\[({<][\x20]?", r"[\x20]?[\])}>][\x20]?"
 _AT = re.compile(rf"{_OPEN}(?:at|@|arroba){_CLOSE}|\x20(?:at|arroba|@)\x20", re.IGNORECASE)
 _DOT = re.compile(rf"{_OPEN}(?:dot|\.|punkt|punto|point){_CLOSE}|\x20(?:dot|punkt|punto|point)\x20|\.", re.IGNORECASE)
 _LABEL = re.compile(r"[A-Za-z0-9-]{1,63}")
-_LOCAL_DOT = re.compile(rf"[A-Za-z0-9_%+-]{{1,64}}({_DOT.pattern[:-3]})[A-Za-z0-9_%+-]{{1,64}}\Z", re.IGNORECASE)
+_LOCAL_DOT = re.compile(rf"[A-Za-z0-9_%+-]{{1,64}}({_DOT.pattern})[A-Za-z0-9_%+-]{{1,64}}\Z", re.IGNORECASE)
 _BRACKETED = re.compile(r"[\[({<][\x20]?(?:at|@|arroba|dot|\.|punkt|punto|point)[\x20]?[\])}>]", re.IGNORECASE)
 _BARE = (" dot ", " punkt ", " punto ", " point ", " @ ")
 _TOP = frozenset(TOP_DOMAINS.split())
@@ -259,9 +259,12 @@ def at_dot(text: str) -> list[tuple[int, int, str]]:
         plain = at[0] == "@" and all(d[0] == "." for d in dots)
         if not dots or plain or (bare(at[0]) and not (bare_dot or bracketed)):
             continue
-        local = _LOCAL_DOT.search(text, max(last, at.start() - 140), at.start())
-        if local:
-            changes.append((local.start(1), local.end(1), "."))
+        local_dots, end = [], at.start()
+        while local := _LOCAL_DOT.search(text, max(last, end - 140), end):
+            end = local.start(1)
+            if local[1] != ".":
+                local_dots.append((end, local.end(1), "."))
+        changes += reversed(local_dots)
         changes.append((at.start(), at.end(), "@"))
         changes += [(d.start(), d.end(), ".") for d in dots if d[0] != "."]
         last = ends[len(dots)][0]

@@ -105,6 +105,11 @@ def test_prose_is_left_alone(text):
     assert pii.all_spans(text) == ([], [])
 
 
+@pytest.mark.parametrize("local", ["mary dot ann dot smith", "mary dot ann.smith", "mary.ann dot smith", "a [dot] b dot c dot d"])
+def test_every_dot_of_a_local_part_is_undone(local):
+    assert pii.masked_text(f"mail {local} at example dot com") == "mail <EMAIL>"
+
+
 def test_mask_keeps_rows_and_columns(hard, empty):
     got = pii.mask(hard).collect()
     assert len(got) == len(HARD) and pii.mask(empty).count() == 0
