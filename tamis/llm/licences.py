@@ -36,7 +36,7 @@ NOTICE_PHRASES = {
 PERMISSIVE = ("0bsd", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "bsl-1.0", "cc-by-4.0", "cc0-1.0", "isc", "mit", "unlicense", "zlib")
 
 TAG_WORDS = "spdx license identifier"
-TAG = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]{1,4096})", re.IGNORECASE)
+TAG = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]+)", re.IGNORECASE)
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.:+-]*")
 RANK = {"or": 1, "and": 2, "with": 3}
 

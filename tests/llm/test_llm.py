@@ -473,6 +473,12 @@ def test_licence_expressions(expression, named, usable):
     assert licences.evaluate(licences.to_postfix(expression), frozenset(licences.PERMISSIVE)) == (named, usable)
 
 
+def test_long_licence_expressions_are_read_whole():
+    text = b"SPDX-License-Identifier: " + b" AND ".join([b"MIT"] * 2000) + b" AND GPL-3.0-only"
+    got = licences.scan_text(text, licences.automaton(), frozenset(licences.PERMISSIVE))
+    assert "gpl-3.0-only" in str(got["labels"]) and not got["permissive"]
+
+
 def test_licences_of_hard_rows(spark, hard, empty):
     assert licences.scan_licences(hard).count() == len(HARD) and licences.scan_licences(empty).count() == 0
     tagged = spark.createDataFrame([(1, "/* SPDX-License-Identifier: MIT OR GPL-2.0-only */ the MIT License")], "doc_id bigint, text string")
