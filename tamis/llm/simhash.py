@@ -20,7 +20,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm import similar
 from tamis.llm.batches import chosen, steps, utf8
 from tamis.llm.components import components
 from tamis.session import join_small, materialise
@@ -264,24 +263,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def one_of_each(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None, words: int = similar.WORDS
-) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id.
 
-    Groups are the components of ``near_duplicates``. With ``similarity``, documents whose sets
-    of ``words`` words have that Jaccard similarity or more are linked, too.
+    Groups are the components of ``near_duplicates``.
     Of rows that repeat the kept id, one stays; rows with a null id all stay. The ids to remove
     are broadcast if they are few by count, otherwise both sides are shuffled.
     """
     found = near_duplicates(docs, id_col, text_col, radius, shingle).filter(F.col(id_col).isNotNull())
     ids = materialise(found.groupBy(id_col).agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
-    if similarity is not None:
-        groups = ids.select(F.col(id_col).cast("bigint").alias("id"), F.col("component_id").cast("bigint").alias("group"))
-        moves = similar.joined_groups(docs, groups, similarity, id_col, text_col, words)
-        kind = ids.schema["component_id"].dataType
-        moves = moves.select(F.col("node").cast(kind).alias("component_id"), F.col("component").cast(kind).alias("moved"))
-        ids = materialise(join_small(ids, moves, "component_id", "left").withColumn("component_id", F.coalesce("moved", "component_id")).drop("moved"))
     rest = join_small(docs, ids.filter(F.col(id_col) != F.col("component_id")).select(id_col), id_col, "left_anti")
     repeated = ids.filter((F.col(id_col) == F.col("component_id")) & (F.col("n") > 1)).select(id_col)
     if repeated.isEmpty():

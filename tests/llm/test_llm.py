@@ -187,31 +187,6 @@ def test_one_of_each_handles_hard_rows(hard, empty):
     assert simhash.near_duplicates(hard).count() == len(HARD)
 
 
-def test_similar_texts_leave_one(spark):
-    rng = random.Random(3)
-    word = lambda: rng.choice("abcdefgh") + str(rng.randint(0, 4000))
-    rows = []
-    for _ in range(40):
-        base = [word() for _ in range(rng.choice([3, 30, 200, 900]))]
-        for share in (0, 0, 0.005, 0.01, 0.02, 0.03, 0.06):
-            rows.append((len(rows), " ".join(word() if rng.random() < share else w for w in base)))
-    rows += [(len(rows), " "), (len(rows) + 1, None), (None, rows[0][1]), (0, rows[0][1])]
-    sets = [{tuple((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} - {()} for _, t in rows]
-    label = brute_components({i: brute_fingerprint(t or "") for i, t in rows if i is not None})
-    only_bits = {i for i in label if label[i] == i}
-    near = [(i, j) for (i, _), a in zip(rows, sets) for (j, _), b in zip(rows, sets) if None not in (i, j) and a and len(a & b) >= 0.8 * len(a | b)]
-    while any(label[i] != label[j] for i, j in near):
-        for i, j in near:
-            low, high = sorted((label[i], label[j]))
-            label = {k: low if v == high else v for k, v in label.items()}
-    want = {i for i in label if label[i] == i}
-    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"), similarity=0.8).collect()
-    assert sorted((r.doc_id for r in got), key=str) == sorted([*want, None], key=str)
-    assert len(want) < len(only_bits)
-    staged = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), FOLDER)
-    assert {r.doc_id for r in staged.collect()} == {*want, None}
-
-
 # --- sentence pieces -------------------------------------------------------------------
 
 
