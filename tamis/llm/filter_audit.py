@@ -71,7 +71,7 @@ def steps_of(cells: np.ndarray, names: list[str]) -> dict[str, np.ndarray]:
         "removed": removed.ravel(),
         "redundant": (fails[orders] - removed).ravel(),
         "unique_fails": (states[every ^ (1 << np.arange(bits)), 0] - states[every, 0])[orders].ravel(),
-        "lost": lost[:, :, 1:].reshape(-1, cells.shape[1] - 1),
+        "lost": lost[:, :, 1:].reshape(orders.size, cells.shape[1] - 1),
         "shapley": total[orders].ravel(),
     }
 

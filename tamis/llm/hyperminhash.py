@@ -3,15 +3,14 @@
 The hash of a shingle chooses a bucket; a bucket keeps its smallest remaining hash as the count
 of leading zeros with ten mantissa bits, sixteen bits in all. Bands of registers bring similar
 sets to common keys: a pair at the asked similarity has no key in common with a probability of
-at most about 2e-9. Pairs that meet are estimated by their equal registers, less the equal ones that
+at most about 5e-8. Pairs that meet are estimated by their equal registers, less the equal ones that
 chance gives to different hashes; those not clearly below the threshold are verified on
 the whole sets, so that every link is exact.
 
-Pairs are made in two linear-output steps. First every set meets one pivot per key, the member
-that shares most keys with others, which joins dense groups of any size at once. Then the keys
-whose members are still in several components are compared inside tasks, in blocks, register by
-register, and only pairs of different components whose estimate passes leave the task, each from
-its first common band. Verification sends each set once to a cell of sets, never to each pair.
+Every set first meets one pivot per key, the member that shares most keys with others, which
+joins dense groups of any size at once; these pairs are as many as the rows of keys at most. What is
+then still in several components of one key is compared inside tasks: a cell holds the sets of
+one or two blocks, and only links that join components leave it.
 """
 
 from __future__ import annotations
@@ -27,12 +26,12 @@ from pyspark.sql.types import IntegralType
 
 from tamis.llm.batches import chosen, steps, utf8
 from tamis.llm.components import components
-from tamis.session import join_by_size, join_small, materialise
+from tamis.session import HOT_ROWS, bounded, join_by_size, join_small, materialise
 
 SEED = 42
 SHINGLE = 4
 PERCENT = 80
-BANDS, BAND = 51, 5
+BANDS, BAND = 32, 4
 BUCKETS = BANDS * BAND
 MANTISSA = 10
 # Standard errors by which an estimate may lie below the threshold.
@@ -40,12 +39,11 @@ ERRORS = 5.0
 # The chance that one register is equal for two different sets of one size, times 2**MANTISSA
 # (the published constant of the approximate count of collisions).
 CHANCE = 0.169919487159739
-# Members of a key that one task compares, register bytes compared at once, and shingles of one
-# side of a verification cell (a set counts as LEAST shingles at least).
-BLOCK_ROWS = 2048
-COMPARE_BYTES = 1 << 25
-CELL_SHINGLES = 1 << 20
+# Shingles of a block of sets (a set counts as LEAST shingles at least), and candidates of a set that
+# are verified at once.
+BLOCK_SHINGLES = 1 << 20
 LEAST = 512
+AT_ONCE = 64
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -94,9 +92,13 @@ def promising(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, pe
     return fits & (estimated((same & filled).sum(axis=-1), used, n_a, n_b) >= limit - ERRORS * error)
 
 
-def is_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+def links_of(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of ``others`` are similar enough to ``one``; sorted sets that are not empty."""
+    every = np.concatenate(others)
+    sizes = np.array([len(o) for o in others])
+    found = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    both = np.add.reduceat(found, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 100 * both >= percent * (len(one) + sizes - both)
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -118,142 +120,159 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """(key, band, node, n): a row per band of a set that is not empty there."""
+    """(key, node, n): a row per band of a set that is not empty there."""
     parts = [F.substring("regs", 2 * BAND * b + 1, 2 * BAND) for b in range(BANDS)]
-    empty = F.lit(bytes(2 * BAND))
-    cells = [F.when(p != empty, F.struct(F.xxhash64(p, F.lit(b)).alias("key"), F.lit(b).alias("band"))) for b, p in enumerate(parts)]
-    return classes.select(F.explode(F.array_compact(F.array(*cells))).alias("k"), "node", "n").select("k.key", "k.band", "node", "n")
+    keys = F.array(*(F.when(p != F.lit(bytes(2 * BAND)), F.xxhash64(p, F.lit(b))) for b, p in enumerate(parts)))
+    return classes.select(F.explode(F.array_compact(keys)).alias("key"), "node", "n")
 
 
-def _estimate_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose estimate passes for any sets of the two."""
+def _join_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Inner join on ``key`` to a stored row per key; keys of very many rows (``size``) are broadcast."""
+    hot = bounded(keys.filter(F.col("size") > HOT_ROWS))
+    if hot is None:
+        return join_by_size(rows, keys, "key", "size")
+    if hot.isEmpty():
+        return rows.join(keys, "key")
+    calm = rows.join(F.broadcast(hot.select("key")), "key", "left_anti")
+    return rows.join(F.broadcast(hot), "key").unionByName(calm.join(keys.filter(F.col("size") <= HOT_ROWS), "key"))
+
+
+def _estimated_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b, n_a, n_b) whose estimate passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, 4, 1 << 22):
+        for batch in steps(batches, 4):
             left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BUCKETS) for i in (4, 5))
             n_a, n_b = (batch.column(i).to_numpy() for i in (2, 3))
             yield batch.select([0, 1]).filter(pa.array(promising(left, right, n_a, n_b, percent)))
 
-    side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    side = lambda s: classes.select(F.col("node").alias(s), F.col("regs").alias(f"regs_{s}"))
+    met = pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).join(side("a"), "a").join(side("b"), "b")
+    # an id with several texts meets once for each
     return met.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, homes: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b; materialised) that are links by their whole sets.
-
-    ``homes`` (node, home) names the group of a set; the sets of a home are dealt to blocks, and
-    a cell holds two blocks with their pairs, so that a set goes once to each cell it has pairs in.
-    """
+def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(node, made): the sets of all texts of the ids ``nodes`` (node)."""
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, 1):
-            found = [shingles(t, shingle).tobytes() for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "made"])
+            made = [shingles(t, shingle).tobytes() or None for t in utf8(batch.column(1))]
+            found = pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["node", "made"])
+            yield found.filter(found.column(1).is_valid())
+
+    base = chosen(docs, id_col, text_col).withColumn("id", F.col("id").cast("bigint"))
+    return join_small(base, nodes.select(F.col("node").alias("id")), "id", "left_semi").mapInArrow(run, "node bigint, made binary")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, blocks: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b; stored) that are links by their whole sets.
+
+    ``blocks`` (node, block) deals sets that are likely alike to one block; a cell holds the pairs
+    of two blocks, so that a set goes once to each cell it has pairs in.
+    """
 
     def run(cell: tuple, sets: pa.Table, pairs: pa.Table) -> pa.Table:
         by_node: dict[int, list[np.ndarray]] = {}
         for node, data in zip(*(sets.column(c).to_pylist() for c in ("node", "made"))):
             by_node.setdefault(node, []).append(np.frombuffer(data, np.uint64))
         ok = [
-            any(is_link(x, y, percent) for x in by_node.get(a, ()) for y in by_node.get(b, ()))
+            any(links_of(x, by_node[b], percent).any() for x in by_node.get(a, ())) if b in by_node else False
             for a, b in zip(*(pairs.column(c).to_pylist() for c in ("a", "b")))
         ]
         return pairs.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one = homes.select("node", "block")
-    left, right = (one.select(F.col("node").alias(s), F.col("block").alias(f"block_{s}")) for s in ("a", "b"))
+    left, right = (blocks.select(F.col("node").alias(s), F.col("block").alias(f"block_{s}")) for s in ("a", "b"))
     dealt = pairs.join(left, "a").join(right, "b")
     dealt = materialise(dealt.select("a", "b", F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("cell")))
-    wanted = dealt.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
-    base = chosen(docs, id_col, text_col).withColumn("id", F.col("id").cast("bigint"))
-    # an id may stand for several texts, and be repeated: distinct sets
-    sets = join_small(base, wanted.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-    sets = materialise(sets.mapInArrow(made, "node bigint, made binary").distinct())
-    members = wanted.join(sets, "node").select(F.col("cell").alias("place"), "node", "made")
+    wanted = materialise(dealt.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = _sets(docs, wanted.select("node").distinct(), id_col, text_col, shingle)
+    members = join_small(sets, wanted, "node").select(F.col("cell").alias("place"), "node", "made")
     return members.groupBy("place").cogroup(dealt.groupBy("cell")).applyInArrow(run, "a bigint, b bigint")
 
 
-def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` with the label of their component so far."""
-    found = components(links)
-    return nodes.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-
-
-def _blocks(rest: DataFrame, percent: int, block_rows: int) -> DataFrame:
-    """(a, b) of different labels that share a key of ``rest`` and whose estimate passes.
+def cell_links(nodes: np.ndarray, blocks: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """Links that join components of a cell; with two blocks, only pairs across them are compared.
 
-    ``rest``: (key, band, node, n, label, regs, size). A pair leaves from its first common band.
+    Sets are visited by size, so that those of fitting size follow each other; candidates are
+    verified by falling estimate, and what a link has joined is not compared again.
     """
-    cuts = F.ceil(F.col("size") / F.lit(block_rows)).cast("int")
-    own = F.pmod(F.xxhash64("node"), cuts).cast("int")
-    others = F.transform(F.sequence(F.lit(0), cuts - 1), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j")))
-    placed = rest.withColumn("c", F.explode(others)).select("key", "c.i", "c.j", own.alias("own"), "band", "node", "n", "label", "regs")
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        own, node, n, label = (table.column(c).to_numpy() for c in ("own", "node", "n", "label"))
-        band = table.column("band")[0].as_py()
-        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        # the largest component is only compared with the others
-        values, counts = np.unique(label, return_counts=True)
-        small = label != values[counts.argmax()]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        every = np.arange(len(node))
-        first, second = (every, every) if i == j else (every[own == i], every[own == j])
-        lone = lambda at: at[small[at]]
-        # rows of small components against all, and all against the rows of small components
-        for left, right in ((lone(first), second), (lone(second), first[~small[first]])) if i != j else ((lone(first), second),):
-            width = max(1, COMPARE_BYTES // max(1, 2 * BUCKETS * len(right)))
-            for at in range(0, len(left), width):
-                part = left[at : at + width]
-                open_ = (label[part][:, None] != label[right][None, :]) & (100 * np.minimum(n[part][:, None], n[right][None, :]) >= percent * np.maximum(n[part][:, None], n[right][None, :]))
-                x, y = np.nonzero(open_)
-                x, y = part[x], right[y]
-                good = np.concatenate([promising(regs[x[k : k + 65536]], regs[y[k : k + 65536]], n[x[k : k + 65536]], n[y[k : k + 65536]], percent) for k in range(0, max(len(x), 1), 65536)])
-                x, y = x[good], y[good]
-                if band and len(x):
-                    same = (regs[x] == regs[y])[:, : band * BAND].reshape(len(x), band, BAND).all(axis=2)
-                    filled = (regs[x][:, : band * BAND] != 0).reshape(len(x), band, BAND).any(axis=2)
-                    new = ~(same & filled).any(axis=1)
-                    x, y = x[new], y[new]
-                out.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y])))
-        a = np.concatenate([o[0] for o in out]) if out else np.zeros(0, np.int64)
-        b = np.concatenate([o[1] for o in out]) if out else np.zeros(0, np.int64)
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    nodes, blocks, labels, sets = nodes[order], blocks[order], labels[order].copy(), [sets[i] for i in order]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    regs = np.array([registers(s) for s in sets]).reshape(-1, BUCKETS)
+    across = len(np.unique(blocks)) > 1
+    ends = np.searchsorted(percent * sizes, 100 * sizes, "right")
+    a, b = [], []
+    for x in range(len(sets)):
+        near = np.arange(x + 1, ends[x])
+        near = near[(labels[near] != labels[x]) & ((blocks[near] != blocks[x]) | (not across))]
+        near = near[promising(regs[x][None, :], regs[near], sizes[x], sizes[near], percent)] if len(near) else near
+        near = near[np.argsort(-(regs[near] == regs[x]).sum(axis=1), kind="stable")]
+        while len(near):
+            some, near = near[:AT_ONCE], near[AT_ONCE:]
+            for y in some[links_of(sets[x], [sets[y] for y in some], percent)].tolist():
+                if labels[y] != labels[x]:
+                    a.append(int(nodes[x]))
+                    b.append(int(nodes[y]))
+                    labels[labels == labels[y]] = labels[x]
+            near = near[labels[near] != labels[x]]
+    return a, b
+
+
+def _within_cells(docs: DataFrame, rest: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """Links between nodes of ``rest`` (key, node, block, label; stored) that share a key."""
+    places = rest.select("key", "block").distinct()
+    other = places.select("key", F.col("block").alias("block_b"))
+    cells = places.join(other, "key").filter("block <= block_b").select("block", "block_b").distinct()
+    sides = F.explode(F.array_distinct(F.array("block", "block_b")))
+    sides = cells.select(F.xxhash64("block", "block_b").alias("cell"), sides.alias("block"))
+    nodes = rest.select("node", "block", "label").distinct()
+    wanted = materialise(nodes.join(sides, "block").select("cell", "node", "block", "label"))
+    sets = _sets(docs, wanted.select("node").distinct(), id_col, text_col, shingle)
+    members = join_small(sets, wanted, "node").select("cell", "node", "block", "label", "made")
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(m, np.uint64) for m in table.column("made").to_pylist()]
+        a, b = cell_links(*(table.column(c).to_numpy() for c in ("node", "block", "label")), sets, percent)
         return pa.table({"a": a, "b": b}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return placed.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+    return members.groupBy("cell").applyInArrow(run, "a bigint, b bigint")
 
 
-def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, block_rows: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, block_shingles: int) -> DataFrame:
     """Links (a, b) between nodes whose transitive closure is that of all similar pairs."""
     rows = _keys(classes)
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = materialise(join_by_size(rows, sizes, "key", "size"))  # (key, band, node, n, size)
-    liked = shared.groupBy("node").agg(F.sum("size").alias("liking"))
-    best = shared.join(liked, "node").groupBy("key").agg(F.max(F.struct("liking", (-F.col("node")).alias("minus"))).alias("best"), F.count("*").alias("size"))
-    pivots = materialise(best.select("key", "size", (-F.col("best.minus")).alias("pivot")))
+    sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
+    # at most a key per band for each node, here and below
+    met = _join_keys(rows, sizes).groupBy("node")
+    met = materialise(met.agg(F.max("n").alias("n"), F.sum("size").alias("liking"), F.collect_list(F.struct("size", "key")).alias("keys")))
+    each = met.select("node", "n", "liking", F.inline("keys"))
+    best = each.groupBy("key").agg(F.max(F.struct("liking", (-F.col("node")).alias("minus"), "n")).alias("best"), F.max("size").alias("size"))
+    pivots = materialise(best.select("key", "size", (-F.col("best.minus")).alias("pivot"), F.col("best.n").alias("n_pivot")))
+    near = _join_keys(each.select("key", "node", "n"), pivots).groupBy("node")
+    near = materialise(near.agg(F.max("n").alias("n"), F.collect_list(F.struct("size", "pivot", "n_pivot", "key")).alias("keys")))
     # the group of a set is that of its largest key
-    near = join_by_size(shared.drop("size"), pivots, "key", "size")  # (key, band, node, n, size, pivot)
-    homes = near.groupBy("node").agg(F.max("n").alias("n"), F.max(F.struct("size", "pivot")).alias("best")).select("node", "n", F.col("best.pivot").alias("home"))
-    weights = homes.groupBy("home").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST))) / CELL_SHINGLES).cast("int").alias("cuts"))
-    homes = materialise(homes.join(weights, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("cuts"))).alias("block")))
-    pairs = near.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    tried = materialise(_estimate_pairs(pairs, classes, percent))
-    links = materialise(_verified(docs, tried, homes, id_col, text_col, shingle, percent))
+    homes = near.select("node", "n", F.array_max("keys")["pivot"].alias("home"))
+    cuts = homes.groupBy("home").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST))) / block_shingles).cast("int").alias("cuts"))
+    spot = F.pmod(F.xxhash64("node"), F.col("cuts"))
+    blocks = materialise(homes.join(cuts, "home").select("node", F.xxhash64("home", spot).alias("block")))
+    mates = F.array_distinct(F.transform("keys", lambda k: F.struct(k["pivot"].alias("pivot"), k["n_pivot"].alias("n_pivot"))))
+    pairs = near.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.inline(mates)).filter("a <> pivot")
+    pairs = pairs.select("a", F.col("pivot").alias("b"), "n_a", F.col("n_pivot").alias("n_b"))
+    tried = materialise(_estimated_pairs(pairs, classes, percent))
+    links = materialise(_verified(docs, tried, blocks, id_col, text_col, shingle, percent))
     # keys of two have met; in larger ones all but the pivot may be open
-    nodes = _labelled(classes.select("node", "n", "regs"), links)
-    open_ = near.filter("size > 2 AND node <> pivot").select("key", "band", "node", "size")
-    rest = materialise(open_.join(nodes.select("node", "label").distinct(), "node"))
-    mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("size").alias("size"))
+    labels = near.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("label"))
+    rest = near.select("node", F.inline("keys")).filter("size > 2 AND node <> pivot").select("key", "node")
+    rest = materialise(rest.join(labels.join(blocks, "node"), "node"))
+    mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
     mixed = materialise(mixed.filter("low < high").select("key", "size"))
-    rest = join_by_size(rest.drop("size"), mixed, "key", "size").join(classes.select("node", "n", "regs"), "node")
-    found = _blocks(rest, percent, block_rows).join(tried, ["a", "b"], "left_anti")
-    more = _verified(docs, materialise(found), homes, id_col, text_col, shingle, percent)
-    return materialise(links.unionByName(more))
+    rest = materialise(_join_keys(rest, mixed).drop("size"))
+    return materialise(links.unionByName(_within_cells(docs, rest, id_col, text_col, shingle, percent)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row of ``docs``.
 
     A row's set holds its distinct runs of ``shingle`` words; rows link if the Jaccard similarity of
@@ -270,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = marked.filter("id IS NOT NULL AND whole IS NOT NULL")
     classes = named.groupBy("whole").agg(F.min("id").alias("node"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = materialise(classes)
-    links = _links(docs, classes, id_col, text_col, shingle, percent, block_rows)
+    links = _links(docs, classes, id_col, text_col, shingle, percent, block_shingles)
     # texts of one id
     several = materialise(named.groupBy("id").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).filter("low < high").select("id"))
     if not several.isEmpty():
