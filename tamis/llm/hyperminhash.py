@@ -9,8 +9,10 @@ the whole sets, so that every link is exact.
 
 Every set first meets one pivot per key, the member that shares most keys with others, which
 joins dense groups of any size at once; these pairs are as many as the rows of keys at most. What is
-then still in several components of one key is compared inside tasks: a cell holds the sets of
-one or two blocks, and only links that join components leave it.
+then still in several components is compared inside tasks. Sets with one home (the component of
+the pivot of their largest key) meet in cells of one or two blocks of whole sets, and only links
+that join components leave a cell. Sets of different homes meet by key with their registers,
+and pairs whose estimate passes are verified.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ BANDS, BAND = 32, 4
 BUCKETS = BANDS * BAND
 MANTISSA = 10
 # Standard errors by which an estimate may lie below the threshold.
-ERRORS = 5.0
+ERRORS = 4.0
 # The chance that one register is equal for two different sets of one size, times 2**MANTISSA
 # (the published constant of the approximate count of collisions).
 CHANCE = 0.169919487159739
@@ -44,6 +46,8 @@ CHANCE = 0.169919487159739
 BLOCK_SHINGLES = 1 << 20
 LEAST = 512
 AT_ONCE = 64
+# Members of a key that one task compares by registers.
+KEY_ROWS = 2048
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -220,24 +224,58 @@ def cell_links(nodes: np.ndarray, blocks: np.ndarray, labels: np.ndarray, sets:
     return a, b
 
 
-def _within_cells(docs: DataFrame, rest: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """Links between nodes of ``rest`` (key, node, block, label; stored) that share a key."""
-    places = rest.select("key", "block").distinct()
-    other = places.select("key", F.col("block").alias("block_b"))
-    cells = places.join(other, "key").filter("block <= block_b").select("block", "block_b").distinct()
-    sides = F.explode(F.array_distinct(F.array("block", "block_b")))
-    sides = cells.select(F.xxhash64("block", "block_b").alias("cell"), sides.alias("block"))
-    nodes = rest.select("node", "block", "label").distinct()
-    wanted = materialise(nodes.join(sides, "block").select("cell", "node", "block", "label"))
+def _within_homes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, block_shingles: int) -> DataFrame:
+    """Links between ``nodes`` (node, n, label, home; stored) of one home and several labels."""
+    homes = nodes.groupBy("home").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.sum(F.greatest("n", F.lit(LEAST))) / block_shingles).cast("int").alias("cuts")
+    )
+    mine = join_small(nodes, homes.filter("low < high").select("home", "cuts"), "home")
+    mine = mine.withColumn("block", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda i: F.struct(F.least(i, "block").alias("i"), F.greatest(i, "block").alias("j")))
+    wanted = materialise(mine.select("home", "node", "label", "block", F.inline(others)))
     sets = _sets(docs, wanted.select("node").distinct(), id_col, text_col, shingle)
-    members = join_small(sets, wanted, "node").select("cell", "node", "block", "label", "made")
+    members = join_small(sets, wanted, "node").select("home", "i", "j", "node", "label", "block", "made")
 
     def run(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(m, np.uint64) for m in table.column("made").to_pylist()]
         a, b = cell_links(*(table.column(c).to_numpy() for c in ("node", "block", "label")), sets, percent)
         return pa.table({"a": a, "b": b}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return members.groupBy("cell").applyInArrow(run, "a bigint, b bigint")
+    return members.groupBy("home", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def _across_homes(rest: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different homes and labels that share a key and whose estimate passes.
+
+    ``rest``: (key, size, node, n, label, home, regs); ``size`` counts the rows of the key.
+    """
+    cuts = F.ceil(F.col("size") / F.lit(KEY_ROWS)).cast("int")
+    own = F.pmod(F.xxhash64("node"), cuts).cast("int")
+    others = F.transform(F.sequence(F.lit(0), cuts - 1), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j")))
+    placed = rest.select("key", own.alias("own"), "node", "n", "label", "home", "regs", F.inline(others))
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("n").to_numpy(), kind="stable")
+        node, n, label, home, own = (table.column(c).to_numpy()[order] for c in ("node", "n", "label", "home", "own"))
+        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)[order]
+        across = len(np.unique(own)) > 1
+        ends = np.searchsorted(percent * n, 100 * n, "right")
+        pairs = []
+        for x in range(len(node)):
+            near = np.arange(x + 1, ends[x])
+            near = near[(label[near] != label[x]) & (home[near] != home[x]) & ((own[near] != own[x]) | (not across))]
+            if len(near):
+                near = near[promising(regs[x][None, :], regs[near], n[x], n[near], percent)]
+                pairs.append(np.stack([np.minimum(node[near], node[x]), np.maximum(node[near], node[x])], axis=1))
+        found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return placed.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _labels(near: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label): the component that each node belongs to so far."""
+    return near.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("label"))
 
 
 def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, block_shingles: int) -> DataFrame:
@@ -263,13 +301,19 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shin
     tried = materialise(_estimated_pairs(pairs, classes, percent))
     links = materialise(_verified(docs, tried, blocks, id_col, text_col, shingle, percent))
     # keys of two have met; in larger ones all but the pivot may be open
-    labels = near.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("label"))
+    labels = materialise(_labels(near, links))
+    pivot_labels = labels.select(F.col("node").alias("home"), F.col("label").alias("at"))
+    homes = homes.join(pivot_labels, "home").select("node", "n", F.col("at").alias("home"))
+    nodes = materialise(homes.join(labels, "node"))
+    links = materialise(links.unionByName(_within_homes(docs, nodes, id_col, text_col, shingle, percent, block_shingles)))
+    nodes = nodes.drop("label").join(_labels(near, links), "node")
     rest = near.select("node", F.inline("keys")).filter("size > 2 AND node <> pivot").select("key", "node")
-    rest = materialise(rest.join(labels.join(blocks, "node"), "node"))
-    mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-    mixed = materialise(mixed.filter("low < high").select("key", "size"))
-    rest = materialise(_join_keys(rest, mixed).drop("size"))
-    return materialise(links.unionByName(_within_cells(docs, rest, id_col, text_col, shingle, percent)))
+    rest = materialise(rest.join(nodes, "node"))
+    mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("home").alias("first"), F.max("home").alias("last"), F.count("*").alias("size"))
+    mixed = materialise(mixed.filter("low < high AND first < last").select("key", "size"))
+    rest = _join_keys(rest, mixed).join(classes.select("node", "regs"), "node")
+    found = materialise(_across_homes(rest, percent).join(tried, ["a", "b"], "left_anti"))
+    return materialise(links.unionByName(_verified(docs, found, blocks, id_col, text_col, shingle, percent)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
