@@ -8,7 +8,7 @@ from tamis.catalog import SAMPLES, query, samples, sql_split, table
 from tamis.catalog.files import embedding_files
 from tamis.operators import cleaning as ops
 from tamis.operators.splits import stratified_split
-from tamis.session import materialise
+from tamis.session import materialise, scratch_path
 
 SQL_COPIES = """hashed AS (SELECT doc_id, md5(text) AS content_md5 FROM documents),
 grouped AS (
@@ -104,7 +104,7 @@ def clean_and_split_counts(spark, folder):
     hashes = ops.content_hashes(table(spark, folder, "documents"), "doc_id", "text")
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
     rows = materialise(hashes.join(labels, "doc_id"))
-    clean = ops.keep_first(rows.select("doc_id", "label"), rows.select("doc_id", "content_md5"), "doc_id")
+    clean = ops.keep_first(rows.select("doc_id", "label"), rows.select("doc_id", "content_md5"), "doc_id", stored=True)
     return stratified_split(clean, "doc_id", "label").groupBy("split", "label").agg(F.count("*").alias("n"))
 
 
@@ -161,3 +161,24 @@ def cleaning_funnel(spark, folder):
             "more than a line": F.length("text") > 100,
         },
     )
+
+
+@query(
+    "cleaning_funnel_observed",
+    f"""WITH sound AS (SELECT * FROM embeddings WHERE label NOT IN (3, 7, 9)),
+kept AS (SELECT vec_id, label FROM sound WHERE vec_id IN (SELECT min(vec_id) FROM sound GROUP BY embedding)),
+{sql_split('kept', 'vec_id')}, steps AS (
+  SELECT (SELECT count(*) FROM embeddings) AS c0, (SELECT count(*) FROM sound) AS c1, (SELECT count(*) FROM kept) AS c2,
+         (SELECT count(*) FROM parted WHERE split = 'train') AS c3)
+SELECT 1 AS step_no, 'without faults' AS step, c0 AS rows_before, c1 AS rows_after FROM steps
+UNION ALL SELECT 2, 'without copies', c1, c2 FROM steps
+UNION ALL SELECT 3, 'train rows', c2, c3 FROM steps""",
+)
+def cleaning_funnel_observed(spark, folder):
+    """Counts of the cleaning and the split, taken while they run."""
+    watch = ops.Funnel()
+    files, manifest = embedding_files(spark, folder), table(spark, folder, "embeddings").select("vec_id", "label")
+    clean = materialise(ops.clean_manifest(files, manifest, "vec_id", watch=watch))
+    train = watch.step("train rows", stratified_split(clean, "vec_id", "label").filter("split = 'train'"))
+    train.write.parquet(scratch_path(spark, "train-manifest"))
+    return watch.counts(spark)

@@ -13,6 +13,7 @@ from tamis.catalog import query, rounded, table
 from tamis.catalog.noise import probabilities, split_embeddings, sql_probs
 from tamis.functions.vectors import argmax_index
 from tamis.operators import experiments, metrics
+from tamis.plans import curation
 from tamis.session import scratch_path
 from tamis.sources import runs as log
 
@@ -288,3 +289,38 @@ def run_condition(spark, folder):
         split_embeddings(spark, folder), "baseline", "vec_id", "label", "embedding", "probe"
     )
     return rounded(runs, "value")
+
+
+# Event types as the four versions of a dataset.
+VERSIONS = dict(zip(EVENT_TYPES, log.CONDITIONS))
+
+
+@query(
+    "compare_conditions",
+    f"""WITH {SQL_RUNS}, named AS (
+  SELECT CASE condition {' '.join(f"WHEN '{e}' THEN '{c}'" for e, c in VERSIONS.items())} END AS version, value
+  FROM runs WHERE condition IN ({', '.join(f"'{e}'" for e in VERSIONS)})),
+compared AS (
+  SELECT version, count(*) AS n_runs, avg(value) AS mean, stddev_samp(value) AS std,
+         {SQL_T4} * stddev_samp(value) / sqrt(count(*)) AS half FROM named GROUP BY version),
+tested AS (
+  SELECT (a.mean - b.mean) / sqrt((4 * a.std * a.std + 4 * b.std * b.std) / 8 * (0.2::DOUBLE + 0.2::DOUBLE)) AS t
+  FROM compared a, compared b WHERE a.version = 'baseline' AND b.version = 'dcai_improved'),
+angle AS (SELECT t, sin(atan(abs(t) / sqrt(8.0::DOUBLE))) AS si, power(cos(atan(abs(t) / sqrt(8.0::DOUBLE))), 2) AS c2 FROM tested)
+SELECT version AS condition, n_runs, round(mean, 6) AS mean, round(std, 6) AS std, round(mean - half, 6) AS ci_low,
+       round(mean + half, 6) AS ci_high, round(half, 6) AS error_low, round(half, 6) AS error_high, round(t, 6) AS t_statistic,
+       round(1 - si * (1 + c2 / 2 + 3 * c2 * c2 / 8 + 15 * c2 * c2 * c2 / 48), 6) AS p_value
+FROM compared, angle""",
+)
+def compare_conditions(spark, folder):
+    """Table, bars and test over a run log to which every run was appended twice."""
+    versions = F.create_map(*[F.lit(x) for pair in VERSIONS.items() for x in pair])
+    runs = event_runs(spark, folder).withColumn("condition", versions[F.col("condition")]).filter("condition IS NOT NULL")
+    path = scratch_path(spark, "runs")
+    for times in (2, 1):
+        # first with other values, as if the append had been made with an older state
+        log.append_runs(runs.withColumn("value", F.col("value") * times), path)
+    found = curation.compare_conditions(spark, path, "events", scratch_path(spark, "comparison.csv"))
+    bars, test = found["error_bars"].drop("mean"), found["t_test"].select("t_statistic", "p_value")
+    both = found["table"].join(bars, "condition").crossJoin(F.broadcast(test))  # four rows and one
+    return rounded(both, *(c for c in both.columns if c not in ("condition", "n_runs")))

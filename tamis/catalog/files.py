@@ -1,21 +1,26 @@
 """Inventories, manifests and image rows.
 
-The tables hold no image files, so listings are derived from document attributes and
-image bytes from embeddings, row by row in Spark.
+The tables hold no image files: the queries write some, named by document attributes or with
+bytes from embeddings, in tasks, and scan the folder.
 """
 
 from __future__ import annotations
 
+import re
+import struct
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.catalog import PIXEL, PIXELS, SAMPLES, query, rounded, samples, sql_split, table
+from tamis.functions.images import PNG_SIGNATURE
 from tamis.operators.balance import apply_augmentation, augmentation_plan
 from tamis.operators.cleaning import has_image_suffix, inspect_files, faulty_files, validation_summary
 from tamis.operators.images import normalization_stats, pixel_stats
 from tamis.operators.splits import stratified_split
 from tamis.session import scratch_path, small_rows
-from tamis.sources.files import category_layout, class_dirs, enough_files
+from tamis.sources import files as store
 from tamis.sources.manifests import read_manifest, write_manifest, write_norm_stats, write_samples
 
 # Suffix a document's listed file gets from its source; others get .png.
@@ -37,6 +42,20 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(F.concat(F.lit("/data/set/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), suffix).alias("path"))
 
 
+def written(spark: SparkSession, files: DataFrame, root: str) -> str:
+    """A fresh folder with an (empty) file for every path of ``files`` below ``root``."""
+    place = scratch_path(spark, "files")
+    relative = F.substring(F.col("path"), len(root) + 1, 1 << 20)
+    store.write_files(files.select(relative.alias("path"), F.lit(b"").alias("content")), place)
+    return place
+
+
+def below(df: DataFrame, place: str, root: str, *columns: str) -> DataFrame:
+    """Paths of a scanned folder with ``root`` in its place."""
+    prefix = len(re.sub("^file:/*", "file:/", place if place.startswith("file:") else f"file:{place}")) + 1
+    return df.withColumns({c: F.concat(F.lit(root), F.expr(f"substring({c}, {prefix + 1})")) for c in columns})
+
+
 @query(
     "class_dir_manifest",
     f"""WITH {SQL_LISTING}
@@ -44,7 +63,8 @@ SELECT path, CAST(CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END AS INTE
 FROM listing WHERE lang IN ('en', 'de', 'fr') AND {SQL_IS_IMAGE}""",
 )
 def class_dir_manifest(spark, folder):
-    return class_dirs(listing(spark, folder), CLASS_MAP)
+    place = written(spark, listing(spark, folder), "/data/set/")
+    return below(store.scan_class_dirs(spark, place, CLASS_MAP), place, "/data/set/", "path")
 
 
 @query(
@@ -60,7 +80,7 @@ def image_suffix_filter(spark, folder):
     f"WITH {SQL_LISTING} SELECT count(*) AS n_files, count(*) >= 6000 AS is_complete FROM listing",
 )
 def file_count_gate(spark, folder):
-    return enough_files(listing(spark, folder))
+    return store.enough_files(store.list_files(spark, written(spark, listing(spark, folder), "/data/set/")))
 
 
 def category_listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,13 +122,15 @@ FROM placed"""
 
 @query("category_layout_manifest", SQL_LAYOUT)
 def category_layout_manifest(spark, folder):
-    return category_layout(category_listing(spark, folder))
+    place = written(spark, category_listing(spark, folder), "/data/parts/")
+    return below(store.category_layout(store.list_files(spark, place)), place, "/data/parts/", "path", "mask_path")
 
 
 @query("combined_categories_manifest", SQL_LAYOUT)
 def combined_categories_manifest(spark, folder):
     found = small_rows(table(spark, folder, "documents").select("source").distinct(), "categories")
-    return category_layout(category_listing(spark, folder), [r.source for r in found])
+    place = written(spark, category_listing(spark, folder), "/data/parts/")
+    return below(store.scan_categories(spark, place, [r.source for r in found]), place, "/data/parts/", "path", "mask_path")
 
 
 @query(
@@ -190,6 +212,70 @@ def file_faults(spark, folder):
     return faulty_files(inspect_files(embedding_files(spark, folder), "vec_id"), "vec_id")
 
 
+FORMATS = ("png", "jpg", "bmp")
+
+
+def jpeg_samples(spark: SparkSession) -> list[bytes]:
+    """A small JPEG file for each of ten grey values, by the encoder that comes with Java."""
+    java = spark._jvm.java
+    out = []
+    for i in range(10):
+        image = java.awt.image.BufferedImage(8, 8, java.awt.image.BufferedImage.TYPE_INT_RGB)
+        for at in range(64):
+            image.setRGB(at % 8, at // 8, 0x010101 * ((25 * i + at) % 256))
+        stream = java.io.ByteArrayOutputStream()
+        spark._jvm.javax.imageio.ImageIO.write(image, "jpg", stream)
+        out.append(bytes(stream.toByteArray()))
+    return out
+
+
+def png_file(pixels: Column) -> Column:
+    """A PNG file of 8 x 8 grey pixels (64 bytes)."""
+
+    def one(data: bytes) -> bytes:
+        chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        lines = b"".join(b"\0" + data[i : i + 8] for i in range(0, 64, 8))
+        return PNG_SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", 8, 8, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+    return F.pandas_udf(lambda column: column.map(one), "binary")(pixels)
+
+
+def format_files(spark: SparkSession, folder: str) -> DataFrame:
+    """An image file per embedding, its format by ``vec_id``: whole, cut, broken, empty or with bytes after its end."""
+    rows = table(spark, folder, "embeddings")
+    jpegs = F.array(*[F.lit(j) for j in jpeg_samples(spark)])
+    whole = (
+        F.when(F.col("vec_id") % 3 == 0, png_file(F.unhex(pixel_hex("embedding"))))
+        .when(F.col("vec_id") % 3 == 1, F.element_at(jpegs, (F.col("label") % 10 + 1).cast("int")))
+        .otherwise(F.unhex(F.concat(F.lit(BMP_HEADER), pixel_hex("embedding", 3))))
+    )
+    names = F.array(*[F.lit(f) for f in FORMATS])
+    name = F.concat(F.col("vec_id").cast("string"), F.lit("."), F.element_at(names, (F.col("vec_id") % 3 + 1).cast("int")))
+    state = F.floor(F.col("vec_id") / 3) % 5
+    content = (
+        F.when(state == 1, F.expr("substring(whole, 1, length(whole) * 2 div 3)"))
+        .when(state == 2, F.concat(F.lit(b"XXXX"), F.expr("substring(whole, 5)")))
+        .when(state == 3, F.lit(b""))
+        .when(state == 4, F.concat("whole", F.lit(b"more bytes")))
+        .otherwise(F.col("whole"))
+    )
+    return rows.select("vec_id", name.alias("path"), whole.alias("whole")).select("path", content.alias("content"))
+
+
+@query(
+    "decoded_file_faults",
+    """SELECT CAST(vec_id AS VARCHAR) || CASE vec_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.jpg' ELSE '.bmp' END AS path,
+       CASE (vec_id // 3) % 5 WHEN 1 THEN 'truncated' WHEN 2 THEN 'unrecognised' ELSE 'empty' END AS reason
+FROM embeddings WHERE (vec_id // 3) % 5 IN (1, 2, 3)""",
+)
+def decoded_file_faults(spark, folder):
+    """Files of three formats, written in tasks, decoded by Spark's image source and checked for structure."""
+    place = scratch_path(spark, "images")
+    store.write_files(format_files(spark, folder), place)
+    inspected = inspect_files(store.read_files(spark, place), decoded=store.decodable(spark, place))
+    return below(faulty_files(inspected), place, "", "path")
+
+
 @query(
     "validation_summary",
     f"""WITH {PIXELS}, bytes AS (

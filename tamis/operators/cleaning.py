@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.functions.images import file_fault
-from tamis.session import as_col, bounded, join_by_size, materialise
+from tamis.session import as_col, bounded, join_by_size, local_table, materialise
 
 IMAGE_SUFFIX = r"\.(png|jpe?g|bmp)$"
 
@@ -64,18 +64,22 @@ def duplicate_groups(hashes: DataFrame, key: str) -> DataFrame:
     )
 
 
-def duplicate_members(hashes: DataFrame, key: str) -> DataFrame:
-    """Every row of a duplicate group. Groups stay rows, never arrays: one may be huge."""
-    hashes = materialise(hashes)
-    groups = materialise(duplicate_groups(hashes, key))
-    return join_by_size(hashes, groups, "content_md5", "group_size").select(
+def duplicate_members(hashes: DataFrame, key: str, stored: bool = False) -> DataFrame:
+    """Every row of a duplicate group. Groups stay rows, never arrays: one may be huge.
+
+    The hashes are read twice and written once before, unless they are ``stored`` already.
+    """
+    hashes = hashes if stored else materialise(hashes)
+    groups = duplicate_groups(hashes, key)
+    few = bounded(groups)
+    return join_by_size(hashes, materialise(groups) if few is None else few, "content_md5", "group_size").select(
         "content_md5", "group_size", key, (F.col(key) == F.col("first_key")).alias("is_first")
     )
 
 
-def surplus_copies(hashes: DataFrame, key: str) -> DataFrame:
+def surplus_copies(hashes: DataFrame, key: str, stored: bool = False) -> DataFrame:
     """Keys of all but the first row of every duplicate group."""
-    return duplicate_members(hashes, key).filter(~F.col("is_first")).select(key)
+    return duplicate_members(hashes, key, stored).filter(~F.col("is_first")).select(key)
 
 
 def drop_listed(df: DataFrame, listed: DataFrame, key: str) -> DataFrame:
@@ -92,9 +96,9 @@ def resolve_duplicates(df: DataFrame, key: str, content: str, strategy: str = "k
     return keep_first(df, content_hashes(df, key, content), key)
 
 
-def keep_first(df: DataFrame, hashes: DataFrame, key: str) -> DataFrame:
+def keep_first(df: DataFrame, hashes: DataFrame, key: str, stored: bool = False) -> DataFrame:
     """``df`` without the surplus copies found in ``hashes`` (``key``, ``content_md5``)."""
-    return drop_listed(df, materialise(surplus_copies(hashes, key)), key)
+    return drop_listed(df, surplus_copies(hashes, key, stored), key)
 
 
 def validation_summary(inspected: DataFrame) -> DataFrame:
@@ -129,13 +133,40 @@ def align(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.join(other, key)
 
 
+class Funnel:
+    """Row counts of the steps of a running pipeline, taken from its own execution.
+
+    ``step`` marks a table; once one action has run over the last marked table, ``counts`` tells
+    how many rows passed each mark, without another scan.
+    """
+
+    def __init__(self) -> None:
+        self._steps: list[tuple[str, Observation]] = []
+
+    def step(self, name: str, df: DataFrame) -> DataFrame:
+        seen = Observation(f"{len(self._steps)} {name}")
+        self._steps.append((name, seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+    def counts(self, spark: SparkSession) -> DataFrame:
+        """(step_no, step, rows_before, rows_after); the first mark is the input."""
+        rows = [seen.get["rows"] for _, seen in self._steps]
+        lines = [(i, name, rows[i - 1], rows[i]) for i, (name, _) in enumerate(self._steps) if i]
+        return local_table(spark, lines, "step_no int, step string, rows_before bigint, rows_after bigint")
+
+
 def clean_manifest(
-    files: DataFrame, manifest: DataFrame, key: str = "path", content: str = "content", decoded: DataFrame | None = None
+    files: DataFrame, manifest: DataFrame, key: str = "path", content: str = "content", decoded: DataFrame | None = None, watch: Funnel | None = None
 ) -> DataFrame:
-    """Drop faulty files, then surplus copies, from one inspection pass over the bytes."""
+    """Drop faulty files, then surplus copies, from one inspection pass over the bytes.
+
+    ``watch`` counts the rows of the manifest, without faults and without copies.
+    """
     inspected = materialise(inspect_files(files, key, content, decoded))
-    sound = drop_listed(manifest, faulty_files(inspected, key), key)
-    return keep_first(sound, inspected.select(key, "content_md5"), key)
+    mark = watch.step if watch else lambda _, df: df
+    sound = drop_listed(mark("manifest", manifest), faulty_files(inspected, key), key)
+    hashes = inspected.select(key, "content_md5")
+    return mark("without copies", keep_first(mark("without faults", sound), hashes, key, stored=True))
 
 
 def funnel(df: DataFrame, steps: dict[str, Column]) -> DataFrame:

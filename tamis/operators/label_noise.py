@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.arrow import once
-from tamis.functions.keyed import SEED, key_uniform, random_order, score_order
+from tamis.functions.keyed import NO_SCORE, SCORE_SCALE, SEED, key_uniform, random_order, score_order
 from tamis.functions.vectors import argmax_index, class_at, entropy, largest_other, own_probability, place_of, vector_sums
 from tamis.operators.cleaning import drop_listed, update_listed
-from tamis.operators.ranking import global_rank, rank_band
+from tamis.operators.ranking import BELOW_ALL, GroupSize, cuts_at_bounds, global_rank, rank_band
 from tamis.operators.splits import stratified_kfold
-from tamis.session import join_small, local_table, materialise, small_rows
+from tamis.session import bounded, join_small, local_table, materialise, small_rows
 
 # Steepness of the probe's softmax over squared distances.
 SHARPNESS = 10.0
@@ -168,11 +168,23 @@ def oos_probabilities_logistic(
 # --- confident learning ------------------------------------------------------------
 
 
+def _class_table(df: DataFrame, label: str, probs: str, classes: list) -> DataFrame:
+    """Per class: rows, mean own probability (9 digits), ends of the probabilities, rows without some."""
+    place = place_of(label, classes)
+    own = own_probability(probs, place)
+    lacking = F.exists(probs, lambda p: p.isNull() | F.isnan(p))
+    return df.filter(place.isNotNull()).groupBy(label).agg(
+        F.count("*").alias("n"),
+        F.round(F.avg(own), 9).alias("threshold"),
+        F.min(F.array_min(probs)).alias("low"),
+        F.max(F.array_max(probs)).alias("high"),
+        F.count_if(F.coalesce(lacking, F.lit(True))).alias("n_lacking"),
+    )
+
+
 def class_thresholds(df: DataFrame, label: str, probs: str = "probs", classes: Sequence | None = None) -> DataFrame:
     """Per class: rows and mean own probability (9 digits). Rows without a known label are left out."""
-    place = place_of(label, class_places(df, label, probs, classes))
-    own = own_probability(probs, place)
-    return df.filter(place.isNotNull()).groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(own), 9).alias("threshold"))
+    return _class_table(df, label, probs, class_places(df, label, probs, classes)).select(label, "n", "threshold")
 
 
 def suggested_class(probs: str, thresholds: list[float]) -> Column:
@@ -184,7 +196,7 @@ def suggested_class(probs: str, thresholds: list[float]) -> Column:
 
 def _confident(df: DataFrame, label: str, probs: str, classes: list) -> tuple[list, Column]:
     """Rows of the class table, and the place of the class that a row's probabilities suggest."""
-    found = small_rows(class_thresholds(df, label, probs, classes), "classes")
+    found = small_rows(_class_table(df, label, probs, classes), "classes")
     # A class without rows has no threshold and attracts nothing.
     limits = dict.fromkeys(classes, math.inf) | {r[label]: r.threshold for r in found}
     return found, suggested_class(probs, [limits[c] for c in classes])
@@ -197,9 +209,12 @@ def confident_joint(df: DataFrame, label: str, probs: str = "probs", classes: Se
     cells, up to the square of the number of classes, stay in Spark.
     """
     classes = class_places(df, label, probs, classes)
-    found, suggested = _confident(df, label, probs, classes)
+    return _joint(df, label, classes, *_confident(df, label, probs, classes))
+
+
+def _joint(df: DataFrame, label: str, classes: list, found: list, suggested: Column) -> DataFrame:
     cells = df.select(label, class_at(suggested, classes).alias("suggested")).filter("suggested IS NOT NULL")
-    cells = materialise(cells.groupBy(label, "suggested").agg(F.count("*").alias("_n")))
+    cells = cells.groupBy(label, "suggested").agg(F.count("*").alias("_n"))
     kind = df.schema[label].dataType.simpleString()
     sizes = local_table(df.sparkSession, [(r[label], r.n) for r in found], f"`{label}` {kind}, _size bigint")
     # A label without a confident row stands for itself.
@@ -224,36 +239,76 @@ def rank_score(label: str, probs: str, rank_by: str) -> Column:
     raise ValueError(f"rank_by must be one of {RANK_METHODS}")
 
 
-def _pruned_by_noise_rate(df: DataFrame, key: str, label: str, probs: str, joint: DataFrame) -> DataFrame:
-    """Per (label i, class j): the ``quota`` rows of i with the largest p_j - p_i."""
-    quotas = materialise(
-        joint.filter((F.col(label) != F.col("suggested")) & (F.col("quota") > 0)).select(label, F.col("suggested").alias("_other"), "quota")
-    )
-    # At most one entry per class; only classes with a quota become rows.
-    others = quotas.groupBy(label).agg(F.collect_list("_other").alias("_others"))
-    own = own_probability(probs, label)
-    gaps = F.transform("_others", lambda j: F.struct(j.alias("_other"), (F.col(probs)[j] - own).alias("_gap")))
-    cells = materialise(join_small(df, others, label).select(key, label, F.inline(gaps)))
-    largest_gap = score_order("_gap", key, descending=True)
+def _marked_by_noise_rate(rows: DataFrame, key: str, place: str, probs: str, joint: DataFrame, found: list, size: int, out: str) -> DataFrame:
+    """Mark, per (class i, other class j), the ``quota`` rows of i with the largest p_j - p_i.
+
+    The cuts of all cells are found together: the gaps of a row to the classes that have a quota are
+    counted where the row is scanned, and nothing but counters leaves the scan. A row is
+    then compared with the cuts of its class's cells in one expression.
+    """
+    quotas = joint.filter((F.col(place) != F.col("suggested")) & (F.col("quota") > 0))
+    quotas = quotas.select(place, F.col("suggested").alias("_other"), "quota")
+    few = bounded(quotas)
+    own = own_probability(probs, place)
+    gap = lambda p: score_order(p - own, key, descending=True)
+    if few is None:
+        return _marked_by_many_cells(rows, key, place, probs, quotas, out)
+    cells = [(r[place], r._other, r.quota) for r in few.collect()]
+    others: dict[int, list[int]] = {}
+    for i, j, _ in cells:
+        others.setdefault(i, []).append(j)
+    table = local_table(rows.sparkSession, list(others.items()), f"{place} int, _others array<int>")
+    order = gap(F.element_at(probs, F.col("_other") + 1))
+    long = rows.join(F.broadcast(table), place).select("*", F.explode("_others").alias("_other"))
+    long = long.select(F.concat_ws(":", place, "_other").alias("_g"), order.head.alias("_head"), order.tail.alias("_tail"))
+    by_class = {r[place]: r for r in found}
+    span = max((r.high - r.low for r in found if r.high is not None), default=0.0)
+    end = NO_SCORE if any(r.n_lacking for r in found) or not math.isfinite(span) else math.ceil(span * SCORE_SCALE) + 1
+    cuts = cuts_at_bounds(long, [GroupSize(f"{i}:{j}", by_class[i].n, -end, end, [quota]) for i, j, quota in cells])
+    lines = []
+    for i, listed in others.items():
+        mine = [cuts[f"{i}:{j}"][0] if j in listed else BELOW_ALL for j in range(size)]
+        lines.append((i, [h for h, _ in mine], [t for _, t in mine]))
+    ends = local_table(rows.sparkSession, lines, f"{place} int, _heads array<bigint>, _tails array<string>")
+
+    def within(p: Column, cut: Column) -> Column:
+        order = gap(p)
+        return (order.head < cut["_heads"]) | ((order.head == cut["_heads"]) & (order.tail <= cut["_tails"]))
+
+    hits = F.zip_with(F.col(probs), F.arrays_zip("_heads", "_tails"), within)
+    marked = rows.join(F.broadcast(ends), place, "left")
+    return marked.withColumn(out, F.coalesce(F.exists(hits, lambda hit: hit), F.lit(False))).drop("_heads", "_tails")
+
+
+def _marked_by_many_cells(rows: DataFrame, key: str, place: str, probs: str, quotas: DataFrame, out: str) -> DataFrame:
+    """The same when the cells are too many for the driver: a row per cell, ranked within it."""
+    others = quotas.groupBy(place).agg(F.collect_list("_other").alias("_others"))
+    own = own_probability(probs, place)
+    gaps = F.transform("_others", lambda j: F.struct(j.alias("_other"), (F.element_at(probs, j + 1) - own).alias("_gap")))
+    cells = join_small(rows, others, place).select(key, place, F.inline(gaps))
 
     def bounds(sizes: DataFrame) -> DataFrame:
-        return join_small(sizes, quotas, [label, "_other"]).withColumn("bounds", F.array("quota"))
+        return join_small(sizes, quotas, [place, "_other"]).withColumn("bounds", F.array("quota"))
+
+    banded = rank_band(cells, score_order("_gap", key, descending=True), bounds, [place, "_other"], "_band")
+    listed = banded.filter("_band = 0").select(key).distinct().withColumn(out, F.lit(True))
+    return rows.join(listed, key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
-    banded = rank_band(cells, largest_gap, bounds, [label, "_other"], "_band")
-    return banded.filter("_band = 0").select(key).distinct()
 
+def _marked_by_class(rows: DataFrame, key: str, place: str, probs: str, joint: DataFrame, out: str) -> DataFrame:
+    """Mark, per class i, as many of its least confident rows as the joint puts off the diagonal.
 
-def _pruned_by_class(df: DataFrame, key: str, label: str, probs: str, joint: DataFrame) -> DataFrame:
-    """Per label i: as many of its least confident rows as the joint puts off the diagonal."""
-    off = F.when(F.col(label) != F.col("suggested"), F.col("calibrated")).otherwise(0.0)
-    quotas = joint.groupBy(label).agg(F.floor(F.sum(off) + 0.5).alias("quota"))
-    least_sure = score_order(own_probability(probs, label), key)
+    Rows of no class are left out.
+    """
+    off = F.when(F.col(place) != F.col("suggested"), F.col("calibrated")).otherwise(0.0)
+    quotas = joint.groupBy(place).agg(F.floor(F.sum(off) + 0.5).alias("quota"))
+    least_sure = score_order(own_probability(probs, place), key)
 
     def bounds(sizes: DataFrame) -> DataFrame:
-        return join_small(sizes, quotas, label).withColumn("bounds", F.array("quota"))
+        return join_small(sizes, quotas, place).withColumn("bounds", F.array("quota"))
 
-    banded = rank_band(df.select(key, label, probs), least_sure, bounds, [label], "_band")
-    return banded.filter("_band = 0").select(key)
+    banded = rank_band(rows.filter(F.col(place).isNotNull()), least_sure, bounds, [place], "_band")
+    return banded.withColumn(out, F.col("_band") == 0).drop("_band")
 
 
 def label_issues(
@@ -278,17 +333,18 @@ def label_issues(
     place = "_place"
     score = rank_score(place, probs, rank_by)
     rows = df.select(key, place_of(label, classes).alias(place), probs)
+    found, suggested = _confident(rows, place, probs, places)
     if method == "confident_joint":
-        hit = rows.filter(_confident(rows, place, probs, places)[1] != F.col(place))
+        hit = rows.filter(suggested != F.col(place))
     else:
-        joint = confident_joint(rows, place, probs, places)
-        listed = None
+        joint = _joint(rows, place, places, found, suggested)
+        hit = rows
         if method in ("pbnr", "both"):
-            listed = _pruned_by_noise_rate(rows, key, place, probs, joint)
+            hit = _marked_by_noise_rate(hit, key, place, probs, joint, found, len(places), "_by_rate").filter("_by_rate")
         if method in ("pbc", "both"):
-            least = _pruned_by_class(rows, key, place, probs, joint)
-            listed = least if listed is None else listed.join(least, key)
-        hit = join_small(rows, listed, key, "left_semi")
+            # the ranks are those among all rows of a class
+            marked = _marked_by_class(rows, key, place, probs, joint, "_by_class").filter("_by_class")
+            hit = marked if method == "pbc" else hit.join(marked.select(key), key, "left_semi")
     hit = hit.filter(argmax_index(probs) != F.col(place)).select(key, class_at(place, classes).alias(label), score.alias("score"))
     worst_first = score_order("score", key, descending=rank_by == "confidence_weighted_entropy")
     return global_rank(hit, worst_first, "issue_rank")

@@ -131,6 +131,26 @@ class _Target:
         return (self.group, self.lo, self.hi, self.prefix)
 
 
+@dataclass(frozen=True)
+class GroupSize:
+    """A group's key, rows, least and largest head, and wanted rank bounds."""
+
+    _g: str
+    n: int
+    _lo: int
+    _hi: int
+    bounds: list[int]
+
+
+def cuts_at_bounds(rows: DataFrame, sizes: list[GroupSize], direct_rows: int = DIRECT_ROWS) -> dict[str, list[Cut]]:
+    """For each group, the order's place (head, tail) at each of its rank bounds.
+
+    ``rows`` (``_g``, ``_head``, ``_tail``) is scanned once per pass, the ranges of all groups
+    together, and may be a projection that multiplies rows: it is never stored.
+    """
+    return _find_cuts(rows, sizes, direct_rows)
+
+
 def _find_cuts(rows: DataFrame, sized: list, direct_rows: int) -> dict[str, list[Cut]]:
     wanted = {(s._g, b): _Target(s._g, b, b, s.n, s._lo, s._hi) for s in sized for b in s.bounds if 0 < b < s.n}
     found = _search(rows, list(wanted.values()), direct_rows)

@@ -1,12 +1,15 @@
-"""Image folders as tables, through Spark's file listings."""
+"""Image folders as tables, listed in tasks."""
 
 from __future__ import annotations
 
 import re
-from urllib.parse import unquote
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tamis.operators.cleaning import has_image_suffix
 from tamis.session import local_table
@@ -14,35 +17,119 @@ from tamis.session import local_table
 EXPECTED_FILES = 6000
 # The image suffixes in any case, so that other files are dropped at the listing.
 IMAGE_GLOB = "*.{[pP][nN][gG],[jJ][pP][gG],[jJ][pP][eE][gG],[bB][mM][pP]}"
+LISTING = "path string, length bigint"
+# Names in one batch of a listing.
+BATCH_NAMES = 10_000
 
 
-def _scan(spark: SparkSession, root: str, *columns: str, glob: str = "*") -> DataFrame:
-    """Columns of every file below ``root``, empty files included.
+def store_of(root: str) -> tuple[fs.FileSystem, str, str]:
+    """File system of a folder, the folder's path there, and what Spark writes before such paths."""
+    if re.match(r"/|file:", root):
+        return fs.LocalFileSystem(), re.sub("^file:/*", "/", root).rstrip("/") or "/", "file:"
+    store, path = fs.FileSystem.from_uri(root)
+    name = re.match(r"(\w+)://([^/]*)", root)
+    inside = path.startswith(name[2] + "/")
+    return store, path.rstrip("/"), f"{name[1]}://" if inside else f"{name[1]}://{name[2]}"
 
-    Spark's file scans leave out files of length zero. Its listing counts them, so only
-    when the counts differ are the listed names compared with the scanned ones.
+
+def _visible(path: str) -> bool:
+    """Spark leaves out names that begin with a dot or an underscore."""
+    return not path.rsplit("/", 1)[-1].startswith((".", "_"))
+
+
+class FolderListing(DataSource):
+    """Names and lengths of all files below ``root``, empty ones included.
+
+    The driver lists the folders directly below the root; each of them is listed by a task.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = reader.option("pathGlobFilter", glob).load(root)
-    scanned = files.select(*columns)
-    if len(files._jdf.inputFiles()) == files.select("path").count():
-        return scanned
-    # Names as the scan writes them: not URL-encoded, local ones with a single slash.
-    names = [(re.sub(r"^(\w+):///", r"\1:/", unquote(name)),) for name in files.inputFiles()]
-    listed = local_table(spark, names, "path string")
-    empty = listed.join(files.select("path"), "path", "left_anti")
-    blank = {"path": F.col("path"), "length": F.lit(0).cast("bigint"), "content": F.lit(b"")}
-    return scanned.unionByName(empty.select(*[blank[c].alias(c) for c in columns]))
+
+    @classmethod
+    def name(cls) -> str:
+        return "tamis_folder"
+
+    def schema(self) -> str:
+        return LISTING
+
+    def reader(self, schema) -> DataSourceReader:
+        return FolderReader(self.options["root"])
+
+
+class FolderReader(DataSourceReader):
+    def __init__(self, root: str) -> None:
+        self.root = root
+
+    def partitions(self) -> list[InputPartition]:
+        store, path, _ = store_of(self.root)
+        found = store.get_file_info(fs.FileSelector(path))
+        folders = sorted(i.path for i in found if i.type == fs.FileType.Directory and _visible(i.path))
+        # the first part is for the files of the root itself
+        return [InputPartition((path, False)), *(InputPartition((f, True)) for f in folders)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        folder, deep = partition.value
+        store, _, prefix = store_of(self.root)
+        names, sizes = [], []
+        waiting = [folder]
+        while waiting:
+            for info in store.get_file_info(fs.FileSelector(waiting.pop())):
+                if not _visible(info.path):
+                    continue
+                if info.type == fs.FileType.Directory and deep:
+                    waiting.append(info.path)
+                elif info.type == fs.FileType.File:
+                    names.append(prefix + info.path)
+                    sizes.append(info.size)
+            while len(names) >= BATCH_NAMES or (names and not waiting):
+                yield pa.RecordBatch.from_arrays([pa.array(names[:BATCH_NAMES]), pa.array(sizes[:BATCH_NAMES], pa.int64())], ["path", "length"])
+                names, sizes = names[BATCH_NAMES:], sizes[BATCH_NAMES:]
+
+
+def _listed_in_tasks(root: str) -> bool:
+    """Whether the workers can list the folder; other stores are left to Spark's own scan."""
+    try:
+        store_of(root)
+    except Exception:  # noqa: BLE001 - an unknown scheme, or a driver library that is not there
+        return False
+    return True
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length) of every file below ``root``; contents are not read."""
-    return _scan(spark, root, "path", "length")
+    """(path, length) of every file below ``root``; contents are not read.
+
+    In a store that only Spark reads, files of length zero are left out.
+    """
+    if not _listed_in_tasks(root):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    spark.dataSource.register(FolderListing)
+    return spark.read.format(FolderListing.name()).option("root", root).load()
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, content) of every image file below ``root``."""
-    return _scan(spark, root, "path", "length", "content", glob=IMAGE_GLOB)
+    """(path, length, content) of every image file below ``root``; Spark's scan leaves out the empty ones."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", IMAGE_GLOB)
+    found = reader.load(root).select("path", "length", "content").filter("length > 0")
+    empty = list_files(spark, root).filter((F.col("length") == 0) & has_image_suffix("path"))
+    return found.unionByName(empty.withColumn("content", F.lit(b"")))
+
+
+def write_files(files: DataFrame, root: str, path: str = "path", content: str = "content") -> int:
+    """Write each row's bytes to the file ``path`` below ``root``, in tasks; the number of files.
+
+    A task that runs again writes the same bytes to the same names.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top, _ = store_of(root)
+        for batch in batches:
+            for name, data in zip(*(c.to_pylist() for c in batch.columns)):
+                target = f"{top}/{name}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(target) as out:
+                    out.write(data or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    written = files.select(path, F.col(content).cast("binary").alias(content)).mapInArrow(run, "n bigint")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def decodable(spark: SparkSession, root: str) -> DataFrame:

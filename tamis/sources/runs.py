@@ -7,18 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RUNS = "run_index int, run_seed bigint, metric string, value double, experiment string, condition string"
+RUNS = "run_seed bigint, metric string, value double, experiment string, condition string, run_index int"
+RUN = ("experiment", "condition", "run_index")
 # The four versions of a dataset that are compared, in reporting order; fixed values.
 CONDITIONS = ("baseline", "cleaned", "noise_corrected", "dcai_improved")
 
 
 def append_runs(runs: DataFrame, path: str, conditions: Sequence[str] = CONDITIONS) -> None:
-    """Append run metrics; an unknown condition is an error. NaN is stored as NULL."""
+    """Add whole runs; an unknown condition is an error. NaN is stored as NULL.
+
+    A run is one partition (experiment, condition, run_index), and writing it again replaces it: an
+    append that is repeated, or repeated after it failed halfway, leaves each run once.
+    Other runs stay as they are. ``runs`` is read twice.
+    """
     if not runs.filter(~F.col("condition").isin(list(conditions)) | F.col("condition").isNull()).isEmpty():
         raise ValueError(f"condition must be one of {list(conditions)}")
     clean = runs.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     names = [c.split()[0] for c in RUNS.split(", ")]
-    clean.select(*names).write.mode("append").partitionBy("experiment", "condition").parquet(path)
+    by_run = clean.select(*names).repartition(*RUN)
+    by_run.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN).parquet(path)
 
 
 def read_runs(
