@@ -187,3 +187,14 @@ def test_vector_stats_on_both_paths(spark, monkeypatch, wide_dim):
 def test_flagged_share(spark):
     found = audit.flagged_share(spark.range(10), spark.range(3), "id").first()
     assert (found.n_samples, found.n_flagged, found.flagged_fraction) == (10, 3, pytest.approx(0.3))
+
+
+def test_steps_are_counted_while_they_run(spark):
+    watch = cleaning.Funnel()
+    files = spark.createDataFrame([(1, b"BM" + (27).to_bytes(4, "little") + bytes(21)), (2, b""), (3, b"BM" + (27).to_bytes(4, "little") + bytes(21)), (4, b"no")], "key int, content binary")
+    manifest = spark.createDataFrame([(k, k % 2) for k in (1, 2, 3, 4, 5)], "key int, label int")
+    clean = cleaning.clean_manifest(files, manifest, "key", watch=watch)
+    last = watch.step("odd", clean.filter("label = 1"))
+    assert {r.key for r in last.collect()} == {1, 5}
+    counted = [(r.step_no, r.step, r.rows_before, r.rows_after) for r in watch.counts(spark).orderBy("step_no").collect()]
+    assert counted == [(1, "without faults", 5, 3), (2, "without copies", 3, 2), (3, "odd", 2, 2)]

@@ -8,7 +8,7 @@ from tamis.operators.balance import apply_augmentation, augmentation_plan
 from tamis.operators.cleaning import inspect_files
 from tamis.operators.images import normalization_stats, pixel_stats
 from tamis.plans import curation
-from tamis.sources.files import check_file_count, decodable, read_files, read_pixels, scan_categories, scan_class_dirs
+from tamis.sources.files import check_file_count, decodable, list_files, read_files, read_pixels, scan_categories, scan_class_dirs, store_of, write_files
 from tests.images import png, put
 
 
@@ -191,3 +191,36 @@ def test_augmentation(spark, tmp_path):
     pixels = next(bytes(r.data) for r in rows if r.aug_key == plain.aug_key)
     assert set(pixels[0::3]) == {200} and set(pixels[1::3]) == {50}
     assert augmentation_plan(images, "path", "label", 1, 3).count() == 0
+
+
+def test_listing_in_tasks(spark, tmp_path):
+    root = tmp_path / "with space+%41"
+    for name_, data in (("a/x.png", b"12"), ("a/deep/er/y.PNG", b""), ("b/z é.txt", b"1"), ("top.png", b"123"), ("_hidden/q.png", b"1"), ("a/.h.png", b"1")):
+        put(root / name_, data)
+    listed = list_files(spark, str(root))
+    # the root itself and two visible folders
+    assert listed.rdd.getNumPartitions() == 3
+    found = {r.path: r.length for r in listed.collect()}
+    assert found == {f"file:{root}/{n}": size for n, size in (("a/x.png", 2), ("a/deep/er/y.PNG", 0), ("b/z é.txt", 1), ("top.png", 3))}
+    # the names are those of Spark's own scans
+    scanned = {r.path for r in read_files(spark, f"file://{root}").collect()}
+    assert scanned == {p for p in found if p.lower().endswith(".png")}
+    assert {r.path for r in list_files(spark, f"file://{root}/").collect()} == set(found)
+    empty = tmp_path / "nothing"
+    empty.mkdir()
+    assert list_files(spark, str(empty)).count() == 0
+    with pytest.raises(Exception):
+        list_files(spark, str(tmp_path / "absent")).count()
+
+
+def test_stores_are_told_by_their_scheme():
+    assert store_of("/a/b/")[1:] == ("/a/b", "file:") and store_of("file:///a")[1:] == ("/a", "file:") and store_of("file:/a")[1:] == ("/a", "file:")
+    with pytest.raises(Exception):
+        store_of("viewfs://store/a")
+
+
+def test_written_files_are_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("a/1.png", bytearray(b"x")), ("a/2.png", bytearray()), ("b/c/3.png", None)], "path string, content binary")
+    assert write_files(rows.repartition(2), str(tmp_path / "out")) == 3 and write_files(rows, str(tmp_path / "out")) == 3
+    assert {(r.path.split("/out/")[1], bytes(r.content)) for r in read_files(spark, str(tmp_path / "out")).collect()} == {("a/1.png", b"x"), ("a/2.png", b""), ("b/c/3.png", b"")}
+    assert write_files(rows.limit(0), str(tmp_path / "none")) == 0

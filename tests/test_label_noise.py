@@ -162,3 +162,29 @@ def test_corrected_manifest_keeps_val_and_test(separable):
     corrected = curation.noise_corrected(parted, "key", "label", "vec")
     kept = parted.filter("split <> 'train'").select("key")
     assert kept.join(corrected, "key", "left_anti").count() == 0
+
+
+def test_many_cells_mark_the_same_rows(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for key in range(400):
+        draws = [rng.choice([0.1, 0.2, 0.3, rng.random()]) for _ in range(4)]
+        rows.append((key, rng.randrange(4) if key else None, [d / sum(draws) for d in draws]))
+    rows.append((900, 1, [0.5, float("nan"), 0.2, 0.3]))
+    df = spark.createDataFrame(rows, "key int, place int, probs array<double>")
+    found, suggested = noise._confident(df, "place", "probs", [0, 1, 2, 3])
+    joint = noise._joint(df, "place", [0, 1, 2, 3], found, suggested)
+    at_once = noise._marked_by_noise_rate(df, "key", "place", "probs", joint, found, 4, "hit")
+    quotas = joint.filter("place <> suggested AND quota > 0").selectExpr("place", "suggested AS _other", "quota")
+    each = noise._marked_by_many_cells(df, "key", "place", "probs", quotas, "hit")
+    keys = lambda marked: {r.key for r in marked.filter("hit").collect()}
+    assert keys(at_once) == keys(each) != set() and at_once.count() == len(rows)
+    # and those of a plain sort
+    want = set()
+    for q in quotas.collect():
+        mine = [(p[q._other] - p[q.place], k) for k, label, p in rows if label == q.place]
+        line = sorted((g for g, _ in mine if g == g), reverse=True)[q.quota - 1]
+        want |= {k for g, k in mine if g > line + 1e-9}
+    assert want <= keys(at_once)

@@ -188,3 +188,17 @@ def test_conditions_end_to_end(spark, tmp_path):
     assert result["t_test"].first().condition_b == "dcai_improved"
     with pytest.raises(ValueError):
         experiments.run_condition(manifest, "odd", "key", "label", "vec", "exp")
+
+
+def test_runs_are_replaced_when_appended_again(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    row = lambda condition, run, metric, value: ("e", condition, run, 42 + run, metric, value)
+    shape = "experiment string, condition string, run_index int, run_seed bigint, metric string, value double"
+    first = [row("baseline", i, m, float(i)) for i in range(3) for m in ("val_f1", "test_f1")]
+    log.append_runs(spark.createDataFrame(first, shape), path)
+    log.append_runs(spark.createDataFrame(first, shape), path)
+    assert log.read_runs(spark, path, "e").count() == 6
+    # a run with fewer metrics takes the place of the whole run; the others stay
+    log.append_runs(spark.createDataFrame([row("baseline", 1, "test_f1", 9.0), row("cleaned", 1, "test_f1", float("nan"))], shape), path)
+    got = sorted((r.condition, r.run_index, r.metric, r.value) for r in log.read_runs(spark, path, "e").collect())
+    assert got == [("baseline", 0, "test_f1", 0.0), ("baseline", 0, "val_f1", 0.0), ("baseline", 1, "test_f1", 9.0), ("baseline", 2, "test_f1", 2.0), ("baseline", 2, "val_f1", 2.0), ("cleaned", 1, "test_f1", None)]
