@@ -19,6 +19,8 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 from tokenizers import Tokenizer
 
 from tamis.llm.batches import Remembered, chosen, steps, strings
@@ -220,7 +222,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = END_
 
 
 def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    return to_arrow_type(DataType.fromDDL(kind))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
