@@ -15,20 +15,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tamis.llm.batches import steps, strings
+from tamis.session import local_table
 
 WINDOW = 64
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBED = 8
-# Bounds of the training sample: rows of each language, bytes of each row, languages.
+# Bounds of the training sample: rows of each language, bytes of each row, rows in all.
 ROWS_PER_LANGUAGE = 400
 BYTES_PER_ROW = 512
-MAX_LANGUAGES = 200
+SAMPLE_ROWS = 80_000
 STEPS = 500
 BATCH = 64
 SEED = 7
@@ -185,23 +186,26 @@ def training_rows(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, bytes_per_row: int = BYTES_PER_ROW
 ) -> list[tuple[str, bytes]]:
     """A bounded sample of the labelled rows: for each language the rows whose keyed hash is
-    smallest, and of each a piece from a hashed place in its text."""
+    smallest, and of each a piece from a hashed place in its text.
+
+    Many languages have fewer rows each, so that there are ``SAMPLE_ROWS`` in all at most; of more
+    languages than that, the most frequent ones are learned. Repeated rows count once.
+    """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS).collect()
     if not sizes:
         return []
+    rows_per_language = min(rows_per_language, max(1, SAMPLE_ROWS // len(sizes)))
     # a hash bound per language keeps about twice the rows wanted; the smallest hashes follow
     spot = F.pmod(F.xxhash64(F.lit(SEED), "id", "text"), F.lit(1 << 30))
-    bound = F.create_map(*(F.lit(v) for lang, n in sizes.items() for v in (lang, int(min(1.0, (2 * rows_per_language + 50) / n) * (1 << 30)))))
+    limits = [(r["lang"], int(min(1.0, (2 * rows_per_language + 50) / r["count"]) * (1 << 30))) for r in sizes]
+    bounds = local_table(docs.sparkSession, limits, "lang string, bound bigint")
     place = F.col("spot") % F.greatest(F.lit(1), F.length("text") - bytes_per_row + 1) + 1
-    drawn = labelled.withColumn("spot", spot).filter(F.col("spot") < bound[F.col("lang")])
-    drawn = drawn.select("lang", "spot", F.substring("text", place.cast("int"), F.lit(bytes_per_row)).alias("piece"))
-    kept: dict[str, list] = {}
-    for r in drawn.collect():
-        kept.setdefault(r["lang"], []).append((r["spot"], r["piece"]))
-    return [(lang, piece.encode()[:bytes_per_row]) for lang, rows in sorted(kept.items()) for _, piece in sorted(rows)[:rows_per_language]]
+    drawn = labelled.withColumn("spot", spot).join(F.broadcast(bounds), "lang").filter("spot < bound")
+    drawn = drawn.select("lang", "spot", F.substring("text", place.cast("int"), F.lit(bytes_per_row)).alias("piece")).distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "piece")) <= rows_per_language
+    found = drawn.withColumn("first", first).filter("first").select("lang", "spot", "piece").collect()
+    return [(lang, piece.encode()[:bytes_per_row]) for lang, _, piece in sorted(map(tuple, found))]
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds) -> Model | None:

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tamis.llm import filter_audit, hyperminhash, importance
+from tamis.llm import filter_audit, hyperminhash, importance, langid
 from tests.llm.test_llm import HARD, empty, hard  # noqa: F401  (fixtures)
 
 # --- HyperMinHash -----------------------------------------------------------------------
@@ -213,3 +213,19 @@ def test_filters_are_checked(spark):
             filter_audit.interactions(rows, "part", filters)
     one = filter_audit.interactions(rows, "part", {"A": rows.a > 0}).collect()
     assert [(r.kept, r.removed, r.shapley) for r in one] == [(0, 1, 1)]
+
+
+# --- language identification ------------------------------------------------------------
+
+
+def test_any_number_of_languages_is_learned(spark, monkeypatch):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 9, f"l{i % 300:03}") for i in range(1500)] + [(9_999, "same row " * 9, "l000")] * 50
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = langid.training_rows(docs, rows_per_language=3)
+    assert len({lang for lang, _ in found}) == 300 and len(found) == 900
+    assert sum(piece == b"same row " * 9 for _, piece in found) <= 1
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 400)
+    assert len(langid.training_rows(docs, rows_per_language=3)) == 300
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 100)
+    some = langid.training_rows(docs, rows_per_language=3)
+    assert len(some) == 100 and "l000" in {lang for lang, _ in some}
