@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tamis.catalog import query, rounded, table
+from tamis.catalog import query, rounded, sql_split, sql_uniform, table
 from tamis.catalog.noise import probabilities, split_embeddings, sql_probs
+from tamis.functions.keyed import SEED
 from tamis.functions.vectors import argmax_index
 from tamis.operators import experiments, metrics
+from tamis.operators.softmax import TOLERANCE
 from tamis.plans import curation
 from tamis.session import scratch_path
 from tamis.sources import runs as log
@@ -291,6 +293,65 @@ def run_condition(spark, folder):
     return rounded(runs, "value")
 
 
+BOOTSTRAP_RUNS = 5
+# The metrics by their definitions, of stored predictions.
+PLAIN_METRICS = """
+WITH p AS (
+  SELECT *, probs[1] AS s, array_position(probs, array_max(probs)) - 1 AS best,
+         rank() OVER (PARTITION BY run_index, split ORDER BY round(probs[1], 9)) AS low,
+         count(*) OVER (PARTITION BY run_index, split, round(probs[1], 9)) AS same FROM stored),
+c AS (
+  SELECT run_index, split, count(*) AS n_rows, avg(-ln(greatest(probs[_y], 1e-12))) AS loss,
+         avg(int(best = _y)) AS accuracy, sum(int(best = 1 AND _y = 1)) AS tp, sum(int(best = 1 AND _y <> 1)) AS fp,
+         sum(int(best <> 1 AND _y = 1)) AS fn, sum(int(_y = 1)) AS pos,
+         sum(CASE WHEN _y = 1 THEN low + (same - 1) / 2D END) AS ranks FROM p GROUP BY run_index, split)
+SELECT run_index, split, n_rows, inline(array(
+  named_struct('metric', 'loss', 'plain', loss), named_struct('metric', 'accuracy', 'plain', accuracy),
+  named_struct('metric', 'precision', 'plain', coalesce(try_divide(tp, tp + fp), 0D)),
+  named_struct('metric', 'recall', 'plain', coalesce(try_divide(tp, tp + fn), 0D)),
+  named_struct('metric', 'f1', 'plain', coalesce(try_divide(2 * tp, 2 * tp + fp + fn), 0D)),
+  named_struct('metric', 'auroc', 'plain', (ranks - pos * (pos + 1) / 2) / (pos * (n_rows - pos))))) FROM c"""
+
+
+@query(
+    "run_condition_check",
+    f"""WITH {sql_split('embeddings', 'vec_id')},
+masses AS (SELECT t, exp(-1.0::DOUBLE) / gamma(t::DOUBLE) AS mass FROM unnest(range(1, 19)) r(t)),
+reached AS (SELECT t, sum(mass) OVER (ORDER BY t) AS c FROM masses),
+draws AS (
+  SELECT run_index, {sql_uniform('bootstrap', 'vec_id').replace("'42'", "CAST(42 + run_index AS VARCHAR)")} AS u
+  FROM parted, unnest(range(0, {BOOTSTRAP_RUNS})) r(run_index) WHERE split = 'train'),
+drawn AS (
+  SELECT d.run_index, count(*) AS train_weight FROM draws d JOIN reached ON u >= c GROUP BY d.run_index),
+held AS (SELECT split, count(*) AS n_rows FROM parted WHERE split <> 'train' GROUP BY split)
+SELECT CAST(run_index AS INTEGER) AS run_index, split, metric, n_rows, CAST(train_weight AS DOUBLE) AS train_weight,
+       true AS at_minimum, true AS agrees
+FROM drawn, held, unnest(['loss', 'accuracy', 'precision', 'recall', 'f1', 'auroc']) m(metric)""",
+)
+def run_condition_check(spark, folder):
+    """Every run's metrics equal their definitions over its stored predictions; its fit is at the minimum."""
+    manifest = split_embeddings(spark, folder)
+    scored, fitted = experiments.scored_runs(manifest, "vec_id", "label", "embedding", BOOTSTRAP_RUNS)
+    path = scratch_path(spark, "predictions")
+    scored.write.parquet(path)
+    stored = spark.read.parquet(path)
+    logged = experiments.log_of_runs(stored, "baseline", "vec_id", "probe")
+    plain = spark.sql(PLAIN_METRICS.replace("FROM stored", "FROM {stored}"), stored=stored)
+    both = logged.join(plain.withColumn("metric", F.concat_ws("_", "split", "metric")), ["run_index", "metric"])
+    train = manifest.filter("split = 'train'")
+    weights = train.agg(*[F.sum(experiments.bootstrap_weight("vec_id", SEED + i)).alias(str(i)) for i in range(BOOTSTRAP_RUNS)])
+    minima = F.array(*[F.lit(bool(g <= TOLERANCE)) for g in fitted.gradient])
+    return both.crossJoin(F.broadcast(weights)).select(  # one row
+        "run_index",
+        "split",
+        F.element_at(F.split("metric", "_"), 2).alias("metric"),
+        "n_rows",
+        F.get(F.array(*[F.col(str(i)) for i in range(BOOTSTRAP_RUNS)]), F.col("run_index")).alias("train_weight"),
+        F.get(minima, F.col("run_index")).alias("at_minimum"),
+        (F.abs(F.col("value") - F.col("plain")) < 1e-6).alias("agrees"),
+    )
+
+
 # Event types as the four versions of a dataset.
 VERSIONS = dict(zip(EVENT_TYPES, log.CONDITIONS))
 

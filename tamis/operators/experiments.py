@@ -11,6 +11,7 @@ from tamis.functions.keyed import SEED, key_uniform
 from tamis.functions.stats import t_critical, t_two_sided_p
 from tamis.operators.cleaning import select_split
 from tamis.operators.metrics import evaluate
+from tamis.operators.softmax import Fitted, fit_replicas, replica_probabilities
 from tamis.session import materialise
 from tamis.sources.runs import CONDITIONS, metrics_to_long, present
 
@@ -109,6 +110,27 @@ def bootstrap_weight(key: str, run_seed: int) -> Column:
     return weight.cast("double")
 
 
+def scored_runs(
+    df: DataFrame, key: str, label: str, vec: str, n_runs: int = 5, base_seed: int = SEED, reg: float = 0.01, max_passes: int = 200
+) -> tuple[DataFrame, Fitted]:
+    """Predictions of every run on the val and test rows, and the fits.
+
+    (``run_index``, ``split``, ``key``, ``_y``, ``probs``). The runs are fitted together on
+    the train rows, each with the weights of its own bootstrap; labels are 0..K-1.
+    """
+    rows = df.select(key, F.col(label).cast("int").alias("_y"), "split", F.col(vec).alias("_x"))
+    weights = F.array(*[bootstrap_weight(key, base_seed + i) for i in range(n_runs)])
+    # Every pass reads these rows.
+    train = materialise(select_split(rows, "train").withColumn("_w", weights))
+    n_classes = train.agg(F.max("_y")).first()[0]
+    if n_classes is None:
+        raise ValueError("no rows to fit on")
+    fitted = fit_replicas(train, "_x", "_y", "_w", max(2, n_classes + 1), reg, max_passes)
+    held = select_split(rows, "val").unionByName(select_split(rows, "test"))
+    each = F.posexplode(replica_probabilities(held, "_x", fitted)).alias("run_index", "probs")
+    return held.select("split", key, "_y", each), fitted
+
+
 def run_condition(
     df: DataFrame,
     condition: str,
@@ -118,42 +140,32 @@ def run_condition(
     experiment: str,
     n_runs: int = 5,
     base_seed: int = SEED,
-    max_iter: int = 20,
     reg: float = 0.01,
+    max_passes: int = 200,
 ) -> DataFrame:
     """Fit and score the fixed model ``n_runs`` times on the same split; rows for the run log.
 
     The optimiser has no random start, so runs differ by a seeded bootstrap of the train
     rows. Hyper-parameters never depend on the condition.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
     if condition not in CONDITIONS:
         raise ValueError(f"condition must be one of {CONDITIONS}")
-    # Every fit and every score reads these rows.
-    rows = materialise(df.select(key, F.col(label).alias("_y"), "split", array_to_vector(F.col(vec)).alias("_x")))
-    train, *held = (select_split(rows, split) for split in ("train", "val", "test"))
-    fit = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=max_iter, regParam=reg)
-    log = None
-    for i in range(n_runs):
-        seed = base_seed + i
-        model = fit.fit(train.withColumn("_w", bootstrap_weight(key, seed)).filter("_w > 0"))
-        for split, part in zip(("val", "test"), held):
-            scored = model.transform(part).select(
-                key, "_y", vector_to_array("probability").alias("probs")
-            )
-            one = metrics_to_long(evaluate(scored, key, "_y"), [], f"{split}_")
-            lines = one.select(
-                F.lit(experiment).alias("experiment"),
-                F.lit(condition).alias("condition"),
-                F.lit(i).alias("run_index"),
-                F.lit(seed).cast("bigint").alias("run_seed"),
-                "metric",
-                "value",
-            )
-            log = lines if log is None else log.unionByName(lines)
-    return log
+    scored, _ = scored_runs(df, key, label, vec, n_runs, base_seed, reg, max_passes)
+    return log_of_runs(scored, condition, key, experiment, base_seed)
+
+
+def log_of_runs(scored: DataFrame, condition: str, key: str, experiment: str, base_seed: int = SEED) -> DataFrame:
+    """Rows for the run log from the predictions of ``scored_runs``."""
+    by = ["run_index", "split"]
+    long = metrics_to_long(evaluate(scored, key, "_y", by=by), by, "")
+    return long.select(
+        F.lit(experiment).alias("experiment"),
+        F.lit(condition).alias("condition"),
+        "run_index",
+        (F.lit(base_seed).cast("bigint") + F.col("run_index")).alias("run_seed"),
+        F.concat_ws("_", "split", "metric").alias("metric"),
+        "value",
+    )
 
 
 def learning_curve(active: DataFrame, random: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from tamis.functions.keyed import NO_SCORE, SCORE_SCALE, SEED, key_uniform, rand
 from tamis.functions.vectors import argmax_index, class_at, entropy, largest_other, own_probability, place_of, vector_sums
 from tamis.operators.cleaning import drop_listed, update_listed
 from tamis.operators.ranking import BELOW_ALL, GroupSize, cuts_at_bounds, global_rank, rank_band
+from tamis.operators.softmax import fit_replicas, replica_probabilities
 from tamis.operators.splits import stratified_kfold
 from tamis.session import bounded, join_small, local_table, materialise, small_rows
 
@@ -139,30 +140,21 @@ def oos_probabilities_logistic(
     vec: str,
     k: int = 5,
     seed: int = SEED,
-    max_iter: int = 20,
     reg: float = 0.01,
+    max_passes: int = 200,
 ) -> DataFrame:
-    """The same with a multinomial logistic regression per fold.
+    """The same with a multinomial logistic regression per fold, all folds fitted together.
 
-    A class that the rows of a fit lack has probability 0.
+    A row weighs 0 in the fit of its own fold. A class that the rows of a fit lack has
+    probability 0; a null vector has null probabilities.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    folded = stratified_kfold(df.select(key, label, vec), key, label, k, seed)
     classes = class_list(df, label)
-    place = place_of(label, classes).cast("double")
-    # Every fit and every fold reads these rows.
-    rows = materialise(folded.select(key, label, place.alias("_y"), "fold", array_to_vector(F.col(vec)).alias("_x")))
-    fit = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=max_iter, regParam=reg, family="multinomial")
-    scored = None
-    for f in range(k):
-        model = fit.fit(rows.filter((F.col("fold") != f) & F.col("_y").isNotNull()))
-        absent = F.array_repeat(F.lit(0.0), len(classes) - model.numClasses)
-        probs = F.concat(vector_to_array("probability"), absent)
-        part = model.transform(rows.filter(F.col("fold") == f)).select(key, label, "fold", probs.alias("probs"))
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
+    folded = stratified_kfold(df.select(key, label, vec), key, label, k, seed)
+    others = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.when(f == F.col("fold"), 0.0).otherwise(1.0))
+    # Every pass reads these rows.
+    rows = materialise(folded.withColumns({"_y": place_of(label, classes), "_w": others}))
+    fitted = fit_replicas(rows, vec, "_y", "_w", len(classes), reg, max_passes)
+    return rows.select(key, label, "fold", replica_probabilities(rows, vec, fitted, "fold").alias("probs"))
 
 
 # --- confident learning ------------------------------------------------------------

@@ -120,16 +120,18 @@ def predictions(
     )
 
 
-def evaluate(df: DataFrame, key: str, label: str, probs: str = "probs", classes: Sequence | None = None) -> DataFrame:
-    """The whole metric suite in one row and one pass: loss, accuracy, precision, recall, f1, auroc."""
-    scored = predictions(df.withColumn("_own", _own(label, probs, classes)), key, label, probs, extra=("_own",), classes=classes)
+def evaluate(
+    df: DataFrame, key: str, label: str, probs: str = "probs", classes: Sequence | None = None, by: Sequence[str] = ()
+) -> DataFrame:
+    """The whole metric suite, one row per group, in one pass: loss, accuracy, precision, recall, f1, auroc."""
+    scored = predictions(df.withColumn("_own", _own(label, probs, classes)), key, label, probs, extra=("_own", *by), classes=classes)
     y, p = F.col(label) == 1, F.col("prediction") == 1
     count = lambda condition: F.when(condition, 1).otherwise(0)
     totals = _ranked_points(
         scored,
         label,
         "positive_prob",
-        (),
+        by,
         {
             "_loss": -F.log(F.greatest(F.col("_own"), F.lit(LOG_FLOOR))),
             "_same": count(F.col(label) == F.col("prediction")),
@@ -141,6 +143,7 @@ def evaluate(df: DataFrame, key: str, label: str, probs: str = "probs", classes:
     n = F.col("_pos") + F.col("_neg")
     tp, fp, fn = F.col("_tp"), F.col("_fp"), F.col("_fn")
     return totals.select(
+        *by,
         F.try_divide(F.col("_loss"), n).alias("loss"),
         _ratio(F.col("_same"), n).alias("accuracy"),
         _ratio(tp, tp + fp).alias("precision"),
