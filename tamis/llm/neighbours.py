@@ -2,9 +2,10 @@
 
 Vectors are centred, rotated by a random orthogonal matrix and reduced to signs. With its
 norm and the inner product of the unit vector and its code, a packed code gives an unbiased
-estimate of the inner product with any query and a bound on its error. Per block of vectors,
-a vector is compared exactly unless its least possible distance is beyond the tenth smallest
-of the largest possible ones.
+estimate of the inner product with any query and a bound on its error. Queries are reduced to
+four bits a component, so that an estimate is four ANDs and bit counts a word. Per block of
+vectors, those with the smallest estimates are compared exactly first; of the others, only
+those whose least possible distance is within the tenth smallest exact one so far.
 """
 
 from __future__ import annotations
@@ -20,8 +21,13 @@ from pyspark.sql import functions as F
 from tamis.session import materialise
 
 SEED = 11
-# Error bounds in standard errors of the estimate.
-ERRORS = 5.0
+# Error bounds in standard errors of the estimate. A neighbour is missed if its estimate errs by more
+# and by more than its distance to the tenth: with a probability below 5e-3 each, none of 1,000 on sf0.1.
+ERRORS = 2.6
+# Bits of a component of a query.
+QUERY_BITS = 4
+# Vectors a query is compared with exactly before any is left out.
+FIRST = 64
 # Vectors and queries of a block.
 VECTOR_ROWS = 16_384
 QUERY_ROWS = 1_024
@@ -63,28 +69,64 @@ def codes(matrix: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.packbits(turned > 0, axis=1, bitorder="little"), norms, np.where(norms > 0, agree, 1)
 
 
+def words(packed: np.ndarray) -> np.ndarray:
+    """Packed bits as whole 64-bit words, filled up with zeros."""
+    spare = -packed.shape[1] % 8
+    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, spare)))).view("<u8")
+
+
+def signed_sums(bits: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(queries x vectors) sums of the queries' components, signed by the vectors' bits, and per
+    query the standard error of a component.
+
+    Components are rounded to sixteen levels between the query's ends, whose bits are counted
+    plane by plane.
+    """
+    low = turned.min(axis=1)
+    step = (turned.max(axis=1) - low) / (2**QUERY_BITS - 1)
+    levels = np.rint((turned - low[:, None]) / np.where(step > 0, step, 1)[:, None]).astype(np.uint8)
+    total = np.zeros((len(turned), len(bits)))
+    for place in range(QUERY_BITS):
+        plane = words(np.packbits((levels >> place) & 1, axis=1, bitorder="little"))
+        for w in range(bits.shape[1]):
+            total += np.bitwise_count(plane[:, None, w] & bits[None, :, w]) * float(2**place)
+    ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    total *= 2 * step[:, None]
+    total += 2 * low[:, None] * ones
+    total -= (levels * step[:, None] + low[:, None]).sum(axis=1)[:, None]
+    return total, step / math.sqrt(12)
+
+
 def candidates(
-    packed: np.ndarray, norms: np.ndarray, agree: np.ndarray, queries: np.ndarray, middle: np.ndarray, own: np.ndarray, k: int
+    bits: np.ndarray, norms: np.ndarray, agree: np.ndarray, matrix: np.ndarray, queries: np.ndarray, middle: np.ndarray, own: np.ndarray, k: int
 ) -> np.ndarray:
-    """(queries x vectors) whether a vector may be among the ``k`` nearest of the block.
+    """(queries x vectors) which vectors are to be compared exactly for the ``k`` nearest of the block.
 
     ``own`` marks pairs that are one row and never count.
     """
+    if len(matrix) <= max(k, FIRST):
+        return ~own
     dim = queries.shape[1]
     turned = (queries - middle) @ rotation(dim)
     lengths = np.linalg.norm(turned, axis=1)
-    signs = np.unpackbits(packed, axis=1, count=dim, bitorder="little").astype(np.float64) * 2 - 1
-    inner = (turned @ signs.T) / math.sqrt(dim) / agree
-    slack = ERRORS * lengths[:, None] * np.sqrt(np.maximum(0.0, 1 - agree**2) / agree**2 / max(1, dim - 1))
-    mid = lengths[:, None] ** 2 + norms**2 - 2 * norms * inner
-    spread = 2 * norms * slack + 1e-9 * (1 + norms**2 + lengths[:, None] ** 2)
-    # the triangle inequality bounds both sides whatever the code says
-    least = np.maximum(mid - spread, (lengths[:, None] - norms) ** 2 * (1 - 1e-9) - 1e-9)
-    most = np.minimum(mid + spread, (lengths[:, None] + norms) ** 2 * (1 + 1e-9) + 1e-9)
-    most[own] = np.inf
-    if most.shape[1] <= k:
-        return ~own
-    return (least <= np.partition(most, k - 1, axis=1)[:, k - 1 : k]) & ~own
+    sums, rough = signed_sums(bits, turned)
+    # inner products with the unit vectors, and their errors
+    sums /= math.sqrt(dim) * agree
+    variance = lengths[:, None] ** 2 * np.maximum(0.0, 1 - agree**2) / max(1, dim - 1)
+    slack = ERRORS * np.sqrt(variance + rough[:, None] ** 2) / agree
+    mid = lengths[:, None] ** 2 + norms**2 - 2 * norms * sums
+    mid[own] = np.inf
+    count = max(k, FIRST)
+    first = np.argpartition(mid, count - 1, axis=1)[:, :count]
+    rows = np.repeat(np.arange(len(queries)), count)
+    known = exact_distances(queries[rows], matrix[first.ravel()]).reshape(len(queries), count)
+    known[np.take_along_axis(own, first, axis=1)] = np.inf
+    bound = np.partition(known, k - 1, axis=1)[:, k - 1 : k] ** 2 * (1 + 1e-9)
+    # the triangle inequality bounds the distance whatever the code says
+    least = np.maximum(mid - 2 * norms * slack, (lengths[:, None] - norms) ** 2)
+    keep = least <= bound + 1e-9 * (1 + norms**2 + lengths[:, None] ** 2)
+    np.put_along_axis(keep, first, True, axis=1)
+    return keep & ~own
 
 
 def exact_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -133,13 +175,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         out: list[tuple] = []
         if near.num_rows and wanted.num_rows:
             ids, matrix = near.column("id").to_numpy(), _matrix(near.column("v").combine_chunks())
-            packed = np.frombuffer(b"".join(near.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            bits = words(np.frombuffer(b"".join(near.column("code").to_pylist()), np.uint8).reshape(len(ids), -1))
             norms, agree = near.column("norm").to_numpy(), near.column("agree").to_numpy()
             query_ids, queries_of = wanted.column("id").to_numpy(), _matrix(wanted.column("v").combine_chunks())
             step = max(1, CELLS // len(ids))
             for at in range(0, len(query_ids), step):
                 part = slice(at, at + step)
-                keep = candidates(packed, norms, agree, queries_of[part], middle, query_ids[part, None] == ids, k)
+                keep = candidates(bits, norms, agree, matrix, queries_of[part], middle, query_ids[part, None] == ids, k)
                 q, c = np.nonzero(keep)
                 score = np.concatenate(
                     [exact_distances(queries_of[part][q[a : a + 65536]], matrix[c[a : a + 65536]]) for a in range(0, len(q), 65536)] or [np.zeros(0)]

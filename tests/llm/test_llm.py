@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -405,6 +406,40 @@ def test_neighbours_recall(spark):
     assert hits >= 0.98 * total
 
 
+def test_bit_counts_estimate_inner_products():
+    draw = np.random.default_rng(3)
+    for dim in (5, 64, 100):
+        signs, asked = draw.integers(0, 2, (50, dim)), draw.normal(size=(7, dim)) * 3 + 1
+        got, error = neighbours.signed_sums(neighbours.words(np.packbits(signs, axis=1, bitorder="little")), asked)
+        gap = np.abs(got - asked @ (signs * 2 - 1).T)
+        assert (gap <= error[:, None] * np.sqrt(12) / 2 * dim + 1e-9).all()
+        assert gap.mean() < 2 * (error * np.sqrt(dim)).mean()
+    same = neighbours.signed_sums(neighbours.words(np.array([[5]], np.uint8)), np.full((1, 3), 2.0))
+    assert same[0].tolist() == [[2.0]] and same[1].tolist() == [0.0]
+
+
+def test_codes_leave_vectors_out():
+    matrix = np.array([r for r in duckdb.sql("SELECT embedding FROM '/root/testdata/sf0.1/embeddings.parquet' ORDER BY vec_id").fetchnumpy()["embedding"]], np.float64)
+    middle = matrix.mean(axis=0)
+    packed, norms, agree = neighbours.codes(matrix, middle)
+    asked = np.arange(0, len(matrix), 20)
+    own = asked[:, None] == np.arange(len(matrix))
+    keep = neighbours.candidates(neighbours.words(packed), norms, agree, matrix, matrix[asked], middle, own, 10)
+    assert not keep[own].any() and keep.mean() <= 0.4
+    hits = 0
+    for q, kept in zip(asked, keep):
+        d = np.linalg.norm(matrix - matrix[q], axis=1)
+        d[q] = np.inf
+        hits += kept[np.argsort(d, kind="stable")[:10]].sum()
+    assert hits >= 0.98 * 10 * len(asked)
+    # copies of a query are never left out
+    twice = np.concatenate([matrix, matrix[:20]])
+    packed, norms, agree = neighbours.codes(twice, middle)
+    own = np.arange(20)[:, None] == np.arange(len(twice))
+    keep = neighbours.candidates(neighbours.words(packed), norms, agree, twice, twice[:20], middle, own, 10)
+    assert keep[np.arange(20), len(matrix) + np.arange(20)].all()
+
+
 def test_neighbours_of_hard_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [0.0, 1.0]), (None, [1.0, 1.0])]
