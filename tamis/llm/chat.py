@@ -69,7 +69,7 @@ MAPPINGS = (
         optional=("system", "input"),
     ),
 )
-# Names of roles that mean a canonical one.
+# Names of roles that mean a canonical one. Rows by turn keep their roles as they are.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
 
@@ -129,14 +129,15 @@ def turns_of_columns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPING
         parts = records.select(conv, F.posexplode(F.array(*pairs)).alias("turn", "m")).select("conv_id", F.col("turn").cast("bigint"), "m.role", "m.text")
     else:
         parts = records.select(conv, field(mapping.number).cast("bigint").alias("turn"), field(mapping.role).alias("role"), field(mapping.text).alias("text"))
-    return _canonical(parts)
+    role = _canonical_role() if mapping.turns or mapping.fixed else F.col("role")
+    return parts.select("conv_id", "turn", F.coalesce(role, F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _canonical(parts: DataFrame) -> DataFrame:
-    role: Column = F.coalesce(F.col("role"), F.lit(""))
+def _canonical_role() -> Column:
+    role = F.col("role")
     for name, meant in ROLES.items():
         role = F.when(F.col("role") == name, meant).otherwise(role)
-    return parts.select("conv_id", "turn", role.alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return role
 
 
 def _at(record: dict, path: str) -> object:
@@ -185,9 +186,8 @@ def turns_of_json(records: DataFrame, column: str, mappings: tuple[Mapping, ...]
     names = ["fingerprint", "layout", "conv_id", "turn", "role", "text"]
     made = records.select(column).mapInArrow(run, f"fingerprint string, layout string, {TURNS}")
     known_rows = F.col("layout").isNotNull()
-    role = F.col("role")
-    for name, meant in ROLES.items():
-        role = F.when(F.col("role") == name, meant).otherwise(role)
+    by_turn = [m.name for m in mappings if not (m.turns or m.fixed)]
+    role = F.when(F.col("layout").isin(by_turn), F.col("role")).otherwise(_canonical_role())
     return made.withColumns(
         {"role": F.when(known_rows, F.coalesce(role, F.lit(""))), "text": F.when(known_rows, F.coalesce("text", F.lit("")))}
     )

@@ -523,6 +523,15 @@ def test_mixed_layouts_become_turns(spark):
         chat.turns_of_columns(spark.createDataFrame([(1,)], "conv_id bigint"))
 
 
+def test_rows_by_turn_keep_their_roles(spark):
+    rows = spark.createDataFrame([(1, 0, "human", "hi"), (1, 1, "gpt", "yes")], "conv_id bigint, turn bigint, role string, text string")
+    assert [r.role for r in chat.turns_of_columns(rows).orderBy("turn").collect()] == ["human", "gpt"]
+    lines = rows.select(F.to_json(F.struct("*")).alias("record"))
+    assert sorted(r.role for r in chat.turns_of_json(lines, "record").collect()) == ["gpt", "human"]
+    read = chat.read_back(chat.format_turns(chat.turns_of_columns(rows))).first()
+    assert read.turns_sha256 == hashlib.sha256(b"human\nhi\ngpt\nyes\n").hexdigest() and read.loss_chars == 0
+
+
 def test_conversations_read_back(spark):
     rows = [(1, 1, "assistant", "<|end|> \\ <|"), (1, 0, "user", None), (1, 1, "assistant", "<|end|> \\ <|"), (2, 0, None, ""), (None, None, "assistant", "x"), (3, 0, "assistant", "é" * 50_000)]
     turns = chat.turns_of_columns(spark.createDataFrame([(*r, 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, piece int"))
