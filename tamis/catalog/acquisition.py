@@ -9,7 +9,9 @@ from tamis.catalog.noise import embeddings, probabilities, split_embeddings, sql
 from tamis.operators import acquire as ops
 from tamis.operators.experiments import learning_curve
 from tamis.functions.vectors import squared_distance, vector_sums
-from tamis.session import join_small
+from tamis.functions.keyed import SEED
+from tamis.operators.clusters import fit_clusters
+from tamis.session import join_small, materialise
 
 BATCH = 50
 SQL_ENTROPY = "-sum(p * ln(p + 1e-12::DOUBLE))"
@@ -48,6 +50,20 @@ def kmeans_clusters(spark, folder):
     return rounded(ops.cluster(embeddings(spark, folder), "vec_id", "embedding"), "distance")
 
 
+@query("kmeans_clusters_check", "SELECT vec_id, true AS nearest, true AS best_start FROM embeddings WHERE embedding IS NOT NULL")
+def kmeans_clusters_check(spark, folder):
+    """Every row once: no centre is nearer than its own, and no single start costs less."""
+    rows = materialise(embeddings(spark, folder).select("vec_id", "embedding"))
+    best = fit_clusters(rows, "vec_id", "embedding", ops.CLUSTERS, SEED, ops.RESTARTS, 20)
+    assigned = ops.assign(rows, "vec_id", "embedding", best.centres)
+    cost = assigned.agg(F.sum(F.col("distance") * F.col("distance"))).first()[0]
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in best.centres])
+    least = F.array_min(F.transform(centres, lambda c: squared_distance("embedding", c)))
+    return rows.join(assigned, "vec_id").select(
+        "vec_id", (F.col("distance") <= F.sqrt(least) + 1e-9).alias("nearest"), F.lit(bool(cost <= best.costs.min() * (1 + 1e-9))).alias("best_start")
+    )
+
+
 # Given assignments: the label stands for the cluster, its mean for the centre.
 SQL_ASSIGNED = """parts AS (
   SELECT vec_id, label AS cluster, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(0, 64)) AS dim FROM embeddings),

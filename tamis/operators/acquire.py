@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +17,7 @@ from tamis.functions.vectors import (
     squared_distance,
     vector_dim,
 )
+from tamis.operators.clusters import fit_clusters, nearest_centre
 from tamis.operators.label_noise import centroid_probabilities, centroid_table, class_list, wrong_class
 from tamis.operators.metrics import evaluate
 from tamis.operators.ranking import rank_band, top_k
@@ -56,24 +57,22 @@ def most_uncertain(df: DataFrame, key: str, probs: str, k: int, method: str = "e
 def cluster(
     df: DataFrame, key: str, vec: str, k: int = CLUSTERS, seed: int = SEED, restarts: int = RESTARTS, max_iter: int = 20
 ) -> DataFrame:
-    """K-means clusters, the best of several starts: (``key``, ``cluster``, ``distance``)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = df.select(key, vec, array_to_vector(F.col(vec)).alias("_x"))
-    # Every start and iteration reads the vectors again.
-    vectors = rows.select("_x").persist(StorageLevel.MEMORY_AND_DISK)
-    best = None
-    for start in range(restarts):
-        means = KMeans(featuresCol="_x", predictionCol="cluster", k=k, seed=seed + start, maxIter=max_iter)
-        model = means.fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    vectors.unpersist()
-    centres = [(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())]
-    table = local_table(df.sparkSession, centres, "cluster int, _centre array<double>")
+    """K-means clusters, the best of several starts, fitted together: (``key``, ``cluster``, ``distance``).
+
+    Null vectors have no cluster and are left out.
+    """
+    # Every pass reads the vectors again.
+    rows = materialise(df.select(key, vec).filter(F.col(vec).isNotNull()))
+    best = fit_clusters(rows, key, vec, k, seed, restarts, max_iter)
+    return assign(rows, key, vec, best.centres)
+
+
+def assign(rows: DataFrame, key: str, vec: str, centres: np.ndarray) -> DataFrame:
+    """(``key``, ``cluster``, ``distance``) of the nearest centre."""
+    listed = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
+    table = local_table(rows.sparkSession, listed, "cluster int, _centre array<double>")
     return (
-        best.transform(rows)
+        rows.withColumn("cluster", nearest_centre(rows, vec, centres))
         .join(F.broadcast(table), "cluster")
         .select(key, "cluster", F.sqrt(squared_distance(vec, "_centre")).alias("distance"))
     )

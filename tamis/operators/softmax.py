@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions.arrow import once
 from tamis.functions.vectors import vector_dim, vector_sums
+from tamis.operators.passes import CELL_SUMS, added, cell_sums, few_parts, matrix
 from tamis.session import SMALL_BYTES, small_rows
 
 # Pairs of steps that a replica remembers.
@@ -87,16 +88,8 @@ class _Descent:
         return self.stalled or (self.slope is not None and np.abs(self.slope).max() <= tolerance)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), dim)
-
-
-def _pass(rows: DataFrame, vec: str, place: str, weights: str, points: np.ndarray, closed: np.ndarray, middle: np.ndarray, scale: np.ndarray, few_parts: bool) -> np.ndarray:
-    """(replicas, classes, dimensions + 2): sums of the gradient, the intercept's and the loss, the latter at class 0.
-
-    With ``few_parts`` the driver adds the sums of the partitions, otherwise Spark does.
-    """
+def _pass(rows: DataFrame, vec: str, place: str, weights: str, points: np.ndarray, closed: np.ndarray, middle: np.ndarray, scale: np.ndarray, few: bool) -> np.ndarray:
+    """(replicas, classes, dimensions + 2): sums of the gradient, the intercept's and the loss, the latter at class 0."""
     shared = rows.sparkSession.sparkContext.broadcast((points, closed, middle, scale))
     n_fits, n_classes, width = points.shape
 
@@ -111,9 +104,9 @@ def _pass(rows: DataFrame, vec: str, place: str, weights: str, points: np.ndarra
                 part = batch.slice(start, step)
                 n = part.num_rows
                 x = np.ones((n, width))
-                x[:, :-1] = (_matrix(part.column(0), width - 1) - mean) * factor
+                x[:, :-1] = (matrix(part.column(0), width - 1) - mean) * factor
                 y = part.column(1).to_numpy()
-                w = _matrix(part.column(2), n_fits)
+                w = matrix(part.column(2), n_fits)
                 z = (x @ flat).reshape(n, n_fits, n_classes) + bias
                 z -= z.max(axis=2, keepdims=True)
                 own = z[np.arange(n), :, y]
@@ -127,19 +120,10 @@ def _pass(rows: DataFrame, vec: str, place: str, weights: str, points: np.ndarra
         out = np.zeros((n_fits, n_classes, width + 1))
         out[:, :, :-1] = slope.reshape(n_fits, n_classes, width)
         out[:, 0, -1] = loss
-        cells = pa.array(np.arange(n_fits * n_classes, dtype=np.int32))
-        offsets = pa.array(np.arange(0, out.size + 1, width + 1, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([cells, pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], ["cell", "sums"])
-
-    parts = rows.select(vec, place, weights).mapInArrow(sums, "cell int, sums array<double>")
-    out = np.zeros((n_fits * n_classes, width + 1))
-    if few_parts:
-        found = parts.toArrow().combine_chunks()
-        np.add.at(out, found.column("cell").to_numpy(), _matrix(found.column("sums").combine_chunks(), width + 1))
-    else:
-        # One row per replica and class.
-        for row in vector_sums(parts, ["cell"], "sums", dim=width + 1).collect():
-            out[row.cell] = row.sums
+        yield cell_sums(out.reshape(n_fits * n_classes, width + 1))
+
+    parts = rows.select(vec, place, weights).mapInArrow(sums, CELL_SUMS)
+    out = added(parts, n_fits * n_classes, width + 1, few)
     shared.unpersist()
     return out.reshape(n_fits, n_classes, width + 1)
 
@@ -175,10 +159,10 @@ def fit_replicas(
     totals = np.maximum(mass.sum(axis=1), 1e-300)
     fits = [_Descent(n_classes * (dim + 1)) for _ in range(n_fits)]
     shape, passes = (n_classes, dim + 1), 0
-    few_parts = rows.rdd.getNumPartitions() * n_fits * n_classes * (dim + 2) * 8 <= SMALL_BYTES
+    few = few_parts(rows, n_fits * n_classes, dim + 2)
     while passes < max_passes and not all(f.ended(tolerance) for f in fits):
         points = np.stack([f.trial.reshape(shape) for f in fits])
-        sums = _pass(rows, vec, place, weights, points, closed, middle, scale, few_parts)
+        sums = _pass(rows, vec, place, weights, points, closed, middle, scale, few)
         passes += 1
         for i, fit in enumerate(fits):
             if fit.ended(tolerance):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tamis.operators import experiments, softmax
+from tamis.operators import experiments, passes, softmax
 from tamis.operators.splits import stratified_split
 
 
@@ -43,7 +43,7 @@ def test_every_replica_is_at_its_minimum(spark, drawn, monkeypatch, bound):
     x, y, w = drawn
     rows = rows_of(spark, x, y, w).cache()
     odd = spark.createDataFrame([(900, None, 1, [1.0, 1.0]), (901, [0.0] * 4, None, [1.0, 1.0]), (902, [0.0] * 4, 7, [1.0, 1.0]), (903, [9e9] * 4, 0, [0.0, 0.0])], rows.schema)
-    monkeypatch.setattr(softmax, "SMALL_BYTES", bound)
+    monkeypatch.setattr(passes, "SMALL_BYTES", bound)
     fitted = softmax.fit_replicas(rows.unionByName(odd), "vec", "y", "w", 3, tolerance=1e-6)
     assert fitted.passes < 100 and (fitted.gradient <= 1e-6).all()
     used = w.sum(axis=1) > 0
