@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 from tokenizers import Tokenizer
 
-from tamis.llm.batches import Remembered, chosen, steps, strings
+from tamis.llm.batches import chosen, steps, strings
 from tamis.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -36,9 +36,9 @@ FILE_IDS = 16 << 20
 REMEMBERED = 500_000
 
 
-# A text of these characters alone, in which neither composition nor case depends on neighbours,
+# A text without these characters, in which neither composition nor case depends on neighbours,
 # is cut here into the tokenizer's own pre-tokens; "<|" may begin a special token.
-SIMPLE = re.compile(r"(?:(?!<\|)[\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ])*+\Z")
+HARD = re.compile(r"[^\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]")
 PRE_TOKENS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+")
 # Pre-tokens that the library gets at once.
 LEARN_ROWS = 4096
@@ -54,6 +54,24 @@ def byte_level(text: str) -> str:
     return text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(_BYTE_LEVEL)
 
 
+class Known(dict):
+    """The codes of keys met before; a key met for the first time is learned where it is looked up.
+
+    What the ``older`` codes hold moves here when it is met again.
+    """
+
+    def __init__(self, learn: Callable[[str], bytes], older: dict[str, bytes]) -> None:
+        super().__init__()
+        self._learn, self.older = learn, older
+
+    def __missing__(self, key: str) -> bytes:
+        code = self.older.get(key)
+        if code is None:
+            code = self._learn(key)
+        self[key] = code
+        return code
+
+
 class Encoder:
     """Whole-text ids of a tokenizer that drops white space, pre-token by pre-token.
 
@@ -65,25 +83,33 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.known = Remembered(self._learn, REMEMBERED)
-
-    def _learn(self, keys: list[str]) -> list[bytes]:
-        """A key is a pre-token, or a blank and a whole piece."""
-        kind = "H" if self.wide == "<u2" else "I"
-        found: dict[str, list[int]] = {}
-        whole = [k for k in keys if k[0] == " "]
-        for at in range(0, len(whole), LEARN_ROWS):
-            some = whole[at : at + LEARN_ROWS]
+        self.kind = "H" if self.wide == "<u2" else "I"
+        self.known = Known(self._pre_token, {})
+
+    def _pre_token(self, key: str) -> bytes:
+        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(byte_level(key))]).tobytes()
+
+    def _learn_pieces(self, keys: set[str]) -> None:
+        """Whole pieces (a blank in front) go through the tokenizer many at once."""
+        known, older = self.known, self.known.older
+        new = sorted(k for k in keys if k not in known and k not in older)
+        for at in range(0, len(new), LEARN_ROWS):
+            some = new[at : at + LEARN_ROWS]
             coded = self.tokenizer.encode_batch_fast([k[1:] for k in some], add_special_tokens=False)
-            found |= {k: e.ids for k, e in zip(some, coded)}
-        plain = self.tokenizer.model.tokenize
-        return [array(kind, found[k] if k in found else [t.id for t in plain(byte_level(k))]).tobytes() for k in keys]
+            known.update((k, array(self.kind, e.ids).tobytes()) for k, e in zip(some, coded))
 
     def encode(self, texts: list[str], last: int | None) -> list[bytes]:
         """The ids of each text as little-endian numbers (two bytes each if all ids of the
         vocabulary fit, else four), with ``last`` appended."""
+        if len(self.known) > REMEMBERED:
+            # two generations are kept: what is not met again goes with the older one
+            self.known = Known(self._pre_token, dict(self.known))
         tail = b"" if last is None else np.array([last], self.wide).tobytes()
-        return [ids + tail for ids in self.known.joined([keys_of(t) for t in texts])]
+        pieces: set[str] = set()
+        lists = [keys_of(t, pieces) for t in texts]
+        self._learn_pieces(pieces)
+        code = self.known.__getitem__
+        return [b"".join(map(code, keys)) + tail for keys in lists]
 
 
 @lru_cache(maxsize=2)
@@ -92,17 +118,21 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def keys_of(text: str) -> list[str]:
-    """The pre-tokens of a text, and its other pieces with a blank in front."""
-    ascii_alone = text.isascii() and "<|" not in text and text.replace("\n", " ").isprintable()
-    if ascii_alone or SIMPLE.match(text):
+def is_simple(text: str) -> bool:
+    return "<|" not in text and (text.isascii() and text.replace("\n", " ").isprintable() or not HARD.search(text))
+
+
+def keys_of(text: str, pieces: set[str]) -> list[str]:
+    """The pre-tokens of a text, and its other pieces with a blank in front, which ``pieces`` gets too."""
+    if is_simple(text):
         return PRE_TOKENS.findall(text.lower())
     keys: list[str] = []
     for piece in text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" "):
-        if SIMPLE.match(piece):
+        if is_simple(piece):
             keys += PRE_TOKENS.findall(piece.lower())
         else:
             keys.append(" " + piece)
+            pieces.add(keys[-1])
     return keys
 
 
@@ -132,35 +162,52 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids) per row: little-endian ids of the whole text, two bytes each if all
-    ids of the vocabulary fit, else four. Null texts are empty; repeated rows stay."""
+    """(id, n_tokens, ids, counts) per row: little-endian ids of the whole text, two bytes each if
+    all ids of the vocabulary fit, else four. Null texts are empty; repeated rows stay.
+
+    Every task adds one row of ``counts`` alone: how often each id stands in its rows, as
+    little-endian 64-bit numbers.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
+    schema = pa.schema([("id", _arrow(kind)), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary)
         size = np.dtype(encoder.wide).itemsize
+        total = np.zeros(0, np.int64)
         for batch in steps(batches, 1):
             ids = encoder.encode(strings(batch.column(1)), end_id)
+            total = added(total, np.bincount(np.frombuffer(b"".join(ids), encoder.wide)))
             sizes = pa.array([len(x) // size for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], schema=schema)
+        if len(total):
+            yield pa.RecordBatch.from_pylist([{"counts": total.astype("<i8").tobytes()}], schema)
 
-    return chosen(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary")
+    return chosen(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary, counts binary")
 
 
-def frequencies(encoded: DataFrame, wide: str) -> DataFrame:
-    """(token, n) over all documents; each task sums its own rows before the shuffle."""
+def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two counts of ids, the shorter one filled up with zeros."""
+    short, long = sorted((a, b), key=len)
+    total = long.copy()
+    total[: len(short)] += short
+    return total
+
+
+def frequencies(encoded: DataFrame) -> DataFrame:
+    """(token, n) over all documents, from the counts of the tasks that encoded them; each task
+    adds up what it reads before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in steps(batches, 0):
-            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), wide)
-            counts = np.bincount(ids, minlength=len(total))
-            counts[: len(total)] += total
-            total = counts
+        for batch in batches:
+            for counts in batch.column(0):
+                total = added(total, np.frombuffer(counts.as_py(), "<i8"))
         used = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["token", "n"])
 
-    return encoded.select("ids").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = encoded.filter("counts IS NOT NULL").select("counts")
+    return counted.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 BLOCK = "part int, block int, start bigint, ids array<{kind}>, counts array<bigint>, control binary, data binary"
@@ -180,7 +227,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = END_
     encode(docs, vocabulary, end_id, id_col, text_col).write.parquet(f"{path}/encoded")
     encoded = spark.read.parquet(f"{path}/encoded")
     # at most one row per vocabulary entry
-    listed = sorted(((r["token"], r["n"]) for r in frequencies(encoded, wide).collect()), key=lambda r: (-r[1], r[0]))
+    listed = sorted(((r["token"], r["n"]) for r in frequencies(encoded).collect()), key=lambda r: (-r[1], r[0]))
     tokens = [t for t, _ in listed]
     spark.createDataFrame(pa.table({"rank": pa.array(range(len(tokens)), pa.int64()), "token": pa.array(tokens, pa.int64())})).coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(max(tokens, default=0) + 1, np.uint32)
@@ -217,7 +264,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = END_
     shape = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("ids", pa.list_(_arrow(kind))), ("counts", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
     total = sum(n for _, n in listed)
     parts = max(spark.sparkContext.defaultParallelism, -(-total // FILE_IDS))
-    ranged = encoded.repartitionByRange(parts, "id").sortWithinPartitions("id", "n_tokens", "ids")
+    ranged = encoded.filter("counts IS NULL").repartitionByRange(parts, "id").sortWithinPartitions("id", "n_tokens", "ids")
     ranged.select("id", "ids", F.spark_partition_id().alias("part")).mapInArrow(run, BLOCK.format(kind=kind)).write.parquet(f"{path}/blocks")
 
 
