@@ -4,7 +4,9 @@ Rows are ordered by (hash of the text, hash of the id): equal texts stand togeth
 with very many copies can still be cut between two of them. Probes are the boundaries of 4096
 ranges of that order. One pass counts the exact bytes in each range; every splitter then looks
 only inside the one range that holds its target, until the bytes below it are within the
-tolerance or the range is a single key. One exchange then brings each shard's rows together.
+tolerance or the range is a single key. Shards are numbered by ranges of the same order that a
+task can sort: one exchange brings each range's rows together, and the rows of the shard's
+ranges before it, counted from the keys alone, are added to a row's place in its range.
 """
 
 from __future__ import annotations
@@ -22,6 +24,11 @@ PROBE_BITS = 12
 PART_BITS = 60
 # A splitter may miss its target by this share of a shard.
 TOLERANCE = 0.001
+# Bytes of a range that one task sorts; with more than MOST_RANGES of them, ranges grow instead.
+RANGE_BYTES = 64 << 20
+MOST_RANGES = 1024
+# A range may miss its end by this share of it.
+RANGE_TOLERANCE = 0.5
 
 
 def order_key(id_col: str, text_col: str) -> list[Column]:
@@ -89,19 +96,60 @@ def _place(keys: list[tuple[int, int]], first: int = 0) -> Column:
     return F.when(reached, _place(keys[mid + 1 :], first + mid + 1)).otherwise(_place(keys[:mid], first))
 
 
-def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
+def _ranged(placed: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+    """``placed`` with ``_range``: the number of cuts at or below the row's key.
+
+    Cuts are looked up by the first digit of the key, so that a row is compared with the few
+    of that digit only (many, if one text holds many rows).
+    """
+    if not cuts:
+        return placed.withColumn("_range", F.lit(0))
+    _, shift = _digit(0)
+    inside: dict[int, list[tuple[int, int]]] = {}
+    for cut in cuts:
+        inside.setdefault(cut[0] >> shift, []).append(cut)
+    rows, before = [], 0
+    for digit in range(1 << PROBE_BITS):
+        here = inside.get(digit, [])
+        rows.append((digit, before, [{"a": a, "b": b} for a, b in here]))
+        before += len(here)
+    # one row per value of a digit
+    table = local_table(placed.sparkSession, rows, "_digit int, _before int, _cuts array<struct<a: bigint, b: bigint>>")
+    key = F.struct(F.col("_k1").alias("a"), F.col("_k2").alias("b"))
+    found = placed.withColumn("_digit", F.shiftright("_k1", shift).cast("int")).join(F.broadcast(table), "_digit")
+    return found.withColumn("_range", F.col("_before") + F.size(F.filter("_cuts", lambda c: c <= key))).drop("_digit", "_before", "_cuts")
+
+
+def shard_by_bytes(
+    docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE, range_bytes: int = RANGE_BYTES
+) -> DataFrame:
     """All rows and columns of ``docs`` with ``size``, ``shard`` (from 0) and ``slot``.
 
     ``size`` is the UTF-8 bytes of the text (null: none) plus 16; the sizes of the shards
     differ by at most about twice ``tolerance`` and one document. ``slot`` counts a shard's
     rows from 0 without gaps in its order. Rows with the same id and text cannot be told
     apart and share a shard; a null id or text is a value like any other; an empty table has
-    no shards. Columns of the given names or starting with ``_k`` are replaced.
+    no shards. Columns of the given names or starting with ``_k`` are replaced, as are
+    ``_range``, ``_rows_before``, ``_digit``, ``_before`` and ``_cuts``.
     """
     k1, k2 = order_key(id_col, text_col)
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("bigint") + ROW_BYTES
-    sized = docs.withColumns({"_k1": k1, "_k2": k2, "size": size})
-    keys = splitters(materialise(sized.select("_k1", "_k2", "size")), shards, tolerance)
-    placed = sized.withColumn("shard", _place(keys).cast("int"))
-    by = Window.partitionBy("shard").orderBy("_k1", "_k2", id_col)
-    return placed.withColumn("slot", (F.row_number().over(by) - 1).cast("bigint")).drop("_k1", "_k2")
+    sized = docs.drop("_range", "_rows_before", "_digit", "_before", "_cuts").withColumns({"_k1": k1, "_k2": k2, "size": size})
+    keyed = materialise(sized.select("_k1", "_k2", "size"))
+    total = keyed.agg(F.sum("size")).first()[0] or 0
+    keys = splitters(keyed, shards, tolerance)
+    ranges = min(MOST_RANGES, max(1, -(-total // range_bytes)))
+    cuts = splitters(keyed, ranges, RANGE_TOLERANCE)
+    place = lambda df: _ranged(df.withColumn("shard", _place(keys).cast("int")), cuts)
+    # at most shards + ranges rows
+    counted = sorted(tuple(r) for r in place(keyed).groupBy("shard", "_range").agg(F.count("*")).collect())
+    offsets, before = [], {}
+    for shard, part, rows in counted:
+        offsets.append((shard, part, before.get(shard, 0)))
+        before[shard] = before.get(shard, 0) + rows
+    offset = F.broadcast(local_table(docs.sparkSession, offsets, "shard int, _range int, _rows_before bigint"))
+    by = Window.partitionBy("shard", "_range").orderBy("_k1", "_k2", id_col)
+    numbered = place(sized).withColumn("slot", F.row_number().over(by) - 1).join(offset, ["shard", "_range"])
+    slot = (F.col("slot") + F.col("_rows_before")).cast("bigint")
+    made = {"_k1", "_k2", "size", "shard", "slot", "_range", "_rows_before", "_digit", "_before", "_cuts"}
+    return numbered.select(*[c for c in docs.columns if c.lower() not in made], "size", "shard", slot.alias("slot"))

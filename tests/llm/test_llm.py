@@ -280,6 +280,30 @@ def test_shards_of_near_equal_bytes(spark, hard, empty):
     assert sharding.shard_by_bytes(hard, 3).count() == len(HARD) and sharding.shard_by_bytes(empty, 3).count() == 0
 
 
+def test_slots_by_ranges_equal_those_of_one_range(spark, hard):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    copies = spark.range(3000).selectExpr("id + 100000 AS doc_id", "'the same text, many times' AS text")
+    docs = docs.unionByName(copies).withColumn("Slot", F.lit("its own"))
+    want = sharding.shard_by_bytes(docs, 5)
+    got = sharding.shard_by_bytes(docs, 5, range_bytes=2000)
+    assert got.columns == ["doc_id", "text", "size", "shard", "slot"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # rows that repeat an id and a text share a range
+    assert sorted(r.slot for r in sharding.shard_by_bytes(hard.unionByName(hard), 1, range_bytes=20).collect()) == list(range(2 * len(HARD)))
+
+
+def test_registered_shards(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    rows = queries.QUERIES["op4_shards"](spark, FOLDER).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    slots = {}
+    for r in rows:
+        data = (texts[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(data) + 16, zlib.crc32(data), "bytes", None)
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert set(slots) <= set(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 # --- benchmark passages ----------------------------------------------------------------
 
 
