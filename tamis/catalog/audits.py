@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tamis.catalog import SAMPLES, query, rounded, samples, table
 from tamis.operators import audit as ops
+from tamis.session import scratch_path
 
 SQL_RATIO = "round(max(n) / CAST(min(n) AS DOUBLE), 6)"
 
@@ -71,6 +72,25 @@ def distinct_defect_types(spark, folder):
     return ops.distinct_kinds(table(spark, folder, "part"), "p_brand", "p_type")
 
 
+@query(
+    "sketched_distinct_kinds",
+    """SELECT l_returnflag, count(DISTINCT l_orderkey) AS exact_kinds, count(DISTINCT year(l_shipdate)) AS n_loads, true AS within_error
+FROM lineitem GROUP BY l_returnflag""",
+)
+def sketched_distinct_kinds(spark, folder):
+    """Sketches stored per load (a year of shipping) and merged: within four standard errors of the exact count."""
+    lines = table(spark, folder, "lineitem").withColumn("load", F.year("l_shipdate"))
+    path = scratch_path(spark, "sketches")
+    ops.kind_sketches(lines, ["load", "l_returnflag"], "l_orderkey").write.partitionBy("load").parquet(path)
+    stored = spark.read.parquet(path)
+    loads = stored.groupBy("l_returnflag").agg(F.countDistinct("load").alias("n_loads"))
+    merged = ops.sketched_kinds(ops.merge_sketches(stored, ["l_returnflag"]))
+    exact = ops.distinct_kinds(lines, "l_returnflag", "l_orderkey").withColumnRenamed("n_kinds", "exact_kinds")
+    off = F.abs(F.col("n_kinds") - F.col("exact_kinds")) / F.col("exact_kinds")
+    joined = exact.join(merged, "l_returnflag").join(loads, "l_returnflag")
+    return joined.select("l_returnflag", "exact_kinds", "n_loads", (off <= 4 * ops.sketch_error()).alias("within_error"))
+
+
 @query(
     "cohen_kappa",
     """WITH t AS (SELECT CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (quality = toxic) AS same FROM labels),

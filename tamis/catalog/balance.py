@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tamis.catalog import SAMPLES, query, rounded, samples, sql_code, sql_split, sql_uniform, table
+from tamis.catalog import PIXEL, SAMPLES, query, rounded, samples, sql_code, sql_split, sql_uniform, table
 from tamis.catalog.files import class_target, embedding_images
 from tamis.catalog.noise import split_embeddings, sql_flagged, sql_probs
 from tamis.operators import balance as ops
 from tamis.operators.outliers import centroid_outliers, feature_outliers
 from tamis.plans.curation import improved_condition, rebalanced
+from tamis.session import scratch_path
+from tamis.sources.manifests import write_samples
 from tamis.operators.splits import stratified_split
 
 # Class 0 of the labelled documents is the rare one; it is raised to twice its size.
@@ -111,6 +113,54 @@ def apply_augmentation(spark, folder):
     return rendered.select("aug_key", "height", "width", "nChannels", F.md5("data").alias("data_md5"))
 
 
+# Every copy without noise, at its own size: the source pixel of each place is found by undoing
+# the quarter turns, then the flips; a grey value is written three times.
+SQL_COPIES = f"""WITH {sql_draws('augment', 'embeddings', 'vec_id')},
+named AS (SELECT 'aug_0_' || CAST(draw AS VARCHAR) AS aug_key, embedding FROM picked),
+plan AS (
+  SELECT aug_key, embedding, {aug('hflip')} < 0.5 AS hflip, {aug('vflip')} < 0.5 AS vflip,
+         CASE WHEN {aug('rotate')} < 0.5 THEN CAST(floor({aug('quarter turns')} * 4) AS INTEGER) ELSE 0 END AS turns,
+         CASE WHEN {aug('light')} < 0.5 THEN {aug('contrast')} * 0.3::DOUBLE - 0.15::DOUBLE ELSE 0 END AS contrast,
+         CASE WHEN {aug('light')} < 0.5 THEN {aug('brightness')} * 0.3::DOUBLE - 0.15::DOUBLE ELSE 0 END AS brightness
+  FROM named WHERE {aug('noise')} >= 0.3::DOUBLE),
+turned AS (
+  SELECT *, CASE turns WHEN 0 THEN i WHEN 1 THEN j WHEN 2 THEN 7 - i ELSE 7 - j END AS a,
+         CASE turns WHEN 0 THEN j WHEN 1 THEN 7 - i WHEN 2 THEN 7 - j ELSE i END AS b
+  FROM plan, (SELECT unnest(range(0, 8)) AS i), (SELECT unnest(range(0, 8)) AS j)),
+sources AS (
+  SELECT aug_key, i, j, contrast, brightness,
+         embedding[1 + 8 * (CASE WHEN vflip THEN 7 - a ELSE a END) + (CASE WHEN hflip THEN 7 - b ELSE b END)] AS x
+  FROM turned),
+lit AS (
+  SELECT aug_key, i, j, CAST(round_even(least(255, greatest(0, {PIXEL} * (1.0::DOUBLE + contrast) + brightness * 255.0::DOUBLE)), 0) AS INTEGER) AS v FROM sources)
+SELECT aug_key, CAST(8 AS INTEGER) AS height, CAST(8 AS INTEGER) AS width, CAST(3 AS INTEGER) AS "nChannels",
+       string_agg(repeat(printf('%02X', v), 3), '' ORDER BY i, j) AS pixels
+FROM lit GROUP BY aug_key"""
+
+
+def plain_copies(spark, folder):
+    """The planned copies without noise, at the size of their sources."""
+    images = embedding_images(spark, folder)
+    plan = ops.augmentation_plan(images, "vec_id", "label", 0, class_target(images))
+    return ops.apply_augmentation(images, plan.filter("noise_var = 0"), "vec_id", size=(8, 8))
+
+
+def as_hex(rows):
+    return rows.select("aug_key", "height", "width", "nChannels", F.hex("data").alias("pixels"))
+
+
+@query("apply_augmentation_exact", SQL_COPIES)
+def apply_augmentation_exact(spark, folder):
+    return as_hex(plain_copies(spark, folder))
+
+
+@query("augmented_image_round_trip_exact", SQL_COPIES)
+def augmented_image_round_trip_exact(spark, folder):
+    path = scratch_path(spark, "augmented")
+    write_samples(plain_copies(spark, folder), path)
+    return as_hex(spark.read.parquet(path))
+
+
 @query("feature_outliers")
 def isolation_forest(spark, folder):
     flagged = feature_outliers(table(spark, folder, "embeddings"), "vec_id", "embedding")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -72,6 +73,33 @@ def distinct_kinds(df: DataFrame, category: str, kind: str) -> DataFrame:
     return df.groupBy(category).agg(F.countDistinct(kind).alias("n_kinds"))
 
 
+# Registers of a sketch, as a power of two.
+SKETCH_BITS = 12
+
+
+def sketch_error(bits: int = SKETCH_BITS) -> float:
+    """Relative standard error of the counts of merged sketches."""
+    return 1.04 / math.sqrt(1 << bits)
+
+
+def kind_sketches(df: DataFrame, by: list[str], kind: str, bits: int = SKETCH_BITS) -> DataFrame:
+    """(``by``, ``sketch``): a state of bounded size per group that can be stored and merged over loads.
+
+    Absent kinds are not counted; a group of them alone has an empty sketch.
+    """
+    return df.groupBy(*by).agg(F.hll_sketch_agg(F.col(kind).cast("string"), F.lit(bits)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """One sketch per group from those of several loads; merging in any order gives the same counts."""
+    return sketches.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketched_kinds(sketches: DataFrame) -> DataFrame:
+    """The approximate number of distinct kinds instead of the sketch."""
+    return sketches.withColumn("n_kinds", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
 def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """Agreement beyond chance of two label columns; NULL when chance agreement is 1."""
     cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))

@@ -198,3 +198,14 @@ def test_steps_are_counted_while_they_run(spark):
     assert {r.key for r in last.collect()} == {1, 5}
     counted = [(r.step_no, r.step, r.rows_before, r.rows_after) for r in watch.counts(spark).orderBy("step_no").collect()]
     assert counted == [(1, "without faults", 5, 3), (2, "without copies", 3, 2), (3, "odd", 2, 2)]
+
+
+def test_merged_sketches_count_like_one(spark):
+    rows = spark.range(6000).selectExpr("id % 3 AS load", "IF(id % 2 = 0, 'a', 'b') AS category", "id % 4000 AS kind")
+    rows = rows.unionByName(spark.sql("SELECT 0L AS load, 'none' AS category, CAST(NULL AS BIGINT) AS kind"))
+    parts = audit.kind_sketches(rows, ["load", "category"], "kind")
+    whole = {r.category: r.n_kinds for r in audit.sketched_kinds(audit.kind_sketches(rows, ["category"], "kind")).collect()}
+    merged = {r.category: r.n_kinds for r in audit.sketched_kinds(audit.merge_sketches(parts, ["category"])).collect()}
+    assert whole["none"] == merged["none"] == 0
+    for found in (whole, merged):
+        assert all(abs(found[c] - 2000) <= 4 * audit.sketch_error() * 2000 for c in "ab")
