@@ -94,13 +94,17 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> list[list[tuple]]:
-    """The items in lists of at most ``limit`` bytes (or one item), fetched one list at a time."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> tuple[int, Iterator[list[tuple]]]:
+    """The number of lists of items, and the lists of about ``limit`` bytes at most (or one item).
+
+    Items that repeat an id and a text are one. A list is fetched when it is asked for, so that
+    the driver holds one at a time.
+    """
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 if total <= limit else -(-2 * total // limit)
     dealt = items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
-    return [[tuple(r) for r in dealt.filter(F.col("part") == p).select("item", "text").toLocalIterator()] for p in range(parts)]
+    return parts, ([tuple(r) for r in dealt.filter(F.col("part") == p).select("item", "text").collect()] for p in range(parts))
 
 
 RANGES = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
@@ -142,18 +146,18 @@ def find_passages(
 
     The items are searched for ``block_bytes`` at a time, so a worker's tables are bounded;
     with more than one block the passes are cut by checkpoints. Null and empty texts have no
-    words and no hits; repeated documents give repeated rows; an item with a null id marks
+    words and no hits; repeated documents give repeated rows, repeated items count once; an item with a null id marks
     words but is not listed; without items nothing is hit. Columns of those three names are
     replaced, all others stay.
     """
-    blocks = _blocks(benchmark, item_col, item_text, block_bytes)
+    count, blocks = _blocks(benchmark, item_col, item_text, block_bytes)
     state = docs.drop(*STATE_NAMES)
     for definition in STATE.split(", "):
         name, kind = definition.split(" ", 1)
         state = state.withColumn(name, F.lit(None).cast(kind))
     for at, items in enumerate(blocks):
         state = state.mapInArrow(_pass(items, window, docs.drop(*STATE_NAMES).columns.index(text_col)), state.schema)
-        if at + 1 < len(blocks):
+        if at + 1 < count:
             state = materialise(state)
     return state
 

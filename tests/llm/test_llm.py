@@ -340,6 +340,15 @@ def test_contamination_equals_brute_force(spark, block_bytes):
 def test_contamination_of_hard_rows(hard, empty):
     bench = hard.selectExpr("doc_id AS item_id", "text")
     assert decontaminate.contamination(hard, bench).filter("contaminated").count() == 7
+    # repeated benchmark rows change nothing, and do not count for the size of the lists
+    many = bench
+    for _ in range(3):
+        many = many.unionByName(many)
+    count, blocks = decontaminate._blocks(many, "item_id", "text", 1 << 20)
+    distinct = {(r.item_id if r.item_id is None else str(r.item_id), r.text) for r in bench.collect() if r.text is not None}
+    assert count == 1 and sorted(next(blocks), key=str) == sorted(distinct, key=str)
+    once, often = (sorted(decontaminate.contamination(hard, b).collect(), key=str) for b in (bench, many))
+    assert once == often
     assert decontaminate.clean(hard, empty.selectExpr("doc_id AS item_id", "text")).columns == hard.columns
     assert decontaminate.clean(empty, bench).count() == 0
 
